@@ -1,0 +1,238 @@
+"""Delimited text casts to level rows, by a declared format; one file fits one row.
+
+Files are (file, text).  Layout is settled per file, then per line; a file that can't be read without guessing is
+refused whole, with its reason in the ledger, and never fails the batch.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from ..functions.ocean import depth_of, pressure_of
+
+#: Candidates in order (fixed values): name, regular expression to split by.
+DELIMITERS = (("tab", "\t"), ("semicolon", ";"), ("pipe", r"\|"), ("comma", ","), ("space", r"\s+"))
+SENTINELS = (-999.0, -9.99, -1.0e34)
+TEXT_SENTINELS = ("nan", "n/a", "---", "")
+HEADER_ROWS, LOOK_AHEAD, SNIFFED = 200, 5, 20
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+COMMA_NUMBER = r"^[+-]?\d+,\d+$"
+
+
+@dataclass(frozen=True)
+class Format:
+    """Aliases of each canonical column, comment prefixes, header keys, time patterns, flag map and accepted flags."""
+
+    aliases: dict[str, tuple[str, ...]]
+    comments: tuple[str, ...] = ("#", "*")
+    times: tuple[str, ...] = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd")
+    flags: dict[str, int] = field(default_factory=dict)
+    when_blank: int = 9
+    when_absent: int = 1
+    accept: tuple[int, ...] = (1, 2)
+    prefix: str = ""
+
+
+def decoded(files: DataFrame) -> DataFrame:
+    """files(file, content): text by UTF-8 without byte order mark, else as Windows-1252."""
+    good = F.is_valid_utf8(F.col("content").cast("string"))
+    text = F.when(good, F.col("content").cast("string")).otherwise(F.decode("content", "windows-1252"))
+    return files.select("file", F.regexp_replace(text, "^﻿", "").alias("text"))
+
+
+def folded(c: Column) -> Column:
+    """Lower case, single spaces, no trailing bracketed unit."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), r"\s*[\[(].*$", ""), r"\s+", " "))
+
+
+def squeezed(c: Column) -> Column:
+    return F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+
+
+def split_lines(files: DataFrame, comments: tuple[str, ...]) -> DataFrame:
+    """(file, line from 1, text, kind): blank, comment or record."""
+    rows = files.select("file", F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("p", "text"))
+    comment = F.lit(False)
+    for c in comments:
+        comment = comment | F.startswith(F.ltrim("text"), F.lit(c))
+    return rows.select("file", (F.col("p") + 1).alias("line"), "text", F.when(F.trim("text") == "", "blank").when(comment, "comment").otherwise("record").alias("kind"))
+
+
+def tokens(text: Column, delimiter: Column) -> Column:
+    """Trimmed fields of a line for the delimiter of that name."""
+    out = F.split(F.trim(text), r"\s+")
+    for name, pattern in DELIMITERS[:-1]:
+        out = F.when(delimiter == name, F.split(text, pattern)).otherwise(out)
+    return F.transform(out, lambda t: F.trim(t))
+
+
+def sniffed(records: DataFrame) -> DataFrame:
+    """(file, delimiter, width): the first candidate that gives all of a file's first records one width of two or more; if
+    ragged lines leave none, the one that gives most of them the same width."""
+    nth = F.row_number().over(W.partitionBy("file").orderBy("line"))
+    first = records.withColumn("nth", nth).where(F.col("nth") <= SNIFFED)
+    cand = first.select("file", "text", F.posexplode(F.array(*[F.lit(n) for n, _ in DELIMITERS])).alias("rank", "delimiter"))
+    width = F.size(tokens(F.col("text"), F.col("delimiter")))
+    by = cand.groupBy("file", "rank", "delimiter", width.alias("width")).agg(F.count(F.lit(1)).alias("n"))
+    by = by.withColumn("lines", F.sum("n").over(W.partitionBy("file", "rank"))).where("width >= 2")
+    best = F.min(F.struct((F.col("n") < F.col("lines")).alias("ragged"), (-F.col("n")).alias("few"), "rank", (-F.col("width")).alias("narrow"), "delimiter"))
+    return by.groupBy("file").agg(best.alias("b")).select("file", "b.delimiter", (-F.col("b.narrow")).alias("width"))
+
+
+def metadata(lines: DataFrame, comments: tuple[str, ...]) -> DataFrame:
+    """(file, key, value) of 'key = value' and 'key: value' comment lines, the first of a key."""
+    strip = "^[" + "".join("\\" + c for c in comments) + r"\s]+"
+    body = F.regexp_replace("text", strip, "")
+    kv = lines.where("kind = 'comment'").select("file", "line", folded(F.regexp_extract(body, r"^([^=:]+?)\s*[=:]\s*(.+?)\s*$", 1)).alias("key"), F.regexp_extract(body, r"^([^=:]+?)\s*[=:]\s*(.+?)\s*$", 2).alias("value"))
+    return kv.where("key <> ''").groupBy("file", "key").agg(F.min(F.struct("line", "value"))["value"].alias("value"))
+
+
+def headers(records: DataFrame, layout: DataFrame, fmt: Format) -> DataFrame:
+    """(file, header_line, columns): the first record in which two or more fields are known names; columns canonical or null.
+
+    A flag column belongs to the column just before it; a flag after an unread column is dropped.
+    """
+    spark = records.sparkSession
+    alias = [(folded_py(a), squeezed_py(a), c) for c, names in fmt.aliases.items() for a in (c, *names)]
+    table = F.broadcast(spark.createDataFrame(alias, "name string, squeezed string, canon string").dropDuplicates(["name"]))
+    nth = F.row_number().over(W.partitionBy("file").orderBy("line"))
+    cand = records.withColumn("nth", nth).where(F.col("nth") <= HEADER_ROWS).join(layout, "file")
+    t = cand.select("file", "line", F.posexplode(tokens(F.col("text"), F.col("delimiter"))).alias("pos", "token"))
+    t = t.withColumns({"name": folded(F.col("token")), "squeezed": squeezed(F.col("token"))})
+    exact = t.join(table.select("name", F.col("canon").alias("c1")), "name", "left")
+    loose = exact.join(table.dropDuplicates(["squeezed"]).select("squeezed", F.col("canon").alias("c2")), "squeezed", "left").withColumn("canon", F.coalesce("c1", "c2"))
+    order = W.partitionBy("file", "line").orderBy("pos")
+    before = F.lag("canon").over(order)
+    bound = loose.withColumn("canon", F.when(F.col("canon") == "flag", F.when(before.isNotNull() & (before != "flag"), F.concat(before, F.lit("_qc")))).otherwise(F.col("canon")))
+    per = bound.groupBy("file", "line").agg(F.count("canon").alias("known"), F.transform(F.sort_array(F.collect_list(F.struct("pos", "canon"))), lambda s: s["canon"]).alias("columns")).where("known >= 2")
+    return per.groupBy("file").agg(F.min(F.struct("line", "columns")).alias("h")).select("file", F.col("h.line").alias("header_line"), "h.columns")
+
+
+def folded_py(s: str) -> str:
+    import re
+
+    return re.sub(r"\s+", " ", re.sub(r"\s*[\[(].*$", "", s.strip().lower())).strip()
+
+
+def squeezed_py(s: str) -> str:
+    import re
+
+    return re.sub("[^a-z0-9]", "", s.lower())
+
+
+def verdicts(records: DataFrame, layout: DataFrame, head: DataFrame) -> DataFrame:
+    """Per file: reason (null if readable), footer and truncated lines.  Ragged lines are data lines of another width.
+
+    A trailing block of ragged lines without numbers is a footer; one ragged last data line is a truncation; more refuse.
+    """
+    r = records.join(layout, "file").join(head, "file").where("line > header_line")
+    tok = tokens(F.col("text"), F.col("delimiter"))
+    numeric = F.size(F.filter(tok, lambda t: t.rlike(NUMBER) | t.rlike(COMMA_NUMBER)))
+    r = r.withColumns({"ragged": F.size(tok) != F.size("columns"), "numeric": numeric})
+    after = W.partitionBy("file").orderBy(F.desc("line")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    r = r.withColumn("footer", F.min((F.col("ragged") & (F.col("numeric") == 0)).cast("int")).over(after) == 1)
+    body = r.where("not footer")
+    last = F.max("line").over(W.partitionBy("file"))
+    body = body.withColumn("cut", F.col("ragged") & (F.col("line") == last))
+    by = body.groupBy("file").agg(F.count_if("cut").alias("n_cut"), F.count_if(F.col("ragged") & ~F.col("cut")).alias("n_ragged"), F.count(F.lit(1)).alias("n_data"), F.count_if(F.size(tok) > F.size("columns")).alias("n_wide"), F.count_if(F.forall(tok, lambda t: t.rlike(r"^[+-]?\d+$"))).alias("n_whole"))
+    foot = r.groupBy("file").agg(F.count_if("footer").alias("n_footer"))
+    out = layout.join(head, "file", "left").join(by, "file", "left").join(foot, "file", "left")
+    collision = (F.col("delimiter") == "comma") & (F.col("n_wide") == F.col("n_data")) & (F.col("n_whole") == F.col("n_data")) & (F.col("n_data") > 0)
+    reason = F.when(F.col("header_line").isNull(), "no_header").when(collision, "decimal_comma_collision").when(F.col("n_ragged") > 0, "ragged_lines")
+    return out.select("file", "delimiter", "header_line", "columns", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_cut", "n_footer", "n_data")], reason.alias("reason"))
+
+
+def number(token: Column, comma: Column) -> Column:
+    """A measurement: null for text or numeric sentinels and for anything that isn't a number."""
+    plain = F.when(comma, F.translate(token, ",", ".")).otherwise(token)
+    v = F.when(~F.lower(F.trim(token)).isin(*TEXT_SENTINELS) & plain.rlike(NUMBER), plain.try_cast("double"))
+    bad = F.lit(False)
+    for s in SENTINELS:
+        bad = bad | (F.abs(v - s) <= 1e-6 * abs(s))
+    return F.when(~bad, v)
+
+
+def coordinate(token: Column) -> Column:
+    """Decimal degrees, with a hemisphere letter, or degrees and decimal minutes; a decimal comma is a point."""
+    t = F.upper(F.translate(F.trim(token), ",", "."))
+    sign = F.when(t.rlike("[SW]") | t.startswith("-"), -1.0).otherwise(1.0)
+    body = F.trim(F.regexp_replace(t, "[NSEW+-]", " "))
+    two = r"^(\d+)[\s°:]+(\d+\.?\d*)'?$"
+    value = F.when(body.rlike(r"^\d+\.?\d*°?$"), F.regexp_replace(body, "°", "").try_cast("double")).when(body.rlike(two), F.regexp_extract(body, two, 1).try_cast("double") + F.regexp_extract(body, two, 2).try_cast("double") / 60)
+    return F.when(value <= 360, sign * value)
+
+
+def instant(token: Column, patterns: tuple[str, ...]) -> Column:
+    return F.coalesce(*[F.try_to_timestamp(F.trim(token), F.lit(p)) for p in patterns])
+
+
+def parse(files: DataFrame, fmt: Format) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(levels, refused files with reason, record per file) of files(file, text)."""
+    lines = split_lines(files, fmt.comments)
+    records = lines.where("kind = 'record'")
+    layout = sniffed(records)
+    head = headers(records, layout, fmt)
+    verdict = verdicts(records, layout, head)
+    unread = files.select("file").join(layout.select("file"), "file", "left_anti").select("file", F.lit("no_delimiter").alias("reason"))
+    good = verdict.where("reason is null")
+    rows = records.join(good, "file").where("line > header_line")
+    tok = tokens(F.col("text"), F.col("delimiter"))
+    rows = rows.withColumn("tok", tok).where(F.size("tok") == F.size("columns"))
+    comma = F.max(F.exists("tok", lambda t: t.rlike(COMMA_NUMBER)).cast("int")).over(W.partitionBy("file")) == 1
+    rows = rows.withColumn("comma", comma)
+    field_ = lambda c: F.when(F.array_position("columns", c) > 0, F.element_at("tok", F.array_position("columns", c).cast("int")))
+    text = lambda c: F.when(F.trim(field_(c)) != "", F.trim(field_(c)))
+    rows = rows.select(
+        "file", "line", text("platform").alias("platform"), text("cast").alias("cast"), coordinate(field_("lat")).alias("lat"), coordinate(field_("lon")).alias("lon"), instant(field_("time"), fmt.times).alias("time"),
+        *[number(field_(c), F.col("comma")).alias(c) for c in ("pres", "depth", "temp", "psal")], *[field_(f"{c}_qc").alias(f"{c}_f") for c in ("temp", "psal")], *[(F.array_position("columns", f"{c}_qc") > 0).alias(f"{c}_has") for c in ("temp", "psal")],
+    )
+    # header values serve a whole file that has no such column
+    meta = metadata(lines, fmt.comments)
+    wanted = {folded_py(a): c for c in ("platform", "cast", "lat", "lon", "time") for a in (c, *fmt.aliases.get(c, ()))}
+    known = meta.where(F.col("key").isin(*wanted)).withColumn("canon", F.element_at(F.create_map(*[F.lit(x) for kv in wanted.items() for x in kv]), F.col("key")))
+    wide = known.groupBy("file").agg(*[F.min(F.when(F.col("canon") == c, F.col("value"))).alias(f"m_{c}") for c in ("platform", "cast", "lat", "lon", "time")])
+    rows = rows.join(wide, "file", "left")
+    # a new identity starts a station; values are carried on within one only
+    order = W.partitionBy("file").orderBy("line")
+    ident = F.concat_ws("|", "platform", "cast")
+    rows = rows.withColumn("ident", F.when(ident != "", ident))
+    held = F.last("ident", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("start", (F.col("ident").isNotNull() & (held.isNull() | (F.col("ident") != held))).cast("int"))
+    rows = rows.withColumn("station", F.sum("start").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    inside = W.partitionBy("file", "station").orderBy("line").rowsBetween(W.unboundedPreceding, W.currentRow)
+    own = {c: F.col(c) for c in ("lat", "lon", "time")}
+    carried = {f"c_{c}": F.last(c, ignorenulls=True).over(inside) for c in ("platform", "cast", *own)}
+    opening = {f"o_{c}": F.first(c).over(inside) for c in own}
+    rows = rows.withColumns(carried | opening)
+    clash = F.col("ident").isNull() & ((F.abs(F.col("lat") - F.col("o_lat")) > 1e-9) | (F.abs(F.col("lon") - F.col("o_lon")) > 1e-9) | (F.col("time") != F.col("o_time")))
+    value = {c: F.coalesce(F.col(f"c_{c}"), coordinate(F.col(f"m_{c}")) if c in ("lat", "lon") else instant(F.col("m_time"), fmt.times) if c == "time" else F.col(f"m_{c}")) for c in ("platform", "cast", "lat", "lon", "time")}
+    inherited = {f"i_{c}": F.col(c).isNull() & F.col(f"c_{c}").isNotNull() for c in own}
+    rows = rows.withColumns({"clash": F.coalesce(clash, F.lit(False))} | inherited).withColumns(value)
+    broken = rows.groupBy("file").agg(F.max("clash").alias("clash"), F.max((F.col("start") == 1) & (F.col("lat").isNull() | F.col("lon").isNull())).alias("no_pos"), F.max((F.col("start") == 1) & F.col("time").isNull()).alias("no_time"))
+    why = F.when(F.col("clash"), "station_contradicted").when(F.col("no_pos"), "station_without_position").when(F.col("no_time"), "station_without_time")
+    stations = broken.select("file", why.alias("reason")).where("reason is not null")
+    rows = rows.join(stations.select("file"), "file", "left_anti")
+    # vertical axis: depth of the file, else from pressure; pressure of the file, else from depth
+    up = F.min("depth").over(W.partitionBy("file")) < 0
+    rows = rows.withColumn("depth", F.when(up, F.abs("depth")).otherwise(F.col("depth")))
+    rows = rows.withColumns({"depth": F.coalesce("depth", depth_of(F.col("pres"), F.col("lat"))), "pres": F.coalesce("pres", pressure_of(F.col("depth"), F.col("lat")))})
+    flag_map = F.create_map(*[F.lit(x) for kv in ({"": fmt.when_blank} | fmt.flags).items() for x in kv])
+    flags, masked = {}, {}
+    for c in ("temp", "psal"):
+        t = F.trim(F.coalesce(f"{c}_f", F.lit("")))
+        flag = F.when(~F.col(f"{c}_has"), F.lit(fmt.when_absent)).otherwise(F.coalesce(F.try_element_at(flag_map, t), t.try_cast("int"), F.lit(fmt.when_blank)))
+        ok = flag.isin(*fmt.accept)
+        flags[f"{c}_qc"] = F.when(F.col(c).isNull() & ok, 9).otherwise(flag).cast("short")
+        masked[c] = F.when(ok, F.col(c))
+    rows = rows.withColumns(flags | masked)
+    stem = F.regexp_extract("file", r"([^/]+?)(\.[^./]*)?$", 1)
+    name = F.concat_ws("_", F.coalesce("platform", stem), "cast", F.date_format("time", "yyyyMMdd'T'HHmmss"))
+    name = F.concat_ws("-", F.lit(fmt.prefix) if fmt.prefix else F.lit(None).cast("string"), name)
+    kept = rows.where(F.col("depth").isNotNull() & F.coalesce("temp", "psal").isNotNull())
+    levels = kept.select("file", "line", name.alias("profile_id"), F.coalesce("platform", stem).alias("wmo"), "time", "lat", "lon", "pres", "depth", "temp", "temp_qc", "psal", "psal_qc")
+    counts = rows.groupBy("file").agg(F.max("station").alias("n_stations"), F.count(F.lit(1)).alias("n_parsed"), F.count_if(F.col("depth").isNotNull() & F.coalesce("temp", "psal").isNotNull()).alias("n_levels"), *[F.count_if(f"i_{c}").alias(f"inherited_{c}") for c in own])
+    record = good.select("file", "delimiter", "header_line", "n_data", "n_cut", "n_footer").join(counts, "file")
+    refused = verdict.where("reason is not null").select("file", "reason").unionByName(unread).unionByName(stations)
+    return levels, refused, record
