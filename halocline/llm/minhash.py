@@ -5,11 +5,13 @@
 3. Every band key with several sets names its least id as pivot; (member, pivot) pairs, linear in the members, are
    thinned by size and sketch and verified on the full sets; verified pairs are joined by union-find.
 4. Keys that still hold several components are searched in full, in blocks of a bounded number of sets: pairs of
-   different components that the sketch can't exclude are verified.  First one pair per component met, then all
+   different components that neither sketch nor bitmap excludes are verified.  First one pair per component met, then all
    that are left.  No pair that shares a band is left out unless it's already joined.
 
-The sketch only excludes pairs more than SLACK below the threshold (over 4.5 standard deviations); with BANDS bands of
-ROWS rows a pair at the threshold of 0.85 shares none with probability 2e-8, at 0.8 with 1.5e-6.
+The sketch only excludes pairs more than SLACK below the threshold (over 4.5 standard deviations).  A set's bitmap has
+one bit set per hash; bits in which two bitmaps differ never outnumber the shingles in which the sets differ, so what
+it excludes is proven to be no link, and few pairs below the threshold are left.  With BANDS bands of ROWS rows a pair
+at the threshold of 0.85 shares none with probability 2e-8, at 0.8 with 1.5e-6.
 
 Defined results: documents without words, or null, have an empty set, link with nothing and stay; repeated rows of
 one id are one document each in the result with the same component; an empty table gives no rows; other columns are ignored.
@@ -90,6 +92,29 @@ def sketched(items: np.ndarray) -> tuple[np.ndarray, bytes]:
     return key.view(np.int64), (h >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
+def bitmap(items: np.ndarray) -> bytes:
+    """Bit (hash mod size) of every item; about eight bits an item, a power of two."""
+    size = 1 << max(6, (8 * len(items) - 1).bit_length())
+    bits = np.zeros(size, bool)
+    bits[(items & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def differ_by(a: bytes, b: bytes) -> int:
+    """A lower bound of the number of items in which two sets differ; the larger bitmap is folded to the smaller's size."""
+    if len(a) > len(b):
+        a, b = b, a
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(y) > len(x):
+        y = np.bitwise_or.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def possible(bound: int, na: int, nb: int, percent: int) -> bool:
+    """Whether sets of these sizes that differ in `bound` items or more can reach the threshold."""
+    return bound * (100 + percent) <= (na + nb) * (100 - percent)
+
+
 def _features(k: int):
     def run(batches):
         for pdf in batches:
@@ -99,15 +124,15 @@ def _features(k: int):
                 if got is None:
                     s = shingle_set(text, k)
                     keys, sketch = sketched(s) if len(s) else (np.empty(0, np.int64), b"")
-                    got = done[text] = (len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), keys, sketch)
+                    got = done[text] = (len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), keys, sketch, bitmap(s))
                 rows.append(got)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], **{c: [r[i] for r in rows] for i, c in enumerate(("n", "same", "keys", "sketch"))}})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], **{c: [r[i] for r in rows] for i, c in enumerate(("n", "same", "keys", "sketch", "bits"))}})
 
     return run
 
 
-def _alike(floor: float):
-    """Keeps candidate pairs whose sketches agree in at least floor of the places."""
+def _alike(floor: float, percent: int):
+    """Keeps candidate pairs whose sketches agree in at least floor of the places and whose bitmaps allow a link."""
 
     def run(batches):
         for pdf in batches:
@@ -115,6 +140,7 @@ def _alike(floor: float):
                 a = np.frombuffer(b"".join(pdf["sa"]), np.uint8).reshape(-1, SKETCH)
                 b = np.frombuffer(b"".join(pdf["sb"]), np.uint8).reshape(-1, SKETCH)
                 pdf = pdf[(a == b).mean(axis=1) >= floor]
+                pdf = pdf[np.array([possible(differ_by(x, y), na, nb, percent) for x, y, na, nb in zip(pdf["ba"], pdf["bb"], pdf["na"], pdf["nb"])], dtype=bool)]
             yield pdf[["a", "b"]]
 
     return run
@@ -127,7 +153,7 @@ def _search(floor: float, percent: int, one_each: bool):
         first = g["side"].to_numpy() != 1
         second = g["side"].to_numpy() != 0
         sk = np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(-1, SKETCH)
-        ids, comp, n = g["doc"].to_numpy(), g["comp"].to_numpy(), g["n"].to_numpy()
+        ids, comp, n, bits = g["doc"].to_numpy(), g["comp"].to_numpy(), g["n"].to_numpy(), g["bits"].to_numpy()
         right = np.flatnonzero(second)
         met = set()
         for i in np.flatnonzero(first):
@@ -136,7 +162,7 @@ def _search(floor: float, percent: int, one_each: bool):
                 share = (sk[other] == sk[i]).mean(axis=1)
                 for j in other[np.argsort(-share, kind="stable")][: np.count_nonzero(share >= floor)]:
                     c = (min(comp[i], comp[j]), max(comp[i], comp[j]))
-                    if not one_each or c not in met:
+                    if (not one_each or c not in met) and possible(differ_by(bits[i], bits[j]), n[i], n[j], percent):
                         met.add(c)
                         yield min(ids[i], ids[j]), max(ids[i], ids[j])
 
@@ -164,21 +190,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     Documents are linked when 100 * |A and B| >= percent * |A or B| for their sets of `words`-word shingles.
     """
     docs = docs.select("doc_id", "text")
-    feats = written(docs.mapInPandas(_features(words), "doc_id long, n long, same binary, keys array<long>, sketch binary"), "features")
+    feats = written(docs.mapInPandas(_features(words), "doc_id long, n long, same binary, keys array<long>, sketch binary, bits binary"), "features")
     reps = feats.where("n > 0").groupBy("same").agg(F.min("doc_id").alias("rep"))
-    shown = written(feats.where("n > 0").join(reps, "same").where("doc_id = rep").dropDuplicates(["rep"]).select("rep", "n", "keys", "sketch"), "reps")
+    shown = written(feats.where("n > 0").join(reps, "same").where("doc_id = rep").dropDuplicates(["rep"]).select("rep", "n", "keys", "sketch", "bits"), "reps")
     floor = percent / 100 - SLACK
 
     each = shown.select("rep", F.explode("keys").alias("key"))
     often = each.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("most")).where("pivot < most")
     members = written(each.join(often.select("key", "pivot"), "key"), "members")
-    sketches = shown.select("rep", "n", "sketch")
+    sketches = shown.select("rep", "n", "sketch", "bits")
 
     def thinned(pairs: DataFrame) -> DataFrame:
-        a = sketches.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-        b = sketches.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+        a = sketches.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("bits").alias("ba"))
+        b = sketches.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("bits").alias("bb"))
         both = pairs.join(b, "b").join(a, "a").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        return both.select("a", "b", "sa", "sb").mapInPandas(_alike(floor), "a long, b long")
+        return both.select("a", "b", "sa", "sb", "ba", "bb", "na", "nb").mapInPandas(_alike(floor, percent), "a long, b long")
 
     first = written(thinned(members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()), "pairs")
     links = verified(docs, first, words, percent)
@@ -198,7 +224,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 
 def searched(rows: DataFrame, floor: float, percent: int, one_each: bool) -> DataFrame:
-    """rows(key, rep, comp, n, sketch, size): candidate pairs (a, b) of every key, compared block by block."""
+    """rows(key, rep, comp, n, sketch, bits, size): candidate pairs (a, b) of every key, compared block by block."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("own", own)
@@ -206,7 +232,7 @@ def searched(rows: DataFrame, floor: float, percent: int, one_each: bool) -> Dat
     dealt = rows.withColumn("other", other).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     side = F.when(F.col("i") == F.col("j"), 2).when(F.col("own") == F.col("i"), 0).otherwise(1)
     group = F.xxhash64("key", "i", "j")
-    dealt = dealt.select(group.alias("group"), F.col("rep").alias("doc"), "comp", "n", "sketch", side.alias("side"))
+    dealt = dealt.select(group.alias("group"), F.col("rep").alias("doc"), "comp", "n", "sketch", "bits", side.alias("side"))
     return dealt.repartition("group").sortWithinPartitions("group", "doc").mapInPandas(_search(floor, percent, one_each), "a long, b long")
 
 
