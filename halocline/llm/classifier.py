@@ -24,7 +24,7 @@ TEMPER = 0.5
 BROADCAST_ROWS = 100_000
 
 
-def evidence(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> DataFrame:
+def evidence(docs: DataFrame, labels: DataFrame, sample: int = 1200) -> DataFrame:
     """docs with the column __p, the calibrated probability of good quality from the text alone."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample=sample).plain())
     names = docs.columns
@@ -70,7 +70,7 @@ def posteriors(scored: DataFrame, host: str = "__host", path: str = "__path") ->
     return both.select(host, path, "n", F.col("__hp").alias("host_rate"), ((F.col("good") + k2 * F.col("__hp")) / (F.col("n") + k2)).alias("path_rate")), top
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, sample: int = 4000, keep_at: float = KEEP_AT, whole: bool = False) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, sample: int = 1200, keep_at: float = KEEP_AT, whole: bool = False) -> DataFrame:
     """doc_id, p_text, host_rate, path_rate, p_good, kept per document; or, whole, docs as they are with __kept."""
     rows = evidence(docs if whole else docs.select("doc_id", "text", host.alias("__host"), path.alias("__path")), labels, sample)
     rows = rows.withColumns({"__host": host, "__path": path}) if whole else rows.drop("text")

@@ -44,7 +44,7 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     return n, chars, symbols, len(lines) - len(set(lines)), repeated
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, sample: int = 4000, keep_at: float = KEEP_AT) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, sample: int = 1200, keep_at: float = KEEP_AT) -> DataFrame:
     """One row per document: base counts, base_failed, calibrated p_good, kept.
 
     sample bounds the labelled rows that the model is fitted on; every document is scored.

@@ -17,7 +17,7 @@ BITS = 15
 SIZE = 1 << BITS
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 _TOP = np.uint64(64 - BITS)
-FAMILIES = 4
+FAMILIES = 3
 DENSE = 8
 #: Feature values are shares of the text's n-grams; this scale makes usual weights of order one.
 SCALE = 30.0
@@ -35,24 +35,24 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 
 def families(text: str) -> tuple[list[np.ndarray], np.ndarray]:
-    """Bucket numbers of the word uni- and bigrams and the character tri- and 4-grams; shares that n-grams can't tell."""
+    """Bucket numbers of the word uni- and bigrams and the character 4-grams; shares that n-grams can't tell."""
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()
     wh = word_hashes(words)
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     with np.errstate(over="ignore"):
-        tri = c[:-2] * _A + c[1:-1] * _B + c[2:] * _C
-        four = tri[:-1] * _D + c[3:] * _A
+        four = c[:-3] * _A + c[1:-2] * _B + c[2:-1] * _C + c[3:] * _D
         two = wh[:-1] * _B + wh[1:] * _C
-        out = [(spread(x + np.uint64(k)) >> _TOP).astype(np.int64) + k * SIZE for k, x in enumerate((wh, two, tri, four))]
+        out = [(spread(x + np.uint64(k)) >> _TOP).astype(np.int64) + k * SIZE for k, x in enumerate((wh, two, four))]
     n, chars = max(1, len(words)), max(1, len(c))
+    common = len(set(words[:200])) / max(1, len(words[:200]))
     lines = [x for x in text.split("\n") if x]
     dense = np.array([
-        np.count_nonzero(wh[1:] == wh[:-1]) / n,
-        1 - len(set(words)) / n if n < 2000 else 1 - len(set(words[:2000])) / 2000,
-        np.count_nonzero((c >= 65) & (c <= 90)) / chars,
-        np.count_nonzero((c > 32) & (c < 48) | (c > 57) & (c < 65) | (c > 90) & (c < 97) | (c > 122) & (c < 127)) / chars,
-        np.count_nonzero((c >= 48) & (c <= 57)) / chars,
+        12 * np.count_nonzero(wh[1:] == wh[:-1]) / n,
+        12 * (1 - common),
+        4 * np.count_nonzero((c >= 65) & (c <= 90)) / chars,
+        4 * np.count_nonzero((c > 32) & (c < 48) | (c > 57) & (c < 65) | (c > 90) & (c < 97) | (c > 122) & (c < 127)) / chars,
+        4 * np.count_nonzero((c >= 48) & (c <= 57)) / chars,
         1 - len(set(lines)) / max(1, len(lines)),
         np.log1p(n) / 10,
         chars / n / 10,
@@ -112,36 +112,38 @@ def labelled(labels: DataFrame, label: str, id_col: str, sample: int) -> DataFra
     return one.orderBy(F.md5(F.col("id").cast("string").cast("binary")), "id").limit(sample)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = 4000, id_col: str = "doc_id", l2: float = 1e-3, rounds: int = 60) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = 1200, id_col: str = "doc_id", l2: float = 1e-3, rounds: int = 60) -> Model:
     """Fit on two thirds of the sample and calibrate (Platt) on the rest; without both labels, a constant that keeps."""
     own = docs.select(F.col(id_col).alias("id"), F.col("text"))
     rows = own.join(F.broadcast(labelled(labels, label, id_col, sample)), "id").mapInPandas(_features, "id long, label int, idx array<int>, val array<float>").toPandas()
-    rows = rows.sort_values("id", kind="stable").drop_duplicates("id").reset_index(drop=True)
+    rows = rows.sort_values("id", kind="stable").drop_duplicates("id")
+    ids, y = rows["id"].tolist(), rows["label"].to_numpy(dtype=float)
+    docs_x = list(zip(rows["idx"], rows["val"]))
+    del rows
     size = FAMILIES * SIZE + DENSE + 1
-    y = rows["label"].to_numpy(dtype=float)
-    if len(rows) < 20 or y.min() == y.max():
-        w = np.zeros(size)
-        return Model(w, 0.0, 3.0, 1.0)
-    part = np.array([xxhash.xxh3_64_intdigest(str(x).encode()) % 3 for x in rows["id"]])
+    if len(ids) < 20 or y.min() == y.max():
+        return Model(np.zeros(size), 0.0, 3.0, 1.0)
+    part = np.array([xxhash.xxh3_64_intdigest(str(x).encode()) % 3 for x in ids])
     fit, held = np.flatnonzero(part > 0), np.flatnonzero(part == 0)
-    w = _fit(rows, y, fit, size, l2, rounds)
-    raw = np.array([rows["val"][i] @ w[rows["idx"][i]] for i in held])
+    w = _fit([docs_x[i] for i in fit], y[fit], size, l2, rounds)
+    raw = np.array([docs_x[i][1] @ w[docs_x[i][0]] for i in held])
     slope, offset = _platt(raw, y[held])
     return Model(w, slope, offset, float(y.mean()))
 
 
-def _fit(rows: pd.DataFrame, y: np.ndarray, which: np.ndarray, size: int, l2: float, rounds: int) -> np.ndarray:
-    """Full-batch Adam: a fixed number of steps in a fixed order, so that reruns agree."""
-    idx = np.concatenate([rows["idx"][i] for i in which])
-    val = np.concatenate([rows["val"][i] for i in which]).astype(np.float64)
-    lens = np.array([len(rows["idx"][i]) for i in which])
-    starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
-    t = y[which]
+def _fit(docs: list[tuple[np.ndarray, np.ndarray]], t: np.ndarray, size: int, l2: float, rounds: int, chunk: int = 100) -> np.ndarray:
+    """Full-batch Adam: a fixed number of steps in a fixed order, so that reruns agree.  Chunks of documents bound memory."""
     each = np.where(t > 0, 0.5 / max(1, t.sum()), 0.5 / max(1, (1 - t).sum()))
+    parts = []
+    for k in range(0, len(docs), chunk):
+        lens = np.array([len(i) for i, _ in docs[k : k + chunk]])
+        parts.append((np.concatenate([i for i, _ in docs[k : k + chunk]]), np.concatenate([v for _, v in docs[k : k + chunk]]), lens, np.concatenate([[0], np.cumsum(lens)[:-1]]), slice(k, k + chunk)))
     w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
     for k in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(val * w[idx], starts), -30, 30)))
-        g = np.bincount(idx, weights=val * np.repeat(each * (p - t), lens), minlength=size) + l2 * w
+        g = l2 * w
+        for idx, val, lens, starts, own in parts:
+            p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(val * w[idx], starts), -30, 30)))
+            g += np.bincount(idx, weights=val * np.repeat(each[own] * (p - t[own]), lens), minlength=size)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-6)
     return w
