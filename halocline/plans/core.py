@@ -46,9 +46,11 @@ def a6_refusal_ledger(spark, sf):
 
 
 BANDS_SQL = "bands AS (SELECT * FROM (VALUES (0, 0.0::DOUBLE, 10.0::DOUBLE), (1, 10, 50), (2, 50, 100), (3, 100, 200), (4, 200, 500), (5, 500, 1000), (6, 1000, 2000), (-1, NULL, NULL)) b(band, lo, hi))"
-CARD_SQL = PAIRS + f""", {BANDS_SQL}, card AS (
-SELECT band, lo, hi, count(residual) AS n, round(avg(residual), 4) AS bias, round(sqrt(avg(residual*residual)), 4) AS rmse, round(avg(abs(residual)), 4) AS mae, round(stddev_pop(residual), 4) AS std
-FROM bands LEFT JOIN (SELECT * FROM pairs WHERE reason IS NULL) p ON band = -1 OR (depth >= lo AND depth < hi) GROUP BY band, lo, hi)
+BAND_OF = "CASE " + " ".join(f"WHEN depth >= {a} AND depth < {b} THEN {i}" for i, (a, b) in enumerate(zip(co.BANDS, co.BANDS[1:]))) + " END"
+CARD_SQL = PAIRS + f""", {BANDS_SQL}, good AS (SELECT depth, residual FROM pairs WHERE reason IS NULL),
+each AS (SELECT {BAND_OF} AS band, residual FROM good UNION ALL SELECT -1 AS band, residual FROM good),
+stat AS (SELECT band, count(residual) AS n, round(avg(residual), 4) AS bias, round(sqrt(avg(residual*residual)), 4) AS rmse, round(avg(abs(residual)), 4) AS mae, round(stddev_pop(residual), 4) AS std FROM each WHERE band IS NOT NULL GROUP BY band),
+card AS (SELECT band, lo, hi, coalesce(n, 0) AS n, bias, rmse, mae, std FROM bands LEFT JOIN stat USING (band))
 """
 
 

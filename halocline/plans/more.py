@@ -498,3 +498,69 @@ FROM f WHERE profile_id % 10 NOT IN (3, 7) GROUP BY 1""")
 def t21_text_record(spark, sf):
     r = tx.parse(text_files(spark, sf), FORMAT)[2].where("cast(split(file, '[.]')[0] as long) % 10 <> 7")
     return r.groupBy("delimiter").agg(F.count(F.lit(1)).alias("n_files"), F.sum("n_data").alias("n_data"), F.sum("n_footer").alias("n_footer"), F.sum("inherited_time").alias("inherited_time"))
+
+
+# ---- stores and streams ----------------------------------------------------------------------------------------------
+
+
+def scratch(spark, name: str) -> str:
+    """A fresh folder below the shared checkpoint folder."""
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {GRID} SELECT t_idx, k_idx, count(*) AS n_cells, count(temp) AS n_valid FROM grid WHERE t_idx < 3 GROUP BY 1, 2")
+def s20_store_round_trip(spark, sf):
+    path = scratch(spark, "store")
+    gr.store(grid(spark, sf, "t_idx < 3").withColumn("source_id", F.lit("analysis")), path)
+    back = gr.load(spark, path, "analysis", {"analysis"})
+    return back.groupBy("t_idx", "k_idx").agg(F.count(F.lit(1)).alias("n_cells"), F.count("temp").alias("n_valid"))
+
+
+PROFILE_SQL = f"{LEVELS}, box AS (SELECT *, CASE WHEN source_id = 'core' THEN temp END AS t, CASE WHEN source_id = 'bgc' THEN psal END AS s FROM levels WHERE lat BETWEEN 2 AND 12 AND lon BETWEEN 0 AND 3 AND (source_id = 'bgc' OR time BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1999-01-01'))"
+
+
+@query(f"WITH {PROFILE_SQL} SELECT source_id, count(DISTINCT profile_id) AS n_profiles, count(*) AS n_levels, count(DISTINCT wmo) AS n_platforms, count(t) AS n_temp, count(s) AS n_psal FROM box GROUP BY 1")
+def s21_profile_table(spark, sf):
+    """Frames of two instrument classes, united by name, clipped to box and window (the archive is exempt), stored; its provenance."""
+    lv = levels(spark, sf)
+    both = lv.where("source_id = 'core'").drop("psal", "psal_qc").unionByName(lv.where("source_id = 'bgc'").drop("temp", "temp_qc"), allowMissingColumns=True)
+    keep = (F.col("source_id") == "bgc") | F.col("time").between(F.lit(datetime(1996, 1, 1)), F.lit(datetime(1999, 1, 1)))
+    path = scratch(spark, "profiles")
+    fl.in_box(both, (0.0, 2.0, 3.0, 12.0)).where(keep).write.parquet(path)
+    gr.write_provenance(gr.profiles(spark, path), f"{path}-provenance")
+    return spark.read.schema("source_id string, n_profiles long, n_levels long, n_platforms long, n_temp long, n_psal long").json(f"{path}-provenance")
+
+
+@query(TRIP_SQL + "SELECT station_id, seq, round(temp_c - mean_before, 3) AS delta FROM h WHERE n_before + 1 >= 13 AND abs(temp_c - mean_before) >= 1.5 AND (std_before = 0 OR abs(temp_c - mean_before) >= 6 * std_before)")
+def r3_threshold_stream(spark, sf):
+    """The stateful stream over a replay of the accepted readings, state kept per station; results land in a table."""
+    path = scratch(spark, "readings")
+    ok = readings(spark, sf).withColumn("reason", st.reason()).where("reason is null").select("station_id", "seq", "temp_c")
+    ok.coalesce(1).sortWithinPartitions("seq").write.parquet(f"{path}/in")  # one file: the replay is one log, read in order
+    stream = spark.readStream.schema(ok.schema).parquet(f"{path}/in")
+    q = st.trip_stream(stream).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema("station_id string, seq long, delta double").parquet(f"{path}/out").withColumn("delta", F.round("delta", 3))
+
+
+@query(REASON_SQL + "SELECT coalesce(reason, 'accepted') AS reason, count(*) AS n FROM r GROUP BY 1")
+def r6_incremental_ingest(spark, sf):
+    """New files in a folder go through the same batch functions; accepted and refused readings go to two tables."""
+    path = scratch(spark, "ingest")
+    r = readings(spark, sf).select("station_id", F.col("ts").cast("timestamp").alias("ts"), "temp_c", "tds_ppm", "turbidity_ntu", "seq")
+    r.write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    st.to_sinks(stream, f"{path}/ok", f"{path}/bad", f"{path}/state").awaitTermination()
+    ok, bad = spark.read.parquet(f"{path}/ok"), spark.read.parquet(f"{path}/bad")
+    return ok.select(F.lit("accepted").alias("reason")).unionByName(bad.select("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {LEVELS} SELECT source_id, 'temp: no unit' AS breach, count(*) AS n_levels FROM levels GROUP BY 1")
+def n8_reader_contract(spark, sf):
+    """Per source the breaches of the reader contract: the temperature is declared without a unit."""
+    lv = levels(spark, sf)
+    found = gr.contract(lv, {"temp": "", "psal": "1"})
+    return lv.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_levels")).withColumn("breach", F.explode(F.array(*[F.lit(x) for x in found])))
