@@ -101,7 +101,8 @@ def j2_bracket(spark, sf):
     return rows.select("profile_id", "n", "lat", "j0", "j1", F.round("jf", 6).alias("share"))
 
 
-@query(PAIRS + "SELECT DISTINCT profile_id, round(w00*coalesce(a00,0) + w01*coalesce(a01,0) + w10*coalesce(a10,0) + w11*coalesce(a11,0), 4) AS at_level FROM both_ WHERE NOT late AND NOT outside AND depth = 410 AND lo IS NOT NULL")
+@query(PAIRS + """SELECT DISTINCT profile_id, round(w00*coalesce(a00,0) + w01*coalesce(a01,0) + w10*coalesce(a10,0) + w11*coalesce(a11,0), 4) AS at_level FROM both_ WHERE NOT late AND NOT outside AND depth = 410
+AND NOT ((w00 <> 0 AND a00 IS NULL) OR (w01 <> 0 AND a01 IS NULL) OR (w10 <> 0 AND a10 IS NULL) OR (w11 <> 0 AND a11 IS NULL))""")
 def j3_bilinear(spark, sf):
     g, lv = grid(spark, sf), levels(spark, sf).where("depth = 410")
     ax = {d: axes.axis(g, d) for d in ("time", "lat", "lon")}
