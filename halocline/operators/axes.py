@@ -25,6 +25,12 @@ def axis(df: DataFrame, col: str) -> DataFrame:
     return nodes.select((F.row_number().over(W.orderBy("node")) - 1).cast("int").alias("idx"), "node")
 
 
+def axes_of(df: DataFrame, *cols: str) -> dict[str, DataFrame]:
+    """axis() of several columns from one pass over the rows; what is kept is one row that holds the axes."""
+    one = df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in cols]).persist()
+    return {c: one.select(F.posexplode(c).alias("idx", "node")) for c in cols}
+
+
 def seconds(c: Column) -> Column:
     return F.unix_micros(c.cast("timestamp")) / F.lit(1e6)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..ledger import first_reason, ledger
-from .axes import axis, bracketed, nearest, seconds
+from .axes import axes_of, bracketed, nearest, seconds
 
 #: Farthest model step in days, accepted flags, depth bands in metres (half-open), least pairs of a worst band.
 MAX_DAYS = 5
@@ -58,11 +58,10 @@ def colocate(field: DataFrame, levels: DataFrame, var: str = "temp", observed: s
     Time and position are settled once per profile, the model column is joined once per profile on (step, row, column);
     only then do levels meet it by profile_id.
     """
-    axes = {"time": axis(field, "time"), "lat": axis(field, "lat"), "lon": axis(field, "lon")}
-    depths = axis(field, "depth")
+    axes = axes_of(field, "time", "lat", "lon", "depth")
     profiles = placed(heads(levels), axes, max_days)
     found = profiles.join(stencils(profiles, columns_of(field, var)), "profile_id", "left").select("profile_id", "t_idx", "t_gap", "p_reason", "corners")
-    rows = bracketed(levels.join(found, "profile_id"), F.col("depth"), depths, "d")
+    rows = bracketed(levels.join(found, "profile_id"), F.col("depth"), axes["depth"], "d")
     lo, hi = at_level(F.col("corners"), F.col("d0")), at_level(F.col("corners"), F.col("d1"))
     rows = rows.withColumn("modelled", lo + F.col("df") * (hi - lo))
     flagged = [("no_qc_flag", F.col(qc).isNull()), ("rejected_qc", ~F.col(qc).isin(*accept))] if qc and qc in levels.columns else []
