@@ -1,7 +1,8 @@
 """Line de-duplication (operator 8) by winnowing over line hashes; DataFrame operations only.
 
-Lines without a word are passed over.  A gram is the shortest span of whole lines from a line on with at least GRAM
-words; its hash is the md5 of its lines' md5s.  In every span of at least WINDOW words the gram with the least hash is a
+Lines without a word are passed over.  Words are counted by the blanks and tabs between them, so double blanks count
+once more: a run of n words never counts less than n.  A gram is the shortest span of whole lines from a line on with at
+least GRAM words; its hash is that of its lines' 64-bit hashes.  In every span of at least WINDOW words the gram with the least hash is a
 fingerprint.  So a run of lines with WINDOW words or more that occurs twice shares a fingerprint for sure, and
 whatever is removed has repeated for GRAM words at least.
 
@@ -18,15 +19,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import WORD, written
+from .common import SPACE, written
 
 GRAM, WINDOW = 30, 50
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, th (md5 of the text), pos, nth (among lines with words), key, nw, c0 (words before) per line with words."""
-    rows = docs.where("text is not null").select("doc_id", F.md5(F.col("text").cast("binary")).alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    rows = rows.select("doc_id", "th", "pos", F.md5(F.col("line").cast("binary")).alias("key"), F.regexp_count("line", F.lit(WORD)).cast("long").alias("nw")).where("nw > 0")
+    """doc_id, th (hash of the text), pos, nth (among lines with words), key, nw, c0 (words before) per line with words."""
+    rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    bare = F.btrim("line", F.lit(SPACE))
+    gaps = lambda c: F.octet_length(bare) - F.octet_length(F.replace(bare, F.lit(c), F.lit("")))
+    rows = rows.where(bare != "").select("doc_id", "th", "pos", F.xxhash64("line").alias("key"), (gaps(" ") + gaps("\t") + 1).cast("long").alias("nw"))
     own = W.partitionBy("doc_id", "th")
     order = own.orderBy("pos")
     rows = rows.withColumn("before", F.lag("pos").over(order)).where("before is null or before <> pos").drop("before")
@@ -40,7 +43,7 @@ def fingerprints(rows: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
     span, reach = order.rangeBetween(0, gram - 1), order.rangeBetween(0, window - gram)
     rows = rows.withColumns({
         "total": F.sum("nw").over(W.partitionBy("doc_id", "th")),
-        "gram": F.when(F.max(F.col("c0") + F.col("nw")).over(span) >= F.col("c0") + gram, F.md5(F.array_join(F.collect_list("key").over(span), "").cast("binary"))),
+        "gram": F.when(F.max(F.col("c0") + F.col("nw")).over(span) >= F.col("c0") + gram, F.xxhash64(F.collect_list("key").over(span))),
     })
     least = F.min(F.when(F.col("gram").isNotNull(), F.struct("gram", "nth"))).over(reach)
     chosen = rows.withColumn("least", least).where(F.col("total") - F.col("c0") >= window)
@@ -70,7 +73,7 @@ def deduplicated(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
     """Per document: doc_id, n_lines, n_removed, words_removed, text (what is left)."""
     docs = docs.select("doc_id", "text")
     gone = repeated(docs, gram, window)
-    whole = docs.withColumn("th", F.md5(F.col("text").cast("binary")))
+    whole = docs.withColumn("th", F.xxhash64("text"))
     both = whole.join(gone, ["doc_id", "th"], "left")
     parts = F.split("text", "\n", -1)
     left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("removed")), lambda i: F.get(parts, i)), "\n")
