@@ -5,8 +5,9 @@ window if shorter), are ordered by rarity over all documents.  Full containment
 necessary prefix is the rarest one: a document holding it at word p is a candidate for a window starting at p minus the
 shingle's offset.  Bounds on length and position come first, then the window's words are compared one by one.
 
-Benchmark text reaches the executors in blocks of at most `block_words` words (by hash of the window), each block
-scanned against all documents; so the broadcast is bounded whatever the benchmark's size.
+Benchmark text reaches the executors in blocks of about `block_words` words (by hash of the window), each block
+scanned against all documents.  Blocks come one after the other: what a block found is written before the next is read, and
+its broadcast is released; so driver and executors hold one block at a time, whatever the benchmark's size.
 
 Defined results: null or wordless documents have no words and no hits; null or wordless items have no windows;
 repeated item ids count once; repeated documents are judged one by one; with an empty benchmark nothing is hit.
@@ -15,11 +16,14 @@ repeated item ids count once; repeated documents are judged one by one; with an
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from .common import written
+
 WINDOW, SHINGLE = 10, 5
 BLOCK_WORDS = 500_000
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -42,18 +46,17 @@ def _windows(batches):
         yield pd.DataFrame({"item_id": ids, "window": rows})
 
 
-def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> list[dict]:
-    """The windows of the benchmark in blocks, each a dict of arrays without rarities yet."""
+def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[dict]:
+    """The windows of the benchmark, block by block, each a dict of arrays without rarities yet."""
     rows = benchmark.select("item_id", "text").where("item_id is not null").mapInPandas(_windows, "item_id long, window binary").distinct()
+    rows = written(rows, "windows")
     n = rows.count()
     count = max(1, -(-n * WINDOW // block_words)) if n else 0
     rows = rows.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(max(1, count))))
-    out = []
     for b in range(count):
         pdf = rows.where(F.col("block") == b).select("item_id", "window").toPandas()  # block_words bounds it
         if len(pdf):
-            out.append(_block(pdf))
-    return out
+            yield _block(pdf)
 
 
 def _keys(ids: np.ndarray, k: int) -> np.ndarray:
@@ -170,7 +173,6 @@ def digest(items) -> str:
 def contamination(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     docs = docs.select("doc_id", "text")
-    found = [docs.sparkSession.sparkContext.broadcast(with_prefixes(docs, b)) for b in blocks(benchmark, block_words)]
     state = docs.withColumns({"mask": F.lit(None).cast("binary"), "items": F.lit(None).cast("array<long>")})
 
     def step(shared):
@@ -187,9 +189,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOC
 
         return run
 
-    for shared in found[:-1]:  # a further block only adds to what the documents carry
-        state = state.mapInPandas(step(shared), "doc_id long, text string, mask binary, items array<long>")
-    last = found[-1] if found else None
+    last = None
+    for b in blocks(benchmark, block_words):
+        if last:  # a further block only adds to what the documents carry
+            state = written(state.mapInPandas(step(last), "doc_id long, text string, mask binary, items array<long>"), "judged")
+            last.destroy()
+        last = docs.sparkSession.sparkContext.broadcast(with_prefixes(docs, b))
 
     def finish(batches):
         none = digest(())
@@ -211,7 +216,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS)
     """The documents that hold no window of any item, as they are."""
     names = docs.columns
     at = names.index("text")
+    shared = None
     for b in blocks(benchmark, block_words):
+        if shared:
+            docs = written(docs, "cleaned")
+            shared.destroy()
         shared = docs.sparkSession.sparkContext.broadcast(with_prefixes(docs, b))
 
         def keep(batches, shared=shared):
