@@ -558,6 +558,36 @@ def r6_incremental_ingest(spark, sf):
     return ok.select(F.lit("accepted").alias("reason")).unionByName(bad.select("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"WITH {READINGS} SELECT station_id, seq, temp_c FROM (SELECT * FROM readings ORDER BY seq DESC LIMIT 500) WHERE seq % 29 <> 0")
+def s18_last_lines(spark, sf):
+    """The log's last 500 lines, the feature's own limit; every 29th line is corrupt and goes after the cut."""
+    path = scratch(spark, "log")
+    line = F.when(F.col("seq") % 29 == 0, "{ cut off").otherwise(F.to_json(F.struct("station_id", "seq", "temp_c")))
+    readings(spark, sf).orderBy("seq").select(line.alias("line")).write.text(path)
+    return st.lines(spark, path).select("station_id", "seq", "temp_c")
+
+
+@query(f"WITH {READINGS} SELECT station_id, count(*) AS n, count(temp_c) AS n_temp, max(seq) AS last_seq FROM readings GROUP BY 1")
+def s19_append_log(spark, sf):
+    """Readings of a stream appended to a log of JSON lines, and what the log then holds."""
+    path = scratch(spark, "sink")
+    r = readings(spark, sf).select("station_id", "temp_c", "seq")
+    r.write.parquet(f"{path}/in")
+    st.append_log(spark.readStream.schema(r.schema).parquet(f"{path}/in"), f"{path}/log", f"{path}/state").awaitTermination()
+    log = spark.read.schema(st.READING).json(f"{path}/log")
+    return log.groupBy("station_id").agg(F.count(F.lit(1)).alias("n"), F.count("temp_c").alias("n_temp"), F.max("seq").alias("last_seq"))
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS guid, 'alerts/' || CAST(event_id AS VARCHAR) || '.xml' AS link FROM events ORDER BY event_id DESC LIMIT 25")
+def s17_feed_index(spark, sf):
+    """The 25 items that stand first in a feed of all events, newest first."""
+    path = scratch(spark, "feed")
+    guid = F.col("event_id").cast("string")
+    items = table(spark, sf, "events").orderBy(F.desc("event_id")).select(guid.alias("guid"), F.concat(F.lit("alerts/"), guid, F.lit(".xml")).alias("link"), F.lit("event").alias("title"))
+    items.write.format("xml").option("rootTag", "channel").option("rowTag", "item").save(path)
+    return bu.feed(spark, path, 25)
+
+
 @query(f"WITH {LEVELS} SELECT source_id, 'temp: no unit' AS breach, count(*) AS n_levels FROM levels GROUP BY 1")
 def n8_reader_contract(spark, sf):
     """Per source the breaches of the reader contract: the temperature is declared without a unit."""

@@ -57,6 +57,7 @@ def totals(rows: DataFrame) -> DataFrame:
 
 
 def feed(spark: SparkSession, path: str, newest: int) -> DataFrame:
-    """(guid, link) of a feed's first items; feeds list the newest first."""
+    """(guid, link) of a feed's first items; feeds list the newest first, and parts of one follow one another by name."""
     items = spark.read.format("xml").option("rowTag", "item").schema("guid string, link string, title string").load(path)
-    return items.withColumn("seq", F.monotonically_increasing_id()).orderBy("seq").limit(newest).select("guid", "link")
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
+    return items.select("guid", "link", place.alias("place")).orderBy("place").limit(newest).select("guid", "link")

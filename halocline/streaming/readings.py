@@ -33,11 +33,20 @@ def stamped(readings: DataFrame, received: Column | None = None) -> DataFrame:
 
 
 def lines(spark: SparkSession, path: str, last: int = LAST_LINES) -> DataFrame:
-    """The last lines of a JSON-lines log, oldest first; corrupt ones are dropped after the cut."""
-    text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("pos", "line")).where("trim(line) <> ''")
+    """The last lines of a JSON-lines log, oldest first; corrupt ones are dropped after the cut.
+
+    The log is read in splits and may have many files, which follow one another by name; only the last lines are sorted.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
+    text = spark.read.text(path).select(place.alias("pos"), F.col("value").alias("line")).where("trim(line) <> ''")
     kept = text.orderBy(F.desc("pos")).limit(last)
     parsed = kept.select("pos", F.from_json("line", READING + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
-    return parsed.where("r is not null and r._corrupt is null").select("pos", "r.*").drop("_corrupt").orderBy("pos")
+    return parsed.where("r is not null and r._corrupt is null").select("pos", "r.*").drop("_corrupt").orderBy("pos").drop("pos")
+
+
+def append_log(stream: DataFrame, path: str, checkpoint: str):
+    """Start the append of readings to a JSON-lines log, one line a reading."""
+    return stream.writeStream.format("json").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def history(readings: DataFrame, look_back: int = LOOK_BACK) -> DataFrame:
