@@ -1,4 +1,7 @@
-"""Isosurfaces of one step of a field: cells, vertices, triangles, topology."""
+"""Isosurfaces of a field: cells, vertices, triangles, topology.
+
+A field is one step, or many told apart by the columns `by`, which then lead every key and vertex id.
+"""
 
 from __future__ import annotations
 
@@ -14,20 +17,20 @@ CORNERS = list(product((0, 1), repeat=3))
 EDGES = [(c, axis) for c in range(8) for axis in range(3) if CORNERS[c][axis] == 0]
 
 
-def cells(field: DataFrame, var: str, iso: float) -> DataFrame:
+def cells(field: DataFrame, var: str, iso: float, by: tuple[str, ...] = ()) -> DataFrame:
     """Per cell of eight nodes: valid corners, mask of corners at or above iso, ties, and active, skipped, straddling."""
     corner = F.explode(F.array(*[F.struct(F.lit(n).alias("c"), *[F.lit(o).alias(f"d{x}") for x, o in enumerate(off)]) for n, off in enumerate(CORNERS)]))
     v = F.col(var)
-    near = field.select(*DIMS, v.alias("v"), corner.alias("o"))
-    near = near.select(*[(F.col(d) - F.col(f"o.d{x}")).alias(d) for x, d in enumerate(DIMS)], F.col("o.c").alias("c"), "v")
+    near = field.select(*by, *DIMS, v.alias("v"), corner.alias("o"))
+    near = near.select(*by, *[(F.col(d) - F.col(f"o.d{x}")).alias(d) for x, d in enumerate(DIMS)], F.col("o.c").alias("c"), "v")
     inside = F.col("v") >= iso
-    by = near.groupBy(*DIMS).agg(
+    out = near.groupBy(*by, *DIMS).agg(
         F.count("v").alias("valid"), F.count(F.lit(1)).alias("nodes"), F.coalesce(F.bit_or(F.when(inside, F.expr("shiftleft(1, c)"))), F.lit(0)).alias("mask"),
         F.count_if(inside).alias("n_in"), F.count_if(F.col("v") < iso).alias("n_out"), F.count_if(F.col("v") == iso).alias("ties"),
         F.map_from_entries(F.collect_list(F.struct("c", (F.col("v") - iso).alias("v")))).alias("vals"),
     ).where("nodes = 8")
     straddles = (F.col("n_in") > 0) & (F.col("n_out") > 0)
-    return by.withColumns({"active": (F.col("valid") == 8) & straddles, "skipped": F.col("valid") < 8, "masked_straddle": (F.col("valid") < 8) & straddles}).withColumn("bits", face_bits())
+    return out.withColumns({"active": (F.col("valid") == 8) & straddles, "skipped": F.col("valid") < 8, "masked_straddle": (F.col("valid") < 8) & straddles}).withColumn("bits", face_bits())
 
 
 def faces() -> list[tuple[int, int, int, int]]:
@@ -106,7 +109,7 @@ def case_table(spark) -> DataFrame:
     return spark.createDataFrame(rows, "mask int, bits int, loop int, pos int, size int, edge int, next_edge int")
 
 
-def crossings(field: DataFrame, var: str, iso: float, active: DataFrame | None = None) -> DataFrame:
+def crossings(field: DataFrame, var: str, iso: float, active: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Mesh vertices: (k_idx, j, i, axis) of the edge's lower node, lat, lon, depth and the bracket's thickness on depth edges.
 
     With active cells given, only edges of at least one of them.
@@ -115,20 +118,20 @@ def crossings(field: DataFrame, var: str, iso: float, active: DataFrame | None =
     parts = []
     for axis, d in enumerate(DIMS):
         others = [x for x in DIMS if x != d]
-        order = W.partitionBy(*others).orderBy(d)
+        order = W.partitionBy(*by, *others).orderBy(d)
         nxt = lambda c: F.when(F.lead(d).over(order) == F.col(d) + 1, F.lead(c).over(order))  # noqa: B023, E731
-        row = field.select(*DIMS, "lat", "lon", "depth", v.alias("v"), nxt(var).alias("v2"), nxt("lat").alias("lat2"), nxt("lon").alias("lon2"), nxt("depth").alias("depth2"))
+        row = field.select(*by, *DIMS, "lat", "lon", "depth", v.alias("v"), nxt(var).alias("v2"), nxt("lat").alias("lat2"), nxt("lon").alias("lon2"), nxt("depth").alias("depth2"))
         row = row.where(((F.col("v") >= iso) & (F.col("v2") < iso)) | ((F.col("v") < iso) & (F.col("v2") >= iso)))
         t = (iso - F.col("v")) / (F.col("v2") - F.col("v"))
         mid = lambda c: (F.col(c) + t * (F.col(f"{c}2") - F.col(c))).alias(c)  # noqa: B023, E731
-        parts.append(row.select(*DIMS, F.lit(axis).alias("axis"), mid("lat"), mid("lon"), mid("depth"), F.when(F.lit(axis == 0), F.col("depth2") - F.col("depth")).alias("dz")))
+        parts.append(row.select(*by, *DIMS, F.lit(axis).alias("axis"), mid("lat"), mid("lon"), mid("depth"), F.when(F.lit(axis == 0), F.col("depth2") - F.col("depth")).alias("dz")))
     out = parts[0].unionByName(parts[1]).unionByName(parts[2])
     if active is None:
         return out
-    own = active.select(*[F.col(d).alias(f"c_{d}") for d in DIMS])
+    own = active.select(*by, *[F.col(d).alias(f"c_{d}") for d in DIMS])
     off = [F.struct(*[F.lit(o).alias(f"d{x}") for x, o in enumerate(CORNERS[c])], F.lit(axis).alias("axis")) for c, axis in EDGES]
-    used = own.select("*", F.explode(F.array(*off)).alias("o")).select(*[(F.col(f"c_{d}") + F.col(f"o.d{x}")).alias(d) for x, d in enumerate(DIMS)], F.col("o.axis").alias("axis")).distinct()
-    return out.join(used, [*DIMS, "axis"], "left_semi")
+    used = own.select("*", F.explode(F.array(*off)).alias("o")).select(*by, *[(F.col(f"c_{d}") + F.col(f"o.d{x}")).alias(d) for x, d in enumerate(DIMS)], F.col("o.axis").alias("axis")).distinct()
+    return out.join(used, [*by, *DIMS, "axis"], "left_semi")
 
 
 def _key(edge: str) -> list[Column]:
@@ -138,23 +141,24 @@ def _key(edge: str) -> list[Column]:
     return [*[F.col(d) + F.element_at(at, n + 1) for n, d in enumerate(DIMS)], F.element_at(at, 4)]
 
 
-def vertex_id(k: Column, j: Column, i: Column, axis: Column) -> Column:
-    return F.concat_ws(":", k.cast("string"), j.cast("string"), i.cast("string"), axis.cast("string"))
+def vertex_id(*key: Column) -> Column:
+    return F.concat_ws(":", *[c.cast("string") for c in key])
 
 
-def triangles(field: DataFrame, var: str, iso: float) -> tuple[DataFrame, DataFrame]:
+def triangles(field: DataFrame, var: str, iso: float, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(vertices, triangles).  vertices(id, lat, lon, depth); triangles(a, b, c), directed, without those of zero area."""
-    all_cells = cells(field, var, iso)
-    active = all_cells.where("active").select(*DIMS, "mask", "bits").checkpoint()
+    all_cells = cells(field, var, iso, by)
+    active = all_cells.where("active").select(*by, *DIMS, "mask", "bits").checkpoint()
     table = case_table(field.sparkSession)
     parts = active.join(F.broadcast(table), ["mask", "bits"])  # the case table has a fixed size
-    edge_v = crossings(field, var, iso, active).withColumn("id", vertex_id(*[F.col(d) for d in DIMS], F.col("axis"))).select("id", "lat", "lon", "depth").checkpoint()
-    parts = parts.select(*DIMS, "loop", "pos", "size", vertex_id(*_key("edge")).alias("b"), vertex_id(*_key("next_edge")).alias("c"))
-    centre = F.concat_ws(":", F.lit("m"), *[F.col(d).cast("string") for d in DIMS], F.col("loop").cast("string"))
+    edge_v = crossings(field, var, iso, active, by).withColumn("id", vertex_id(*[F.col(d) for d in (*by, *DIMS)], F.col("axis"))).select("id", "lat", "lon", "depth").checkpoint()
+    step = [F.col(d) for d in by]
+    parts = parts.select(*by, *DIMS, "loop", "pos", "size", vertex_id(*step, *_key("edge")).alias("b"), vertex_id(*step, *_key("next_edge")).alias("c"))
+    centre = F.concat_ws(":", F.lit("m"), *[F.col(d).cast("string") for d in (*by, *DIMS)], F.col("loop").cast("string"))
     placed = parts.join(edge_v.withColumnRenamed("id", "b"), "b")
     mids = placed.where("size > 3").groupBy(centre.alias("id")).agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.avg("depth").alias("depth"))
     fans = parts.where("size > 3").select(centre.alias("a"), "b", "c")
-    three = parts.where("size = 3").groupBy(*DIMS, "loop").agg(*[F.max(F.when(F.col("pos") == p, F.col("b"))).alias(n) for p, n in enumerate("abc")]).select("a", "b", "c")
+    three = parts.where("size = 3").groupBy(*by, *DIMS, "loop").agg(*[F.max(F.when(F.col("pos") == p, F.col("b"))).alias(n) for p, n in enumerate("abc")]).select("a", "b", "c")
     vertices = edge_v.unionByName(mids)
     tri = fans.unionByName(three)
     for n in "abc":

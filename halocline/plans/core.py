@@ -512,15 +512,15 @@ def g2_crossings(spark, sf):
 
 @query()
 def g3_triangles(spark, sf):
-    return ms.triangles(grid(spark, sf, "t_idx = 2"), "rough", 20.0)[1]
+    return ms.triangles(grid(spark, sf), "rough", 20.0, ("t_idx",))[1]
 
 
 @query()
 def a26_boundary_edges(spark, sf):
-    return ms.boundary_edges(ms.triangles(grid(spark, sf, "t_idx = 2"), "rough", 20.0)[1])
+    return ms.boundary_edges(ms.triangles(grid(spark, sf), "rough", 20.0, ("t_idx",))[1])
 
 
 @query()
 def g4_mesh_components(spark, sf):
-    labels = ms.mesh_components(ms.triangles(grid(spark, sf, "t_idx = 2"), "temp", 15.0)[1])
+    labels = ms.mesh_components(ms.triangles(grid(spark, sf), "temp", 15.0, ("t_idx",))[1])
     return labels.groupBy("label").agg(F.count(F.lit(1)).alias("n_vertices"))

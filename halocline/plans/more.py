@@ -264,12 +264,12 @@ def a19_valid_cells(spark, sf):
 
 @query()
 def x3_sigma0(spark, sf):
-    return de.run(grid(spark, sf, "t_idx < 3"), "sigma0", UNITS).select("t_idx", "k_idx", "j", "i", F.round("sigma0", 4).alias("sigma0"))
+    return de.run(grid(spark, sf), "sigma0", UNITS).select("t_idx", "k_idx", "j", "i", F.round("sigma0", 4).alias("sigma0"))
 
 
 @query()
 def x4_sound_speed(spark, sf):
-    return de.run(grid(spark, sf, "t_idx < 3"), "sound", UNITS).select("t_idx", "k_idx", "j", "i", F.round("sound", 4).alias("sound"))
+    return de.run(grid(spark, sf), "sound", UNITS).select("t_idx", "k_idx", "j", "i", F.round("sound", 4).alias("sound"))
 
 
 @query(f"WITH {GRID} SELECT unnest(['d26', 'sigma0', 'sound']) AS product, max(t_idx) * 0 AS shadowed FROM grid")
