@@ -1,7 +1,8 @@
 """Logistic regression over hashed n-grams of a text, with calibrated probabilities.
 
-Training takes a bounded sample of labelled rows (`sample` rows, those with the least md5 of their id), so what
-reaches the driver has a fixed bound; scoring runs in Arrow batches on the executors over all rows and whole texts.
+Training takes a bounded sample of labelled rows (`sample` rows, those with the least md5 of their id).  Their features
+stay on the executors, in the shared folder; each step of the fit brings back sums of gradients, one a block of documents.
+Scoring runs in Arrow batches on the executors over all rows and whole texts.
 """
 
 from __future__ import annotations
@@ -13,14 +14,20 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from .common import written
+
 BITS = 15
 SIZE = 1 << BITS
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 _TOP = np.uint64(64 - BITS)
-FAMILIES = 3
+FAMILIES = 4
 DENSE = 8
 #: Feature values are shares of the text's n-grams; this scale makes usual weights of order one.
 SCALE = 30.0
+#: Words of a block within which distinct ones are counted, so that a text's length doesn't matter.
+STRETCH = 200
+#: Blocks that the sample is dealt to by id; gradients are summed in their order.
+BLOCKS = 24
 
 
 def spread(h: np.ndarray) -> np.ndarray:
@@ -34,18 +41,30 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(digest, words), np.uint64, len(words))
 
 
+def distinct_share(wh: np.ndarray) -> float:
+    """Share of distinct words within consecutive stretches of STRETCH words, over the whole text; weighted by words, 1 if there are none."""
+    n = len(wh)
+    if not n:
+        return 1.0
+    stretch = np.arange(n) // STRETCH
+    order = np.lexsort((wh, stretch))
+    w, b = wh[order], stretch[order]
+    return (1 + np.count_nonzero((w[1:] != w[:-1]) | (b[1:] != b[:-1]))) / n
+
+
 def families(text: str) -> tuple[list[np.ndarray], np.ndarray]:
-    """Bucket numbers of the word uni- and bigrams and the character 4-grams; shares that n-grams can't tell."""
+    """Bucket numbers of the word uni- and bigrams and the character tri- and 4-grams; shares that n-grams can't tell."""
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()
     wh = word_hashes(words)
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     with np.errstate(over="ignore"):
-        four = c[:-3] * _A + c[1:-2] * _B + c[2:-1] * _C + c[3:] * _D
+        tri = c[:-2] * _A + c[1:-1] * _B + c[2:] * _C
+        four = tri[:-1] + c[3:] * _D
         two = wh[:-1] * _B + wh[1:] * _C
-        out = [(spread(x + np.uint64(k)) >> _TOP).astype(np.int64) + k * SIZE for k, x in enumerate((wh, two, four))]
+        out = [(spread(x + np.uint64(k)) >> _TOP).astype(np.int64) + k * SIZE for k, x in enumerate((wh, two, tri, four))]
     n, chars = max(1, len(words)), max(1, len(c))
-    common = len(set(words[:200])) / max(1, len(words[:200]))
+    common = distinct_share(wh)
     lines = [x for x in text.split("\n") if x]
     dense = np.array([
         12 * np.count_nonzero(wh[1:] == wh[:-1]) / n,
@@ -102,8 +121,34 @@ def _sparse(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def _features(batches):
     for pdf in batches:
-        rows = [_sparse(t) for t in pdf["text"]]
-        yield pd.DataFrame({"id": pdf["id"], "label": pdf["label"], "idx": [r[0] for r in rows], "val": [r[1] for r in rows]})
+        for k in range(0, len(pdf), 50):
+            part = pdf.iloc[k : k + 50]
+            rows = [_sparse(t) for t in part["text"]]
+            held = [_third(x) == 0 for x in part["id"]]
+            yield pd.DataFrame({"id": part["id"], "label": part["label"], "held": held, "idx": [r[0].tobytes() for r in rows], "val": [r[1].tobytes() for r in rows]})
+
+
+def _third(x) -> int:
+    """The part of the sample an id falls to: 0 calibrates, 1 and 2 fit."""
+    return xxhash.xxh3_64_intdigest(str(x).encode()) % 3
+
+
+def _packed(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    """One row of a block of documents: labels, lengths, bucket numbers and values one after another, in order of the ids."""
+    pdf = pdf.sort_values("id", kind="stable").drop_duplicates("id")
+    lens = np.array([len(x) // 4 for x in pdf["idx"]], np.int64)
+    return pd.DataFrame({
+        "held": [bool(key[0])], "block": [int(key[1])], "labels": [pdf["label"].to_numpy(np.float64).tobytes()], "lens": [lens.tobytes()],
+        "idx": [b"".join(pdf["idx"])], "val": [b"".join(pdf["val"])],
+    })
+
+
+def _margins(row, w: np.ndarray):
+    """Labels, lengths, buckets, values and raw scores of a block's documents."""
+    y, lens = np.frombuffer(row.labels), np.frombuffer(row.lens, np.int64)
+    idx, val = np.frombuffer(row.idx, np.int32), np.frombuffer(row.val, np.float32)
+    starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
+    return y, lens, idx, val, np.add.reduceat(val * w[idx], starts)
 
 
 def labelled(labels: DataFrame, label: str, id_col: str, sample: int) -> DataFrame:
@@ -112,43 +157,64 @@ def labelled(labels: DataFrame, label: str, id_col: str, sample: int) -> DataFra
     return one.orderBy(F.md5(F.col("id").cast("string").cast("binary")), "id").limit(sample)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = 1200, id_col: str = "doc_id", l2: float = 1e-3, rounds: int = 60) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = 4000, id_col: str = "doc_id", l2: float = 1e-3, rounds: int = 60) -> Model:
     """Fit on two thirds of the sample and calibrate (Platt) on the rest; without both labels, a constant that keeps."""
     own = docs.select(F.col(id_col).alias("id"), F.col("text"))
-    rows = own.join(F.broadcast(labelled(labels, label, id_col, sample)), "id").mapInPandas(_features, "id long, label int, idx array<int>, val array<float>").toPandas()
-    rows = rows.sort_values("id", kind="stable").drop_duplicates("id")
-    ids, y = rows["id"].tolist(), rows["label"].to_numpy(dtype=float)
-    docs_x = list(zip(rows["idx"], rows["val"]))
-    del rows
+    rows = own.join(F.broadcast(labelled(labels, label, id_col, sample)), "id").mapInPandas(_features, "id long, label int, held boolean, idx binary, val binary")
+    block = F.pmod(F.xxhash64("id"), F.lit(BLOCKS)).cast("int")
+    packed = rows.groupBy("held", block.alias("block")).applyInPandas(_packed, "held boolean, block int, labels binary, lens binary, idx binary, val binary")
+    blocks = written(packed, "sample")
+    known = [(r["held"], np.frombuffer(r["labels"])) for r in blocks.select("held", "labels").collect()]  # labels of the sample, a number each
     size = FAMILIES * SIZE + DENSE + 1
-    if len(ids) < 20 or y.min() == y.max():
+    y = np.concatenate([x for _, x in known]) if known else np.empty(0)
+    if len(y) < 20 or y.min() == y.max():
         return Model(np.zeros(size), 0.0, 3.0, 1.0)
-    part = np.array([xxhash.xxh3_64_intdigest(str(x).encode()) % 3 for x in ids])
-    fit, held = np.flatnonzero(part > 0), np.flatnonzero(part == 0)
-    w = _fit([docs_x[i] for i in fit], y[fit], size, l2, rounds)
-    raw = np.array([docs_x[i][1] @ w[docs_x[i][0]] for i in held])
-    slope, offset = _platt(raw, y[held])
+    fit = np.concatenate([np.empty(0), *[x for held, x in known if not held]])
+    w = _fit(blocks.where("not held"), float(fit.sum()), float((1 - fit).sum()), size, l2, rounds)
+    raw, got = _scores(blocks.where("held"), w)
+    slope, offset = _platt(raw, got)
     return Model(w, slope, offset, float(y.mean()))
 
 
-def _fit(docs: list[tuple[np.ndarray, np.ndarray]], t: np.ndarray, size: int, l2: float, rounds: int, chunk: int = 100) -> np.ndarray:
-    """Full-batch Adam: a fixed number of steps in a fixed order, so that reruns agree.  Chunks of documents bound memory."""
-    each = np.where(t > 0, 0.5 / max(1, t.sum()), 0.5 / max(1, (1 - t).sum()))
-    parts = []
-    for k in range(0, len(docs), chunk):
-        lens = np.array([len(i) for i, _ in docs[k : k + chunk]])
-        parts.append((np.concatenate([i for i, _ in docs[k : k + chunk]]), np.concatenate([v for _, v in docs[k : k + chunk]]), lens, np.concatenate([[0], np.cumsum(lens)[:-1]]), slice(k, k + chunk)))
+def _fit(blocks: DataFrame, good: float, bad: float, size: int, l2: float, rounds: int) -> np.ndarray:
+    """Full-batch Adam: a fixed number of steps, gradients summed in the blocks' order, so that reruns agree."""
+    sc = blocks.sparkSession.sparkContext
     w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
     for k in range(1, rounds + 1):
+        now = sc.broadcast(w)
+
+        def slopes(batches, now=now):
+            for pdf in batches:
+                for row in pdf.itertuples():
+                    y, lens, idx, val, raw = _margins(row, now.value)
+                    each = np.where(y > 0, 0.5 / max(1.0, good), 0.5 / max(1.0, bad))
+                    p = 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
+                    g = np.bincount(idx, weights=val * np.repeat(each * (p - y), lens), minlength=size)
+                    yield pd.DataFrame({"block": [row.block], "g": [g.tobytes()]})
+
         g = l2 * w
-        for idx, val, lens, starts, own in parts:
-            p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(val * w[idx], starts), -30, 30)))
-            g += np.bincount(idx, weights=val * np.repeat(each[own] * (p - t[own]), lens), minlength=size)
+        for row in sorted(blocks.mapInPandas(slopes, "block int, g binary").collect(), key=lambda r: r["block"]):
+            g += np.frombuffer(row["g"])
+        now.destroy()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w -= 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-6)
+        w = w - 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-6)
     return w
 
 
+def _scores(blocks: DataFrame, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Raw scores and labels of the blocks' documents."""
+    now = blocks.sparkSession.sparkContext.broadcast(w)
+
+    def score(batches):
+        for pdf in batches:
+            for row in pdf.itertuples():
+                y, *_, raw = _margins(row, now.value)
+                yield pd.DataFrame({"block": [row.block], "raw": [raw.tobytes()], "y": [y.tobytes()]})
+
+    rows = sorted(blocks.mapInPandas(score, "block int, raw binary, y binary").collect(), key=lambda r: r["block"])
+    return tuple(np.concatenate([np.empty(0), *[np.frombuffer(r[c]) for r in rows]]) for c in ("raw", "y"))
+
+
 def _platt(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Newton steps for a sigmoid of the raw score, on smoothed targets."""
     if len(raw) < 10 or y.min() == y.max():
