@@ -539,8 +539,8 @@ def r3_threshold_stream(spark, sf):
     """The stateful stream over a replay of the accepted readings, state kept per station; results land in a table."""
     path = scratch(spark, "readings")
     ok = readings(spark, sf).withColumn("reason", st.reason()).where("reason is null").select("station_id", "seq", "temp_c")
-    ok.coalesce(1).sortWithinPartitions("seq").write.parquet(f"{path}/in")  # one file: the replay is one log, read in order
-    stream = spark.readStream.schema(ok.schema).parquet(f"{path}/in")
+    st.replay_log(ok, f"{path}/in")
+    stream = spark.readStream.schema(ok.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
     q = st.trip_stream(stream).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema("station_id string, seq long, delta double").parquet(f"{path}/out").withColumn("delta", F.round("delta", 3))

@@ -14,6 +14,8 @@ LIMITS = {"temp_c": (-5.0, 100.0), "tds_ppm": (0.0, 60000.0), "turbidity_ntu": (
 #: Trip rule: least readings with the current one, deviations, degrees, readings looked back (fixed values).
 MIN_READINGS, SIGMAS, DEGREES, LOOK_BACK = 13, 6.0, 1.5, 500
 LAST_LINES = 500
+#: Readings of a file of a replayed log, about; a batch of the stream is one file.
+REPLAY_ROWS = 500_000
 
 
 def reason(limits: dict[str, tuple[float, float]] = LIMITS) -> Column:
@@ -71,16 +73,16 @@ def threshold_alerts(readings: DataFrame) -> DataFrame:
 def _trip(key, batches, state: GroupState):
     values: list[float] = list(state.get[0]) if state.exists else []
     out = []
-    for pdf in batches:
-        for seq, v in sorted(zip(pdf["seq"], pdf["temp_c"])):
-            n = len(values)
-            if n + 1 >= MIN_READINGS:
-                mean = sum(values) / n
-                std = (sum((x - mean) ** 2 for x in values) / n) ** 0.5
-                delta = abs(v - mean)
-                if delta >= DEGREES and (std == 0 or delta >= SIGMAS * std):
-                    out.append((key[0], int(seq), v - mean))
-            values = [*values[-(LOOK_BACK - 1) :], float(v)]
+    # splits of a batch meet in no set order
+    for seq, v in sorted(r for pdf in batches for r in zip(pdf["seq"].tolist(), pdf["temp_c"].tolist())):
+        n = len(values)
+        if n + 1 >= MIN_READINGS:
+            mean = sum(values) / n
+            std = (sum((x - mean) ** 2 for x in values) / n) ** 0.5
+            delta = abs(v - mean)
+            if delta >= DEGREES and (std == 0 or delta >= SIGMAS * std):
+                out.append((key[0], int(seq), v - mean))
+        values = [*values[-(LOOK_BACK - 1) :], float(v)]
     state.update((values,))
     yield pd.DataFrame(out, columns=["station_id", "seq", "delta"])
 
@@ -93,6 +95,19 @@ def trip_stream(accepted: DataFrame) -> DataFrame:
     return accepted.groupBy("station_id").applyInPandasWithState(_trip, "station_id string, seq long, delta double", "vals array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+def replay_log(readings: DataFrame, path: str, rows: int = REPLAY_ROWS) -> None:
+    """Write readings as files of ranges of seq, by many tasks, with times in that order: a file stream takes the oldest first."""
+    spark = readings.sparkSession
+    n = max(1, -(-readings.count() // rows))
+    readings.repartitionByRange(n, "seq").sortWithinPartitions("seq").write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted((f.getPath() for f in fs.listStatus(where) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    last = max(fs.getFileStatus(p).getModificationTime() for p in files)
+    for k, p in enumerate(files):
+        fs.setTimes(p, last - 1000 * (len(files) - k), -1)
+
+
 def to_sinks(stream: DataFrame, accepted_path: str, refused_path: str, checkpoint: str):
     """Start the ingest: accepted readings appended to one table, refused ones with their reason to another.
 
