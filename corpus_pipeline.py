@@ -15,10 +15,26 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first document of each near-duplicate group (operator 4), five-word shingles at 0.8; rows that repeat it go."""
-    groups = minhash.near_duplicates(docs, words=5, percent=80)
-    kept = groups.where("kept or doc_id is null").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id"])
+    """Keep the first document of each near-duplicate group (operator 4), five-word shingles at 0.8; rows that repeat its id and text go.
+
+    Documents without an id, or with one that another text has too, are grouped by their own sets, after those with an id of their own.
+    """
+    keyed = with_key(docs)
+    groups = minhash.near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), words=5, percent=80)
+    kept = groups.where("kept").select(F.col("doc_id").alias("__id")).distinct()
+    return keyed.join(kept, F.col("__key") == F.col("__id"), "left_semi").dropDuplicates(["__key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def with_key(docs: DataFrame) -> DataFrame:
+    """docs with __key: the id, or where it's null or a second text has it, a number from 2**61 up by id and text."""
+    own = F.xxhash64("text")
+    texts = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("__shared")).agg(F.min(own).alias("__lo"), F.max(own).alias("__hi"))
+    shared = written(texts.where("__lo < __hi").select("__shared", "__lo"), "shared")
+    if shared.count() <= classifier.BROADCAST_ROWS:
+        shared = F.broadcast(shared)
+    other = F.xxhash64("doc_id", "text").bitwiseAND(F.lit(2**61 - 1)).bitwiseOR(F.lit(2**61))
+    key = F.when(F.col("doc_id").isNull() | (F.col("__lo").isNotNull() & (own != F.col("__lo"))), other).otherwise(F.col("doc_id"))
+    return docs.join(shared, F.col("doc_id") == F.col("__shared"), "left").withColumn("__key", key).drop("__shared", "__lo")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
