@@ -6,12 +6,13 @@
    thinned by size and sketch and verified on the full sets; verified pairs are joined by union-find.
 4. Keys that still hold several components are searched in full, in blocks of a bounded number of sets: pairs of
    different components that neither sketch nor bitmap excludes are verified.  First one pair per component met, then all
-   that are left.  No pair that shares a band is left out unless it's already joined.
+   that are left.
 
-The sketch only excludes pairs more than SLACK below the threshold (over 4.5 standard deviations).  A set's bitmap has
+The sketch only excludes pairs that agree in fewer than floor_of places: a pair at the threshold does so ten times more
+rarely at least than it shares no band.  A set's bitmap has
 one bit set per hash; bits in which two bitmaps differ never outnumber the shingles in which the sets differ, so what
 it excludes is proven to be no link, and few pairs below the threshold are left.  With BANDS bands of ROWS rows a pair
-at the threshold of 0.85 shares none with probability 2e-8, at 0.8 with 1.5e-6.
+at the threshold is lost, by bands or sketch, with the probability that missed() bounds.
 
 Defined results: documents without words, or null, have an empty set, link with nothing and stay; repeated rows of
 one id are one document each in the result with the same component; an empty table gives no rows; other columns are ignored.
@@ -20,6 +21,7 @@ one id are one document each in the result with the same component; an empty tab
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -30,7 +32,6 @@ from .textmodel import spread, word_hashes
 
 BANDS, ROWS = 24, 4
 SKETCH = BANDS * ROWS
-SLACK = 0.17
 #: Sets compared in one task at a time when a key is searched in full.
 BLOCK = 1024
 #: Words of the filter that keeps texts without candidates from being shuffled: 8 MB, whatever the data.
@@ -39,6 +40,27 @@ _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
+def unbanded(percent: int) -> float:
+    """Probability that a pair at the threshold shares no band."""
+    return (1 - (percent / 100) ** ROWS) ** BANDS
+
+
+def below(places: int, percent: int) -> float:
+    """Probability that a pair at the threshold agrees in fewer places (binomial; SuperMinHash varies no more)."""
+    p = percent / 100
+    return sum(math.comb(SKETCH, k) * p**k * (1 - p) ** (SKETCH - k) for k in range(places))
+
+
+def floor_of(percent: int) -> float:
+    """Share of places below which a sketch excludes a pair."""
+    return max(k for k in range(SKETCH) if below(k, percent) <= unbanded(percent) / 10) / SKETCH
+
+
+def missed(percent: int) -> float:
+    """Bound of the probability that a pair at the threshold isn't verified."""
+    return unbanded(percent) + below(round(floor_of(percent) * SKETCH), percent)
+
+
 def shingle_set(text: str | None, k: int) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct k-word shingles; a shorter text is one shingle, an empty one none."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
@@ -193,7 +215,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     feats = written(docs.mapInPandas(_features(words), "doc_id long, n long, same binary, keys array<long>, sketch binary, bits binary"), "features")
     reps = feats.where("n > 0").groupBy("same").agg(F.min("doc_id").alias("rep"))
     shown = written(feats.where("n > 0").join(reps, "same").where("doc_id = rep").dropDuplicates(["rep"]).select("rep", "n", "keys", "sketch", "bits"), "reps")
-    floor = percent / 100 - SLACK
+    floor = floor_of(percent)
 
     each = shown.select("rep", F.explode("keys").alias("key"))
     often = each.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("most")).where("pivot < most")
