@@ -1,8 +1,8 @@
 """Secret scans (operator 10): fixed patterns, and tokens that pass a battery of randomness tests.
 
-A token is a run of 20 or more characters of the base-64 alphabets with letters and digits.  Its encoding is inferred as the
-smallest alphabet that holds it.  Three tests give p-values under randomness: chi-squared uniformity over the alphabet,
-runs about the middle of the alphabet, and serial correlation.  Fisher's sum combines them.  Tokens are declared not
+A token is a run of 20 or more characters of the base-64 alphabets.  Its encoding is inferred as the
+smallest alphabet that holds it.  Five tests give p-values under randomness: chi-squared uniformity over the alphabet,
+runs about the middle of the alphabet, serial correlation, shares of lower case, upper case, digits and signs, and surplus of vowels.  Fisher's sum combines them.  Tokens are declared not
 random by false-discovery control (Benjamini-Hochberg at Q) within each encoding and length class over the whole
 corpus; those that remain and carry BITS bits or more are spans of kind 'random', unless they meet a fixed pattern's span.
 
@@ -38,6 +38,7 @@ ALPHABETS = {
     "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64": "+/0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64url": "-0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz",
+    "base64any": "+-/0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz",
 }
 LENGTHS = (20, 32, 64, 128)
 Q, BITS = 0.05, 90
@@ -68,6 +69,25 @@ def _chi2_tail(x: float, df: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
+def _kinds(s: str) -> tuple[int, int, int, int]:
+    low, up, num = sum("a" <= c <= "z" for c in s), sum("A" <= c <= "Z" for c in s), sum("0" <= c <= "9" for c in s)
+    return low, up, num, len(s) - low - up - num
+
+
+def structure(token: str, alphabet: str) -> list[float]:
+    """p-values of the shares of kinds of characters, and of more vowels among letters than chance gives: words, paths, names and numbers stand out."""
+    n, size = len(token), len(alphabet)
+    have, of = _kinds(token), _kinds(alphabet)
+    chi = sum((h - n * k / size) ** 2 / (n * k / size) for h, k in zip(have, of) if k)
+    ps = [_chi2_tail(chi, sum(k > 0 for k in of) - 1)]
+    letters = have[0] + have[1]
+    share = sum(c in "aeiouAEIOU" for c in alphabet) / (of[0] + of[1])
+    if letters:
+        off = (sum(c in "aeiouAEIOU" for c in token) - letters * share) / math.sqrt(letters * share * (1 - share))
+        ps.append(0.5 * math.erfc(off / math.sqrt(2)))
+    return ps
+
+
 def battery(token: str, alphabet: str) -> float:
     """Combined p-value of the token under uniform random choice from the alphabet."""
     n, size = len(token), len(alphabet)
@@ -92,9 +112,10 @@ def battery(token: str, alphabet: str) -> float:
     var = sum((v - mid) ** 2 for v in x)
     r = sum((u - mid) * (v - mid) for u, v in zip(x, x[1:])) / var if var else 1.0
     ps.append(math.erfc(abs(r * math.sqrt(n)) / math.sqrt(2)))
+    ps += structure(token, alphabet)
     fisher = -2 * sum(math.log(max(p, 1e-300)) for p in ps)
     half = fisher / 2
-    return min(1.0, math.exp(-half) * (1 + half + half * half / 2))  # chi-squared, 6 degrees of freedom
+    return min(1.0, math.exp(-half) * sum(half**k / math.factorial(k) for k in range(len(ps))))  # chi-squared, two degrees of freedom a test
 
 
 def encoding(token: str) -> str | None:
@@ -103,12 +124,11 @@ def encoding(token: str) -> str | None:
 
 
 def tokens(text: str) -> list[tuple[int, int, str, int]]:
-    """(start, end, class, p-value's bin) of the tokens with letters and digits and enough bits."""
+    """(start, end, class, p-value's bin) of the tokens with enough bits."""
     out = []
     for m in TOKEN.finditer(text):
         token = m.group().rstrip("=")
-        digits = sum(c.isdigit() for c in token)
-        if len(token) < LENGTHS[0] or digits < 2 or digits == len(token) or (name := encoding(token)) is None:
+        if len(token) < LENGTHS[0] or (name := encoding(token)) is None:
             continue
         if len(token) * math.log2(len(ALPHABETS[name])) < BITS:
             continue
