@@ -6,27 +6,37 @@ least GRAM words; its hash is that of its lines' 64-bit hashes.  In every span o
 fingerprint.  So a run of lines with WINDOW words or more that occurs twice shares a fingerprint for sure, and
 whatever is removed has repeated for GRAM words at least.
 
-Each later occurrence of a fingerprint is joined with its first one (order: doc_id, text hash, line), never all
-with all.  On the diagonal that they fix, equal lines are matched both ways as far as they go; the runs around
-fingerprints are deleted from the later place.
+Each later occurrence of a fingerprint is joined with its first one (order: doc_id, text hash, line) and with the one
+before it in the same document, never all with all.  On the diagonal that they fix, equal lines are matched both ways as
+far as they go; the runs around fingerprints are deleted from the later place.  A stretch that repeats within a
+document, as one line a thousand times does, lies on one diagonal.
 
 Defined results: null text has no lines and stays null; a text whose lines all repeat becomes empty; rows with equal
-id and text get the same result and don't remove each other; rows with equal id and other text are separate documents;
+id and text get the same result and don't remove each other; rows with equal id and other text are separate documents,
+those without an id too, and stand before all others;
 an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .common import SPACE, written
 
 GRAM, WINDOW = 30, 50
+#: Lines compared at a time on a diagonal.
+STRETCH = 64
+DIAGONAL = ["doc_id", "th", "a_doc", "a_th", "shift"]
+
+
+def place_id() -> Column:
+    """The id in the order of places; null comes before all."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
 
 
 def lines(docs: DataFrame) -> DataFrame:
     """doc_id, th (hash of the text), pos, nth (among lines with words), key, nw, c0 (words before) per line with words."""
-    rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    rows = docs.where("text is not null").select(place_id().alias("doc_id"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     bare = F.btrim("line", F.lit(SPACE))
     gaps = lambda c: F.octet_length(bare) - F.octet_length(F.replace(bare, F.lit(c), F.lit("")))
     rows = rows.where(bare != "").select("doc_id", "th", "pos", F.xxhash64("line").alias("key"), (gaps(" ") + gaps("\t") + 1).cast("long").alias("nw"))
@@ -50,21 +60,61 @@ def fingerprints(rows: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
     return chosen.select("doc_id", "th", "least.gram", "least.nth").distinct()
 
 
+def anchors(marks: DataFrame) -> DataFrame:
+    """doc_id, th, a_doc, a_th, shift, nth: where a later place meets an earlier one, both by a fingerprint.
+
+    A fingerprint's later place in a document meets the place before it there, so that all of a repeating stretch lies on
+    one diagonal, whatever its period.  It meets the first place of all too, unless the fingerprints on both sides of it
+    repeat as well: then it's inside such a stretch, whose ends stand for it.
+    """
+    own = W.partitionBy("doc_id", "th")
+    along, again = own.orderBy("nth"), W.partitionBy("doc_id", "th", "gram").orderBy("nth")
+    near = lambda step: F.struct(step("gram").over(along).alias("gram"), (step("nth").over(along) - F.col("nth")).alias("off"))
+    rows = marks.withColumns({"left": near(F.lag), "right": near(F.lead)})
+    rows = rows.withColumns({"before": F.lag("nth").over(again), "inner": (F.lag("left").over(again) == F.col("left")) & (F.lag("right").over(again) == F.col("right"))})
+    rows = rows.select("doc_id", "th", "gram", "nth", "before", F.coalesce("inner", F.lit(False)).alias("inner"))
+    inside = rows.where("before is not null").select("doc_id", "th", F.col("doc_id").alias("a_doc"), F.col("th").alias("a_th"), (F.col("nth") - F.col("before")).alias("shift"), "nth")
+    first = marks.groupBy("gram").agg(F.min(F.struct("doc_id", "th", "nth")).alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = rows.where("not inner").join(first.select("gram", "a"), "gram").where("not (doc_id = a.doc_id and th = a.th and nth = a.nth)")
+    across = met.select("doc_id", "th", F.col("a.doc_id").alias("a_doc"), F.col("a.th").alias("a_th"), (F.col("nth") - F.col("a.nth")).alias("shift"), "nth")
+    return inside.unionByName(across).distinct()
+
+
+def matches(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, th, nth of the lines that run on, equal on both places, from an anchor.
+
+    Only the stretches of STRETCH lines around anchors are compared at first.  Where a run reaches the end of what was
+    compared, the next stretch follows, until no run does; so the work is in proportion to what matches.
+    """
+    rows = rows.select("doc_id", "th", "nth", "key", F.floor(F.col("nth") / STRETCH).alias("part"))
+    there = rows.select(F.col("doc_id").alias("a_doc"), F.col("th").alias("a_th"), F.col("nth").alias("a_nth"), F.col("key").alias("a_key"))
+    part = F.floor(F.col("nth") / STRETCH)
+    new = found.select(*DIAGONAL, F.explode(F.array(part - 1, part, part + 1)).alias("part")).where("part >= 0").distinct()
+    seen, same = None, None
+    while True:
+        new = written(new, "stretches")
+        both = rows.join(new, ["doc_id", "th", "part"]).withColumn("a_nth", F.col("nth") - F.col("shift")).join(there, ["a_doc", "a_th", "a_nth"]).where("key = a_key")
+        more = written(both.select(*DIAGONAL, "nth"), "matches")
+        same = more if same is None else same.unionByName(more)
+        seen = new if seen is None else seen.unionByName(new)
+        runs = same.withColumn("run", F.col("nth") - F.row_number().over(W.partitionBy(*DIAGONAL).orderBy("nth")))
+        marked = runs.join(found.withColumn("anchor", F.lit(1)), [*DIAGONAL, "nth"], "left")
+        kept = marked.groupBy(*DIAGONAL, "run").agg(F.min("nth").alias("lo"), F.max("nth").alias("hi"), F.max("anchor").alias("has")).where("has = 1")
+        kept = written(kept.select(*DIAGONAL, "lo", "hi"), "runs")
+        beyond = F.explode(F.array(F.floor((F.col("lo") - 1) / STRETCH), F.floor((F.col("hi") + 1) / STRETCH)))
+        new = written(kept.select(*DIAGONAL, beyond.alias("part")).distinct().join(seen, [*DIAGONAL, "part"], "left_anti").where("part >= 0"), "stretches")
+        if new.isEmpty():
+            # overlapping runs of a document become one before lines are counted out
+            ahead = W.partitionBy("doc_id", "th").orderBy("lo", "hi").rowsBetween(W.unboundedPreceding, -1)
+            apart = kept.withColumn("upto", F.coalesce(F.max("hi").over(ahead), F.lit(0))).withColumn("lo", F.greatest("lo", F.col("upto") + 1)).where("lo <= hi")
+            return apart.select("doc_id", "th", F.explode(F.sequence("lo", "hi")).alias("nth"))
+
+
 def repeated(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """doc_id, th, removed (sorted line numbers), words (in them) of the documents that lose lines."""
     rows = written(lines(docs), "lines")
     marks = written(fingerprints(rows, gram, window), "marks")
-    first = marks.groupBy("gram").agg(F.min(F.struct("doc_id", "th", "nth")).alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", F.col("a.doc_id").alias("a_doc"), F.col("a.th").alias("a_th"), F.col("a.nth").alias("a_nth"))
-    later = marks.join(first, "gram").where("not (doc_id = a_doc and th = a_th and nth = a_nth)")
-    anchors = later.select("doc_id", "th", "a_doc", "a_th", (F.col("nth") - F.col("a_nth")).alias("shift"), "nth").distinct()
-    anchors = written(anchors, "anchors")
-    diagonal = ["doc_id", "th", "a_doc", "a_th", "shift"]
-    own = rows.select("doc_id", "th", "nth", "key").join(anchors.select(*diagonal).distinct(), ["doc_id", "th"])
-    there = rows.select(F.col("doc_id").alias("a_doc"), F.col("th").alias("a_th"), F.col("nth").alias("a_nth"), F.col("key").alias("a_key"))
-    match = own.withColumn("a_nth", F.col("nth") - F.col("shift")).join(there, ["a_doc", "a_th", "a_nth"]).where("key = a_key").select(*diagonal, "nth")
-    runs = match.withColumn("run", F.col("nth") - F.row_number().over(W.partitionBy(*diagonal).orderBy("nth")))
-    marked = runs.join(anchors.withColumn("anchor", F.lit(1)), [*diagonal, "nth"], "left")
-    gone = marked.withColumn("has", F.max("anchor").over(W.partitionBy(*diagonal, "run"))).where("has = 1").select("doc_id", "th", "nth").distinct()
+    gone = matches(rows, written(anchors(marks), "anchors"))
     lost = gone.join(rows.select("doc_id", "th", "nth", "pos", "nw"), ["doc_id", "th", "nth"])
     return lost.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list("pos")).alias("removed"), F.sum("nw").alias("words"))
 
@@ -73,8 +123,8 @@ def deduplicated(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
     """Per document: doc_id, n_lines, n_removed, words_removed, text (what is left)."""
     docs = docs.select("doc_id", "text")
     gone = repeated(docs, gram, window)
-    whole = docs.withColumn("th", F.xxhash64("text"))
-    both = whole.join(gone, ["doc_id", "th"], "left")
+    whole = docs.withColumns({"th": F.xxhash64("text"), "place": place_id()})
+    both = whole.join(gone.withColumnRenamed("doc_id", "place"), ["place", "th"], "left")
     parts = F.split("text", "\n", -1)
     left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("removed")), lambda i: F.get(parts, i)), "\n")
     return both.select(

@@ -113,23 +113,34 @@ def plain_line_dedup(docs, gram=linededup.GRAM, window=linededup.WINDOW):
         for k, (_, _, _, start) in enumerate(own):
             if c0 - start >= window:
                 marks.append((*min((grams[j], j + 1) for j in range(k, len(own)) if own[j][3] <= start + window - gram and grams[j] is not None), key))
-    first = {}
+    first, own_marks = {}, collections.defaultdict(list)
     for g, n, key in set(marks):
         first[g] = min(first.get(g, (key, n)), (key, n))
+        own_marks[key].append((n, g))
     gone = collections.defaultdict(set)
-    for g, n, key in set(marks):
-        a, m = first[g]
-        if (key, n) == (a, m):
-            continue
+
+    def extend(key, n, a, m):
         x, y = rows[key], rows[a]
-        k = n - 1
-        while k >= 0 and k - n + m >= 0 and x[k][1] == y[k - n + m][1]:
+        for k in range(n - 1, -1, -1):
+            if k - n + m < 0 or x[k][1] != y[k - n + m][1]:
+                break
             gone[key].add(x[k][0])
-            k -= 1
-        k = n - 1
-        while k < len(x) and 0 <= k - n + m < len(y) and x[k][1] == y[k - n + m][1]:
+        for k in range(n - 1, len(x)):
+            if not 0 <= k - n + m < len(y) or x[k][1] != y[k - n + m][1]:
+                break
             gone[key].add(x[k][0])
-            k += 1
+
+    for key, found in own_marks.items():
+        found.sort()
+        side = {n: [(found[k + d][1], found[k + d][0] - n) if 0 <= k + d < len(found) else None for d in (-1, 1)] for k, (n, _) in enumerate(found)}
+        before = {}
+        for n, g in found:
+            last = before.get(g)
+            before[g] = n
+            if last is not None:
+                extend(key, n, key, last)
+            if (last is None or side[last] != side[n]) and (key, n) != first[g]:
+                extend(key, n, *first[g])
     return gone
 
 
@@ -145,6 +156,25 @@ def test_line_dedup(spark, docs):
     assert total
 
 
+@pytest.mark.parametrize("period", [1, 7])
+def test_repeating_lines_cost_in_proportion(spark, period, monkeypatch):
+    texts = ["\n".join(f"line {i % period} of a list" for i in range(n)) for n in (700, 1400)]
+    made = []
+    real = linededup.written
+    monkeypatch.setattr(linededup, "written", lambda df, label: (made.append((label, out := real(df, label))), out)[1])
+    counts = []
+    for t in texts:
+        made.clear()
+        got = linededup.deduplicated(spark.createDataFrame([(1, t), (2, "own start\n" + t)], "doc_id long, text string")).toPandas().set_index("doc_id")
+        gone = plain_line_dedup([(1, t), (2, "own start\n" + t)])
+        for i, whole in ((1, t), (2, "own start\n" + t)):
+            lost = gone[(i, hashed(whole))]
+            assert got.loc[i].text == "\n".join(x for p, x in enumerate(whole.split("\n")) if p not in lost)
+        assert got.loc[2].text == "own start" and got.loc[1].n_removed > len(t.split("\n")) - 40
+        counts.append(sum(df.count() for label, df in made if label == "matches"))
+    assert counts[1] < 2.3 * counts[0]
+
+
 def test_secret_scan(spark, docs):
     got = queries.op10_secret_scan(spark, SF).toPandas().set_index("doc_id")
     assign = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
