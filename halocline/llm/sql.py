@@ -7,8 +7,10 @@ de-duplication and secret scans on hashes and tests that DuckDB lacks: those are
 from __future__ import annotations
 
 from .common import LOWER, UPPER
-from .urls import DEPTH, MANY, PRIOR, RARE, REJECT_AT, RULES
+from .urls import LABELLED, LEAST, MANY, NEAR, PRIOR, RARE, REJECT_AT, RULES, SLACK
 
+#: Levels of the path-template tree that the SQL spells out; the tables' paths end before.
+SQL_LEVELS = 4
 FOLD = f"translate(text, '{UPPER}', '{LOWER}')"
 
 PREFERENCE = """
@@ -44,7 +46,7 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-NEAR = rf"""
+NEAR_DUPLICATES = rf"""
 WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all({FOLD}, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS g FROM (SELECT *, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
@@ -74,43 +76,37 @@ def _url_filter() -> str:
     order = sorted(RULES, key=lambda r: (-len(r[1]), r[1]), reverse=False)
     fits = [(what, rule, *rule.partition("/")[::2]) for what, rule in order]
     case = lambda pick: "CASE " + " ".join(f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '/{p}') THEN '{pick(w, r)}'" for w, r, h, p in fits) + " END"
-    seg = [f"s{i + 1}" for i in range(DEPTH)]
-    shape = [f"coalesce(sh[{i + 1}], '') AS s{i + 1}" for i in range(DEPTH - 1)] + [f"CASE WHEN len(sh) > {DEPTH} THEN '**' ELSE coalesce(sh[{DEPTH}], '') END AS s{DEPTH}"]
     out = rf"""
 WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host, coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
 r AS (SELECT *, {case(lambda w, r: r)} AS rule, {case(lambda w, r: w)} AS ruled, [regexp_replace(x, '[0-9]+', '#', 'g') for x in string_split(path, '/') if x <> ''] AS sh FROM u),
-rows_ AS (SELECT page_id, host, path, rule, ruled, CAST(ruled = 'block' AS INTEGER) AS bad, {', '.join(shape)} FROM r),
-l0 AS (SELECT host, {', '.join(seg)}, count(*) AS n, count(bad) AS known, coalesce(sum(bad), 0) AS bad FROM rows_ GROUP BY ALL)"""
-    for d in range(1, DEPTH + 1):
-        parent = ", ".join(["host", *[f"t{i}" for i in range(1, d)]])
-        s, nxt = f"s{d}", f"s{d + 1}"
+rows_ AS (SELECT *, CAST(ruled = 'block' AS INTEGER) AS bad FROM r),
+l0 AS (SELECT host, sh, count(*) AS n, count(bad) AS known, coalesce(sum(bad), 0) AS bad, '' AS t, len(sh) = 0 AS done FROM rows_ GROUP BY host, sh)"""
+    for d in range(SQL_LEVELS):
         out += f""",
-c{d} AS (SELECT {parent}, {s}, sum(n) AS cn FROM l{d - 1} GROUP BY ALL),
-p{d} AS (SELECT *, sum(cn) OVER (PARTITION BY {parent}) AS pn, count(*) OVER (PARTITION BY {parent}) AS kids FROM c{d})"""
-        like = "false"
-        join = ""
-        if d < DEPTH:
-            out += f""",
-g{d} AS (SELECT {parent}, {s}, {nxt}, sum(n) AS n FROM l{d - 1} GROUP BY ALL),
-h{d} AS (SELECT {parent}, {s}, n, sum(n) OVER (PARTITION BY {parent}, {nxt}) AS m FROM g{d}),
-f{d} AS (SELECT {parent}, {s}, sum(greatest(CAST(n AS DOUBLE) / cn - CAST(m AS DOUBLE) / pn, 0)) AS gap FROM h{d} JOIN p{d} USING ({parent}, {s}) GROUP BY ALL)"""
-            like, join = f"kids > 1 AND gap <= 0.1::DOUBLE + 1 / sqrt(cn) AND {s} <> ''", f" JOIN f{d} USING ({parent}, {s})"
-        out += f""",
-l{d} AS (SELECT l{d - 1}.*, CASE WHEN kids >= {MANY} AND cn < {RARE}::DOUBLE * pn THEN '*' WHEN {like} THEN '+' ELSE {s} END AS t{d} FROM l{d - 1} JOIN p{d} USING ({parent}, {s}){join})"""
-    t = ", ".join(f"t{i + 1}" for i in range(DEPTH))
+a{d} AS (SELECT *, sh[{d + 1}] AS seg, coalesce(sh[{d + 2}], '') AS nxt FROM l{d} WHERE NOT done),
+s{d} AS (SELECT host, t, seg, nxt, sum(n) AS n, sum(known) AS known, sum(bad) AS bad, count(*) AS leaves FROM a{d} GROUP BY ALL),
+c{d} AS (SELECT host, t, seg, sum(n) AS cn, sum(known) AS ck, sum(bad) AS cb, sum(leaves) AS leaves FROM s{d} GROUP BY ALL),
+p{d} AS (SELECT *, sum(cn) OVER w AS pn, count(*) OVER w AS kids, sum(leaves) OVER w AS every FROM c{d} WINDOW w AS (PARTITION BY host, t)),
+h{d} AS (SELECT *, sum(n) OVER (PARTITION BY host, t, nxt) AS m FROM s{d}),
+g{d} AS (SELECT host, t, seg, sum(greatest(CAST(h.n AS DOUBLE) / cn - CAST(m AS DOUBLE) / pn, 0)) AS gap FROM h{d} h JOIN p{d} USING (host, t, seg) GROUP BY ALL),
+n{d} AS (SELECT host, t, seg, every = 1 AS alone, CASE WHEN kids >= {MANY} AND cn < {RARE}::DOUBLE * pn THEN '*' WHEN kids > 1 AND cn >= {LEAST} AND gap <= {NEAR}::DOUBLE + {SLACK}::DOUBLE / sqrt(cn)
+         THEN CASE WHEN ck = 0 THEN '+' WHEN 2 * cb >= ck THEN '+bad' ELSE '+good' END ELSE '=' || seg END AS name FROM p{d} JOIN g{d} USING (host, t, seg)),
+l{d + 1} AS (SELECT host, sh, n, known, bad, t, done FROM l{d} WHERE done UNION ALL
+  SELECT host, sh, n, known, bad, t || '/' || name || CASE WHEN alone THEN array_to_string(['/=' || x for x in sh[{d + 2}:]], '') ELSE '' END, alone OR len(sh) <= {d + 1} FROM a{d} JOIN n{d} USING (host, t, seg))"""
+    last = f"l{SQL_LEVELS}"
     return out + f""",
-top AS (SELECT coalesce(CAST(sum(bad) AS DOUBLE) / nullif(sum(known), 0), 0) AS top FROM l{DEPTH}),
-hs AS (SELECT host, sum(known) AS hk, sum(bad) AS hb FROM l{DEPTH} GROUP BY 1),
-own AS (SELECT host, {t}, sum(known) AS k, sum(bad) AS b FROM l{DEPTH} GROUP BY ALL),
-sh AS (SELECT host, {t}, (b + {PRIOR}::DOUBLE * ((hb + {PRIOR}::DOUBLE * top) / (hk + {PRIOR}::DOUBLE))) / (k + {PRIOR}::DOUBLE) AS share FROM own JOIN hs USING (host), top),
-rej AS (SELECT host, {', '.join(seg)} FROM l{DEPTH} JOIN sh USING (host, {t}) WHERE share >= {REJECT_AT}::DOUBLE)
-SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN rej.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict FROM rows_ LEFT JOIN rej USING (host, {', '.join(seg)})"""
+top AS (SELECT coalesce(CAST(sum(bad) AS DOUBLE) / nullif(sum(known), 0), 0) AS top FROM {last}),
+own AS (SELECT host, t, sum(known) AS k, sum(bad) AS b FROM {last} GROUP BY ALL),
+hs AS (SELECT host, sum(k) AS hk, sum(b) AS hb FROM own GROUP BY 1),
+sh AS (SELECT host, t, k, (b + {PRIOR}::DOUBLE * ((hb - b + {PRIOR}::DOUBLE * top) / (hk - k + {PRIOR}::DOUBLE))) / (k + {PRIOR}::DOUBLE) AS share FROM own JOIN hs USING (host), top),
+rej AS (SELECT host, l.sh FROM {last} l JOIN sh s USING (host, t) WHERE s.k >= {LABELLED} AND share >= {REJECT_AT}::DOUBLE)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN rej.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict FROM rows_ LEFT JOIN rej USING (host, sh)"""
 
 
 ORACLE_SQL: dict[str, str] = {
     "op1_preference_format": PREFERENCE,
     "op3_decontaminate": DECONTAMINATE,
-    "op4_near_duplicates": NEAR,
+    "op4_near_duplicates": NEAR_DUPLICATES,
     "op6_mixture": MIXTURE,
     "op9_url_filter": _url_filter(),
 }

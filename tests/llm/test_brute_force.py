@@ -203,3 +203,5 @@ def test_search_for_capacity(spark):
     rows = spark.createDataFrame([(i, "x" * n) for i, n in enumerate((5, 9, 2, 7, 7, 7, 1))], "doc_id long, text string")
     out = shards.sharded(rows, shards=3).toPandas()
     assert out.shard.max() <= 2 and len(out) == 7
+    # groups of 6, 10, 3, 24 (three equal texts) and 2 bytes: no shard of three can stay below 24
+    assert out.groupby("shard")["size"].sum().max() == 24
