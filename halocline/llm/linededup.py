@@ -84,15 +84,15 @@ def matches(rows: DataFrame, found: DataFrame) -> DataFrame:
     """doc_id, th, nth of the lines that run on, equal on both places, from an anchor.
 
     Only the stretches of STRETCH lines around anchors are compared at first.  Where a run reaches the end of what was
-    compared, the next stretch follows, until no run does; so the work is in proportion to what matches.
+    compared on its diagonal, further stretches follow, twice as many a round, until no run does; diagonals without such a
+    run are done with.  So the work is in proportion to what matches.
     """
     rows = rows.select("doc_id", "th", "nth", "key", F.floor(F.col("nth") / STRETCH).alias("part"))
     there = rows.select(F.col("doc_id").alias("a_doc"), F.col("th").alias("a_th"), F.col("nth").alias("a_nth"), F.col("key").alias("a_key"))
-    part = F.floor(F.col("nth") / STRETCH)
-    new = found.select(*DIAGONAL, F.explode(F.array(part - 1, part, part + 1)).alias("part")).where("part >= 0").distinct()
-    seen, same = None, None
+    at = F.floor(F.col("nth") / STRETCH)
+    new = written(found.select(*DIAGONAL, F.explode(F.array(at - 1, at, at + 1)).alias("part")).where("part >= 0").distinct(), "stretches")
+    seen, same, done, step = None, None, None, 1
     while True:
-        new = written(new, "stretches")
         both = rows.join(new, ["doc_id", "th", "part"]).withColumn("a_nth", F.col("nth") - F.col("shift")).join(there, ["a_doc", "a_th", "a_nth"]).where("key = a_key")
         more = written(both.select(*DIAGONAL, "nth"), "matches")
         same = more if same is None else same.unionByName(more)
@@ -101,13 +101,22 @@ def matches(rows: DataFrame, found: DataFrame) -> DataFrame:
         marked = runs.join(found.withColumn("anchor", F.lit(1)), [*DIAGONAL, "nth"], "left")
         kept = marked.groupBy(*DIAGONAL, "run").agg(F.min("nth").alias("lo"), F.max("nth").alias("hi"), F.max("anchor").alias("has")).where("has = 1")
         kept = written(kept.select(*DIAGONAL, "lo", "hi"), "runs")
-        beyond = F.explode(F.array(F.floor((F.col("lo") - 1) / STRETCH), F.floor((F.col("hi") + 1) / STRETCH)))
-        new = written(kept.select(*DIAGONAL, beyond.alias("part")).distinct().join(seen, [*DIAGONAL, "part"], "left_anti").where("part >= 0"), "stretches")
+        low, high = F.floor((F.col("lo") - 1) / STRETCH), F.floor((F.col("hi") + 1) / STRETCH)
+        ends = kept.select(*DIAGONAL, F.explode(F.array(F.struct(low.alias("part"), F.lit(-1).alias("way")), F.struct(high.alias("part"), F.lit(1).alias("way")))).alias("e"))
+        ends = ends.select(*DIAGONAL, "e.part", "e.way").join(seen, [*DIAGONAL, "part"], "left_anti")
+        ahead = F.explode(F.sequence(F.col("part"), F.col("part") + F.col("way") * (step - 1), F.col("way").cast("long")))
+        longest = rows.groupBy("doc_id", "th").agg(F.max("part").alias("last"))
+        new = ends.select(*DIAGONAL, ahead.alias("part")).distinct().join(longest, ["doc_id", "th"]).where("part between 0 and last").drop("last")
+        new = written(new.join(seen, [*DIAGONAL, "part"], "left_anti"), "stretches")
+        open_ = new.select(*DIAGONAL).distinct()
+        closed = kept.join(open_, DIAGONAL, "left_anti").select("doc_id", "th", "lo", "hi")
+        done = closed if done is None else done.unionByName(closed)
         if new.isEmpty():
             # overlapping runs of a document become one before lines are counted out
-            ahead = W.partitionBy("doc_id", "th").orderBy("lo", "hi").rowsBetween(W.unboundedPreceding, -1)
-            apart = kept.withColumn("upto", F.coalesce(F.max("hi").over(ahead), F.lit(0))).withColumn("lo", F.greatest("lo", F.col("upto") + 1)).where("lo <= hi")
+            before = W.partitionBy("doc_id", "th").orderBy("lo", "hi").rowsBetween(W.unboundedPreceding, -1)
+            apart = done.withColumn("upto", F.coalesce(F.max("hi").over(before), F.lit(0))).withColumn("lo", F.greatest("lo", F.col("upto") + 1)).where("lo <= hi")
             return apart.select("doc_id", "th", F.explode(F.sequence("lo", "hi")).alias("nth"))
+        same, seen, step = same.join(open_, DIAGONAL, "left_semi"), seen.join(open_, DIAGONAL, "left_semi"), 2 * step
 
 
 def repeated(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
