@@ -1,14 +1,19 @@
 """Secret scans (operator 10): fixed patterns, and tokens that pass a battery of randomness tests.
 
-A token is a run of 20 or more characters of the base-64 alphabets.  Its encoding is inferred as the
-smallest alphabet that holds it.  Five tests give p-values under randomness: chi-squared uniformity over the alphabet,
-runs about the middle of the alphabet, serial correlation, shares of lower case, upper case, digits and signs, and surplus of vowels.  Fisher's sum combines them.  Tokens are declared not
-random by false-discovery control (Benjamini-Hochberg at Q) within each encoding and length class over the whole
-corpus; those that remain and carry BITS bits or more are spans of kind 'random', unless they meet a fixed pattern's span.
+A token is a run of 20 or more characters of the base-64 alphabets that meets no fixed pattern's span.  Its encoding is
+inferred as the smallest alphabet that holds it.  Five tests give p-values under randomness: chi-squared uniformity over
+the alphabet, runs about the middle of the alphabet, serial correlation, shares of lower case, upper case, digits and
+signs, and surplus of vowels.  Fisher's sum combines them to one figure, large for a random token.
 
-The classes' thresholds come from counts of p-values in bins: a bounded table, whatever the corpus.
+What is reported are random tokens, so the hypothesis to reject is that a token is an ordinary name, path or number.  Every
+stretch of a text gives one such name, made of its own words, and the figures of all of them are the null distribution of
+their encoding and length class: a token's p-value is the share of ordinary names that look as random as it does.
+Benjamini and Hochberg's rule at Q within each class then bounds the expected share of ordinary tokens among the spans of kind
+'random'.
 
-Defined results: null text is empty, with no spans; an empty table gives no rows; repeated rows are scanned one by one; texts
+The classes' thresholds come from counts of figures in bins: a bounded table, whatever the corpus.
+
+Defined results: null text is empty, with no spans; a corpus without words has no null distribution and no random spans; an empty table gives no rows; repeated rows are scanned one by one; texts
 are scanned whole; other columns are ignored.
 """
 
@@ -18,7 +23,9 @@ import hashlib
 import math
 import re
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import written
@@ -40,11 +47,14 @@ ALPHABETS = {
     "base64url": "-0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz",
     "base64any": "+-/0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz",
 }
-LENGTHS = (20, 32, 64, 128)
-Q, BITS = 0.05, 90
-#: p-values are counted in so many bins, equal in their fourth root, so that small ones are told apart.
+LENGTHS = (20, 24, 32, 48)
+Q = 0.05
+#: Figures are counted in so many bins, equal in their fourth root, so that small ones are told apart.
 BINS = 400
-SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, base array<struct<s:int,k:int,e:int>>, found array<struct<s:int,e:int,c:string,p:int>>"
+#: Characters of a stretch of text that gives one ordinary name; weight of all encodings' names of a length in a class's.
+STRETCH, POOLED = 400, 5
+NAME_PART = re.compile(r"[A-Za-z]{2,}")
+SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, base array<struct<s:int,k:int,e:int>>, found array<struct<s:int,e:int,c:string,p:int>>, names array<struct<c:string,p:int>>"
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -123,17 +133,54 @@ def encoding(token: str) -> str | None:
     return next((name for name, abc in ALPHABETS.items() if have <= set(abc)), None)
 
 
-def tokens(text: str) -> list[tuple[int, int, str, int]]:
-    """(start, end, class, p-value's bin) of the tokens with enough bits."""
-    out = []
+def figure(token: str) -> tuple[str, int] | None:
+    """Class (encoding and length) of a token and the bin of its combined p-value."""
+    name = encoding(token)
+    if name is None or len(token) < LENGTHS[0]:
+        return None
+    p = battery(token, ALPHABETS[name])
+    return f"{name}:{max(x for x in LENGTHS if x <= len(token))}", min(BINS - 1, int(p**0.25 * BINS))
+
+
+def tokens(text: str, base: list[tuple[int, int, int]] = ()) -> list[tuple[int, int, str, int]]:
+    """(start, end, class, bin) of the tokens that meet no base span."""
+    out, at = [], 0
     for m in TOKEN.finditer(text):
         token = m.group().rstrip("=")
-        if len(token) < LENGTHS[0] or (name := encoding(token)) is None:
+        start, end = m.start(), m.start() + len(token)
+        while at < len(base) and base[at][2] <= start:
+            at += 1
+        if any(s < end and start < e for s, _, e in base[max(0, at - len(KINDS)) : at + 1]):
             continue
-        if len(token) * math.log2(len(ALPHABETS[name])) < BITS:
-            continue
-        p = battery(token, ALPHABETS[name])
-        out.append((m.start(), m.start() + len(token), f"{name}:{max(x for x in LENGTHS if x <= len(token))}", min(BINS - 1, int(p**0.25 * BINS))))
+        if got := figure(token):
+            out.append((start, end, *got))
+    return out
+
+
+def ordinary(words: list[str], seed: int) -> str:
+    """A name, path or number as people write them, of the given words, its style and length chosen by seed."""
+    style, length = seed % 9, 20 + (seed >> 8) % 24 * (1 + (seed >> 16) % 3)
+    if style == 8:
+        return str(seed * 0x9E3779B97F4A7C15 % 10**18 * 10**30 + (seed * 0xC2B2AE3D27D4EB4F) ** 2 % 10**30)[: min(length, 40)]
+    parts, size = [], 0
+    for k, w in enumerate(words):
+        digits = str((seed >> k % 40) % 10 ** (1 + k % 3))
+        w = (w.capitalize(), w.capitalize() + digits * (k % 2), w.lower() + "_", w.lower() + "-", w.lower() + "/", w.lower() + digits * (style == 5 and k % 2), w.upper() + digits * (seed >> 30 & 1), w.capitalize() + "-" + digits + "/")[style]
+        parts.append(w)
+        size += len(w)
+        if size >= length:
+            break
+    return "".join(parts)[:length].rstrip("-_/")
+
+
+def names(text: str) -> list[tuple[str, int]]:
+    """Class and bin of the ordinary names that the text's stretches give, one each."""
+    out = []
+    for k in range(max(1, len(text) // STRETCH)):
+        part = text[k * STRETCH : (k + 1) * STRETCH]
+        seed = xxhash.xxh3_64_intdigest(part.encode("utf-8", "surrogatepass"))
+        if got := figure(ordinary(NAME_PART.findall(part), seed)):
+            out.append(got)
     return out
 
 
@@ -146,34 +193,53 @@ def _scan(batches):
             base = base_spans(text)
             n = [sum(k == i for _, k, _ in base) for i in range(3)]
             sha = hashlib.sha256(joined(base).encode()).hexdigest() if base else empty
-            rows.append((*n, sha, [{"s": s, "k": k, "e": e} for s, k, e in base], [dict(zip("secp", t)) for t in tokens(text)]))
-        out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "base", "found"])
+            rows.append((*n, sha, [{"s": s, "k": k, "e": e} for s, k, e in base], [dict(zip("secp", t)) for t in tokens(text, base)], [dict(zip("cp", t)) for t in names(text)]))
+        out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "base", "found", "names"])
         out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
         yield out
 
 
-def thresholds(found: DataFrame, q: float = Q) -> dict[str, int]:
-    """Per class the last bin of p-values that is rejected as not random (-1: none), by Benjamini and Hochberg."""
-    counts = found.select(F.explode("found").alias("f")).groupBy("f.c", "f.p").agg(F.count(F.lit(1)).alias("n")).toPandas()  # at most classes x BINS rows
+def binned(rows: DataFrame, of: str) -> dict[str, np.ndarray]:
+    """Counts per class and bin."""
+    counts = rows.select(F.explode(of).alias("f")).groupBy("f.c", "f.p").agg(F.count(F.lit(1)).alias("n")).collect()  # at most classes x BINS rows
+    out: dict[str, np.ndarray] = {}
+    for r in counts:
+        out.setdefault(r["c"], np.zeros(BINS, np.int64))[r["p"]] += r["n"]
+    return out
+
+
+def thresholds(rows: DataFrame, q: float = Q) -> dict[str, int]:
+    """Per class the first bin whose tokens are reported (none: BINS), by Benjamini and Hochberg.
+
+    A class's null distribution is that of its own ordinary names, with those of its length class in all encodings
+    counting as POOLED names more; where there are neither, nothing is reported.
+    """
+    found, null = binned(rows, "found"), binned(rows, "names")
+    upto = lambda x: np.cumsum(x[::-1])[::-1]
+    pooled: dict[str, np.ndarray] = {}
+    for name, x in null.items():
+        length = name.split(":")[1]
+        pooled[length] = pooled.get(length, 0) + x
     out = {}
-    for name, g in counts.groupby("c"):
-        total, passed, last = int(g["n"].sum()), 0, -1
-        for p, n in sorted(zip(g["p"].tolist(), g["n"].tolist())):
-            passed += n
-            if ((p + 1) / BINS) ** 4 * total <= q * passed:
-                last = p
-        out[name] = last
+    for name, x in found.items():
+        every = pooled.get(name.split(":")[1])
+        out[name] = BINS
+        if every is not None:
+            own = null.get(name, np.zeros(BINS, np.int64))
+            p = (1 + upto(own) + POOLED * upto(every) / every.sum()) / (1 + own.sum() + POOLED)
+            passed = np.flatnonzero((upto(x) > 0) & (p * x.sum() <= q * upto(x)))
+            if len(passed):
+                out[name] = int(passed[0])
     return out
 
 
 def scanned(docs: DataFrame, q: float = Q) -> DataFrame:
     """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random."""
     rows = written(docs.select("doc_id", "text").mapInPandas(_scan, SCHEMA), "scans")
-    limit = F.create_map(*[F.lit(x) for pair in ({"": -1} | thresholds(rows, q)).items() for x in pair])
-    free = lambda f: ~F.exists("base", lambda b: (b["s"] < f["e"]) & (f["s"] < b["e"]))
-    kept = F.filter("found", lambda f: (f["p"] > F.coalesce(F.try_element_at(limit, f["c"]), F.lit(-1))) & free(f))
+    limit = F.create_map(*[F.lit(x) for pair in ({"": BINS} | thresholds(rows, q)).items() for x in pair])
+    kept = F.filter("found", lambda f: f["p"] >= F.coalesce(F.try_element_at(limit, f["c"]), F.lit(BINS)))
     added = F.transform(kept, lambda f: F.struct(f["s"].alias("s"), F.lit(3).alias("k"), f["e"].alias("e")))
     every = F.array_sort(F.concat(F.col("base"), added))
-    names = F.array(*[F.lit(k) for k in KINDS])
-    spans = F.array_join(F.transform(every, lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
+    kinds = F.array(*[F.lit(k) for k in KINDS])
+    spans = F.array_join(F.transform(every, lambda x: F.concat_ws(":", F.element_at(kinds, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
     return rows.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", spans.alias("spans"), F.size(kept).cast("long").alias("n_random"))
