@@ -50,15 +50,27 @@ def test_classifier(docs, labels):
     assert whole.columns == [*docs.columns, "__kept"]
 
 
-def test_decontamination(spark, docs):
+def test_decontamination(spark, docs, monkeypatch):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "plain words"), (4, PASSAGE), (4, PASSAGE)], "item_id long, text string")
-    for block in (500_000, 20):
-        got = by_id(decontam.contamination(docs, bench, block), "n_words", "n_hit", "n_items")
+    for rows in (100_000, 0):
+        monkeypatch.setattr(decontam, "BROADCAST_ROWS", rows)
+        got = by_id(decontam.contamination(docs, bench), "n_words", "n_hit", "n_items")
         assert got[1] == [(0, 0, 0)] and got[9] == [(5, 2, 1)] and got[6] == [(75, 72, 1)] and got[7] == [(75, 72, 1)]
     assert sorted(r["doc_id"] for r in decontam.clean(docs, bench).collect()) == [1, 2, 3, 4, 5, 5, 8]
     assert decontam.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_a_text_full_of_benchmark_goes_out_in_small_pieces(spark):
+    text = " ".join(f"b{i}" for i in range(5000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(f"b{i}" for i in range(50 * k, 50 * k + 60))) for k in range(100)], "item_id long, text string")
+    rows, found, _ = decontam.occurrences(df, bench)
+    pieces = rows.first()["found"]
+    assert len(pieces) > 100 and max(len(p["words"]) for p in pieces) < 4 * decontam.PIECE
+    r = decontam.contamination(df, bench).first()
+    assert (r["n_words"], r["n_hit"], r["n_items"]) == (5000, 5000, 100) and decontam.clean(df, bench).count() == 0
+
+
 def test_near_duplicates(docs):
     got = by_id(minhash.near_duplicates(docs, 3, 85), "n_shingles", "component_id", "kept")
     assert got[1] == [(0, 1, True)] and got[8] == [(0, 8, True)] and got[3] == [(1, 3, True)]
