@@ -14,8 +14,12 @@ one bit set per hash; bits in which two bitmaps differ never outnumber the shing
 it excludes is proven to be no link, and few pairs below the threshold are left.  With BANDS bands of ROWS rows a pair
 at the threshold is lost, by bands or sketch, with the probability that missed() bounds.
 
-Defined results: documents without words, or null, have an empty set, link with nothing and stay; repeated rows of
-one id are one document each in the result with the same component; an empty table gives no rows; other columns are ignored.
+Sets, not ids, are the nodes: each distinct set has a number of its own, so an id that several texts share loses no link.
+
+Defined results: documents without words, or null, have an empty set, link with nothing and stay; every row is a document
+of its own, with the component of its set, also where ids repeat.  A null id is none: component_id is the least id of the
+group, null where no document has one, and kept where it equals the id, nulls included.  An empty table gives no rows;
+texts of any length are read whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ from .textmodel import spread, word_hashes
 
 BANDS, ROWS = 24, 4
 SKETCH = BANDS * ROWS
+#: Bytes of a text that are split to words at a time, and items of a set that are ranked at a time: they bound a task's memory.
+SLICE, CHUNK = 1 << 22, 1 << 17
 #: Sets compared in one task at a time when a key is searched in full.
 BLOCK = 1024
 #: Words of the filter that keeps texts without candidates from being shuffled: 8 MB, whatever the data.
@@ -61,15 +67,27 @@ def missed(percent: int) -> float:
     return unbanded(percent) + below(round(floor_of(percent) * SKETCH), percent)
 
 
+def hashed_words(text: str | None) -> np.ndarray:
+    """Hashes of the words, A-Z lowered; a slice of the text at a time becomes a list of words."""
+    raw = (text or "").encode("utf-8", "surrogatepass").translate(_TABLE)
+    parts, at = [np.empty(0, np.uint64)], 0
+    while at < len(raw):
+        end = min(len(raw), at + SLICE)
+        while end < len(raw) and raw[end] not in b" \t\n\x0b\x0c\r":
+            end += 1
+        parts.append(word_hashes(raw[at:end].split()))
+        at = end
+    return np.concatenate(parts)
+
+
 def shingle_set(text: str | None, k: int) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct k-word shingles; a shorter text is one shingle, an empty one none."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = word_hashes(words)
+    h = hashed_words(text)
+    if not len(h):
+        return h
     with np.errstate(over="ignore"):
-        if len(words) < k:
-            x = np.uint64(len(words))
+        if len(h) < k:
+            x = np.uint64(len(h))
             for w in h:
                 x = spread(np.array([x * _K[0] + w]))[0]
             return np.array([x])
@@ -86,19 +104,20 @@ def superminhash(items: np.ndarray, m: int = SKETCH) -> np.ndarray:
     Step j gives every item its j-th place of a lazily shuffled permutation and the value j + r, r uniform in [0, 1).
     Later steps can't lower a place that already holds less than j, so it stops once all places do.
     """
-    n = len(items)
     out = np.full(m, np.inf)
-    order = np.tile(np.arange(m, dtype=np.uint8), (n, 1))
-    rows = np.arange(n)
-    with np.errstate(over="ignore"):
-        for j in range(m):
-            r = spread(items + _K[j % 5] * np.uint64(2 * j + 1))
-            k = j + ((r & np.uint64(0xFFFFFFFF)) % np.uint64(m - j)).astype(np.int64)
-            place = order[rows, k]
-            order[rows, k] = order[:, j]
-            np.minimum.at(out, place, j + (r >> np.uint64(32)).astype(np.float64) / 4294967296.0)
-            if out.max() < j + 1:
-                break
+    for at in range(0, len(items), CHUNK):
+        part = items[at : at + CHUNK]
+        order = np.tile(np.arange(m, dtype=np.uint8), (len(part), 1))
+        rows = np.arange(len(part))
+        with np.errstate(over="ignore"):
+            for j in range(m):
+                if out.max() < j:
+                    break
+                r = spread(part + _K[j % 5] * np.uint64(2 * j + 1))
+                k = j + ((r & np.uint64(0xFFFFFFFF)) % np.uint64(m - j)).astype(np.int64)
+                place = order[rows, k]
+                order[rows, k] = order[:, j]
+                np.minimum.at(out, place, j + (r >> np.uint64(32)).astype(np.float64) / 4294967296.0)
     return out
 
 
@@ -137,6 +156,10 @@ def possible(bound: int, na: int, nb: int, percent: int) -> bool:
     return bound * (100 + percent) <= (na + nb) * (100 - percent)
 
 
+def digest(items: np.ndarray) -> bytes:
+    return hashlib.blake2b(items.tobytes(), digest_size=16).digest()
+
+
 def _features(k: int):
     def run(batches):
         for pdf in batches:
@@ -146,7 +169,7 @@ def _features(k: int):
                 if got is None:
                     s = shingle_set(text, k)
                     keys, sketch = sketched(s) if len(s) else (np.empty(0, np.int64), b"")
-                    got = done[text] = (len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), keys, sketch, bitmap(s))
+                    got = done[text] = (len(s), digest(s), keys, sketch, bitmap(s))
                 rows.append(got)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], **{c: [r[i] for r in rows] for i, c in enumerate(("n", "same", "keys", "sketch", "bits"))}})
 
@@ -212,58 +235,68 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     Documents are linked when 100 * |A and B| >= percent * |A or B| for their sets of `words`-word shingles.
     """
     docs = docs.select("doc_id", "text")
-    feats = written(docs.mapInPandas(_features(words), "doc_id long, n long, same binary, keys array<long>, sketch binary, bits binary"), "features")
-    reps = feats.where("n > 0").groupBy("same").agg(F.min("doc_id").alias("rep"))
-    shown = written(feats.where("n > 0").join(reps, "same").where("doc_id = rep").dropDuplicates(["rep"]).select("rep", "n", "keys", "sketch", "bits"), "reps")
+    feats = docs.mapInPandas(_features(words), "doc_id long, n long, same binary, keys array<long>, sketch binary, bits binary")
+    feats = written(feats.withColumn("row", F.monotonically_increasing_id()), "features")
+    # a set's number is that of the first row which has it and its least id
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    sets = written(feats.where("n > 0").groupBy("same").agg(F.min(first).alias("f")).select("same", F.col("f.doc_id").alias("rep"), F.col("f.row").alias("node")), "sets")
+    shown = feats.select("row", "n", "keys", "sketch", "bits").join(sets.select("node"), F.col("row") == F.col("node"))
+    shown = written(shown.select("node", "n", "keys", "sketch", "bits"), "shown")
     floor = floor_of(percent)
 
-    each = shown.select("rep", F.explode("keys").alias("key"))
-    often = each.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("most")).where("pivot < most")
+    each = shown.select("node", F.explode("keys").alias("key"))
+    often = each.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("most")).where("pivot < most")
     members = written(each.join(often.select("key", "pivot"), "key"), "members")
-    sketches = shown.select("rep", "n", "sketch", "bits")
+    sketches = shown.select("node", "n", "sketch", "bits")
 
     def thinned(pairs: DataFrame) -> DataFrame:
-        a = sketches.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("bits").alias("ba"))
-        b = sketches.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("bits").alias("bb"))
+        a = sketches.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("bits").alias("ba"))
+        b = sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("bits").alias("bb"))
         both = pairs.join(b, "b").join(a, "a").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         return both.select("a", "b", "sa", "sb", "ba", "bb", "na", "nb").mapInPandas(_alike(floor, percent), "a long, b long")
 
-    first = written(thinned(members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()), "pairs")
-    links = verified(docs, first, words, percent)
+    first_pairs = written(thinned(members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()), "pairs")
+    links = verified(docs, sets, first_pairs, words, percent)
     joined = components(links)
     for one_each in (True, False):
-        labelled = members.select("key", "rep").join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+        labelled = members.select("key", "node").join(joined, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
         split = labelled.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("size")).where("c0 < c1")
-        rows = labelled.join(split.select("key", "size"), "key").join(sketches, "rep")
+        rows = labelled.join(split.select("key", "size"), "key").join(sketches, "node")
         more = written(searched(rows, floor, percent, one_each).distinct(), "pairs")
-        found = verified(docs, more, words, percent)
+        found = verified(docs, sets, more, words, percent)
         links = written(links.unionByName(found), "links")
         joined = components(links)
-    joined = written(joined, "joined")
-    group = reps.join(joined, F.col("rep") == F.col("node"), "left").select("same", F.coalesce("component", "rep").alias("component"))
-    out = feats.join(group, "same", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    joined = sets.join(written(joined, "joined"), "node", "left").select("same", "rep", F.coalesce("component", "node").alias("comp"))
+    least = joined.groupBy("comp").agg(F.min("rep").alias("least"))
+    group = written(joined.join(least, "comp").select("same", "least"), "groups")
+    out = feats.select("doc_id", "n", "same").join(group, "same", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def searched(rows: DataFrame, floor: float, percent: int, one_each: bool) -> DataFrame:
-    """rows(key, rep, comp, n, sketch, bits, size): candidate pairs (a, b) of every key, compared block by block."""
+    """rows(key, node, comp, n, sketch, bits, size): candidate pairs (a, b) of every key, compared block by block."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("own", own)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = rows.withColumn("other", other).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     side = F.when(F.col("i") == F.col("j"), 2).when(F.col("own") == F.col("i"), 0).otherwise(1)
     group = F.xxhash64("key", "i", "j")
-    dealt = dealt.select(group.alias("group"), F.col("rep").alias("doc"), "comp", "n", "sketch", "bits", side.alias("side"))
+    dealt = dealt.select(group.alias("group"), F.col("node").alias("doc"), "comp", "n", "sketch", "bits", side.alias("side"))
     return dealt.repartition("group").sortWithinPartitions("group", "doc").mapInPandas(_search(floor, percent, one_each), "a long, b long")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets meet the threshold."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    slots = needed.select(F.pmod(F.xxhash64("id"), F.lit(FILTER_WORDS * 64)).alias("s"))
-    bits = slots.selectExpr("cast(s div 64 as int) w", "shiftleft(1L, cast(s % 64 as int)) b").groupBy("w").agg(F.bit_or("b").alias("b"))
-    got = bits.toPandas()
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes(node, same, rep) whose full sets meet the threshold.
+
+    Sets are made again from the texts of the nodes' ids only: a bit table of fixed size tells which, and what an id that
+    several texts share makes too many goes by the set's hash.
+    """
+    by_id = lambda c: F.pmod(F.xxhash64(F.coalesce(c, F.lit(-(2**63)))), F.lit(FILTER_WORDS * 64)).cast("long")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
+    needed = written(needed.select("node", "same", by_id(F.col("rep")).alias("s")), "needed")
+    bits = needed.selectExpr("cast(s div 64 as int) w", "shiftleft(1L, cast(s % 64 as int)) b").groupBy("w").agg(F.bit_or("b").alias("b"))
+    got = bits.toPandas()  # FILTER_WORDS rows at most
     table = np.zeros(FILTER_WORDS, np.uint64)
     table[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64).view(np.uint64)
     table = docs.sparkSession.sparkContext.broadcast(table)
@@ -271,15 +304,16 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Dat
     def sets(batches):
         for pdf in batches:
             at = pdf["slot"].to_numpy(np.int64)
-            ids, rows = pdf["doc_id"].to_numpy(), pdf["text"].to_numpy()
+            rows = pdf["text"].to_numpy()
             hit = np.flatnonzero((table.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1))
             for k in range(0, len(hit), 500):
-                some = hit[k : k + 500]
-                yield pd.DataFrame({"id": ids[some], "items": [shingle_set(rows[i], words).view(np.int64) for i in some]})
+                made = [shingle_set(rows[i], words) for i in hit[k : k + 500]]
+                yield pd.DataFrame({"same": [digest(x) for x in made], "items": [x.view(np.int64) for x in made]})
 
-    where = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_WORDS * 64)).cast("long")
-    all_sets = docs.where("doc_id is not null").withColumn("slot", where).mapInPandas(sets, "id long, items array<long>")
-    wanted = written(needed.distinct().join(all_sets, "id").dropDuplicates(["id"]), "sets")
-    both = pairs.join(wanted.select(F.col("id").alias("b"), F.col("items").alias("ib")), "b").join(wanted.select(F.col("id").alias("a"), F.col("items").alias("ia")), "a")
+    all_sets = docs.select("text", by_id(F.col("doc_id").cast("long")).alias("slot")).mapInPandas(sets, "same binary, items array<long>")
+    wanted = written(needed.select("node", "same").join(all_sets, "same").dropDuplicates(["node"]).select("node", "items"), "sets")
+    both = pairs.join(wanted.select(F.col("node").alias("b"), F.col("items").alias("ib")), "b").join(wanted.select(F.col("node").alias("a"), F.col("items").alias("ia")), "a")
     shared = F.size(F.array_intersect("ia", "ib"))
-    return written(both.withColumn("s", shared).where(100 * F.col("s") >= percent * (F.size("ia") + F.size("ib") - F.col("s"))).select("a", "b"), "links")
+    out = written(both.withColumn("s", shared).where(100 * F.col("s") >= percent * (F.size("ia") + F.size("ib") - F.col("s"))).select("a", "b"), "links")
+    table.destroy()
+    return out
