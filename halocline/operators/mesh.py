@@ -52,19 +52,33 @@ def faces() -> list[tuple[int, int, int, int]]:
 FACES = faces()
 
 
+def ambiguous_face(ring: tuple[int, ...]) -> tuple[Column, Column]:
+    """Whether the first and third corner of a face are inside and the others not, and the other way round."""
+    side = lambda x: F.col("mask").bitwiseAND(1 << x) > 0
+    a, b, c, d = ring
+    return side(a) & side(c) & ~side(b) & ~side(d), side(b) & side(d) & ~side(a) & ~side(c)
+
+
 def face_bits() -> Column:
     """Bit per face whose diagonals differ in side: set where the inside corners are joined across the face."""
     out = F.lit(0)
     for n, (a, b, c, d) in enumerate(FACES):
-        side = lambda x: F.col("mask").bitwiseAND(1 << x) > 0
         val = lambda x: F.element_at("vals", F.lit(x))
         ac, bd = val(a) * val(c), val(b) * val(d)
-        first, second = side(a) & side(c) & ~side(b) & ~side(d), side(b) & side(d) & ~side(a) & ~side(c)
+        first, second = ambiguous_face((a, b, c, d))
         joined = (first & (ac > bd)) | (second & (bd > ac))
         out = out + F.when(F.coalesce(joined, F.lit(False)), 1 << n).otherwise(0)
     return out
 
 
+def ambiguous() -> Column:
+    out = F.lit(False)
+    for ring in FACES:
+        first, second = ambiguous_face(ring)
+        out = out | first | second
+    return out
+
+
 def edge_between(a: int, b: int) -> int:
     low = min(a, b)
     axis = {4: 0, 2: 1, 1: 2}[a ^ b]
@@ -98,15 +112,14 @@ def loops(mask: int, bits: int) -> list[list[int]]:
 
 
 def case_table(spark) -> DataFrame:
-    """(mask, bits, loop, pos, size, edge, next_edge) for every mask and every choice on its ambiguous faces."""
+    """(mask, bits, loop, pos, edge) for every mask and every choice on its ambiguous faces."""
     rows = []
     for mask in range(1, 255):
         open_ = [n for n, r in enumerate(FACES) if len({mask >> r[0] & 1, mask >> r[2] & 1}) == 1 == len({mask >> r[1] & 1, mask >> r[3] & 1}) and (mask >> r[0] & 1) != (mask >> r[1] & 1)]
         for choice in product((0, 1), repeat=len(open_)):
             bits = sum(1 << n for n, b in zip(open_, choice) if b)
-            for x, chain in enumerate(loops(mask, bits)):
-                rows += [(mask, bits, x, p, len(chain), e, chain[(p + 1) % len(chain)]) for p, e in enumerate(chain)]
-    return spark.createDataFrame(rows, "mask int, bits int, loop int, pos int, size int, edge int, next_edge int")
+            rows += [(mask, bits, x, p, e) for x, chain in enumerate(loops(mask, bits)) for p, e in enumerate(chain)]
+    return spark.createDataFrame(rows, "mask int, bits int, loop int, pos int, edge int")
 
 
 def crossings(field: DataFrame, var: str, iso: float, active: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
@@ -145,28 +158,43 @@ def vertex_id(*key: Column) -> Column:
     return F.concat_ws(":", *[c.cast("string") for c in key])
 
 
-def triangles(field: DataFrame, var: str, iso: float, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """(vertices, triangles).  vertices(id, lat, lon, depth); triangles(a, b, c), directed, without those of zero area."""
-    all_cells = cells(field, var, iso, by)
-    active = all_cells.where("active").select(*by, *DIMS, "mask", "bits").checkpoint()
-    table = case_table(field.sparkSession)
-    parts = active.join(F.broadcast(table), ["mask", "bits"])  # the case table has a fixed size
-    edge_v = crossings(field, var, iso, active, by).withColumn("id", vertex_id(*[F.col(d) for d in (*by, *DIMS)], F.col("axis"))).select("id", "lat", "lon", "depth").checkpoint()
-    step = [F.col(d) for d in by]
-    parts = parts.select(*by, *DIMS, "loop", "pos", "size", vertex_id(*step, *_key("edge")).alias("b"), vertex_id(*step, *_key("next_edge")).alias("c"))
+def fans(field: DataFrame, var: str, iso: float, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(vertices, triangles) before triangles of zero area go: vertices(by, id, lat, lon, depth, dz), triangles(by, a, b, c, area2).
+
+    Every loop of a cell is a fan about the mean of its ring.  A ring is put together once, with its places, so triangles need
+    no joins of their own.
+    """
+    active = cells(field, var, iso, by).where("active").select(*by, *DIMS, "mask", "bits").checkpoint()
+    parts = active.join(F.broadcast(case_table(field.sparkSession)), ["mask", "bits"])  # the case table has a fixed size
+    edge_v = crossings(field, var, iso, active, by).withColumn("id", vertex_id(*[F.col(d) for d in (*by, *DIMS)], F.col("axis")))
+    edge_v = edge_v.select(*by, "id", "lat", "lon", "depth", F.coalesce("dz", F.lit(0.0)).alias("dz")).checkpoint()
+    parts = parts.select(*by, *DIMS, "loop", "pos", vertex_id(*[F.col(d) for d in by], *_key("edge")).alias("id"))
+    item = F.struct("pos", "id", "lat", "lon", "depth")
+    mean = [F.avg(c).alias(c) for c in ("lat", "lon", "depth", "dz")]
+    rings = parts.join(edge_v.drop(*by), "id").groupBy(*by, *DIMS, "loop").agg(F.sort_array(F.collect_list(item)).alias("ring"), *mean)
     centre = F.concat_ws(":", F.lit("m"), *[F.col(d).cast("string") for d in (*by, *DIMS)], F.col("loop").cast("string"))
-    placed = parts.join(edge_v.withColumnRenamed("id", "b"), "b")
-    mids = placed.where("size > 3").groupBy(centre.alias("id")).agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.avg("depth").alias("depth"))
-    fans = parts.where("size > 3").select(centre.alias("a"), "b", "c")
-    three = parts.where("size = 3").groupBy(*by, *DIMS, "loop").agg(*[F.max(F.when(F.col("pos") == p, F.col("b"))).alias(n) for p, n in enumerate("abc")]).select("a", "b", "c")
-    vertices = edge_v.unionByName(mids)
-    tri = fans.unionByName(three)
-    for n in "abc":
-        tri = tri.join(vertices.select(F.col("id").alias(n), F.struct("lat", "lon", "depth").alias(f"p{n}")), n)
+    rings = rings.withColumn("id", centre).select(*by, "id", "lat", "lon", "depth", "dz", "ring").checkpoint()
+    vertices = edge_v.unionByName(rings.drop("ring"))
+    tri = rings.select(*by, F.struct("id", "lat", "lon", "depth").alias("pa"), F.col("ring"), F.posexplode("ring").alias("at", "pb"))
+    tri = tri.withColumn("pc", F.get("ring", (F.col("at") + 1) % F.size("ring")))
     d = lambda p, q, x: F.col(f"p{q}.{x}") - F.col(f"p{p}.{x}")
     cross = [d("a", "b", x) * d("a", "c", y) - d("a", "b", y) * d("a", "c", x) for x, y in (("lat", "lon"), ("lon", "depth"), ("depth", "lat"))]
-    area = cross[0] * cross[0] + cross[1] * cross[1] + cross[2] * cross[2]
-    return vertices, tri.where(area > 0).select("a", "b", "c")
+    area2 = cross[0] * cross[0] + cross[1] * cross[1] + cross[2] * cross[2]
+    return vertices, tri.select(*by, F.col("pa.id").alias("a"), F.col("pb.id").alias("b"), F.col("pc.id").alias("c"), area2.alias("area2"))
+
+
+def triangles(field: DataFrame, var: str, iso: float, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(vertices, triangles).  vertices(id, lat, lon, depth); triangles(a, b, c), directed, without those of zero area."""
+    vertices, tri = fans(field, var, iso, by)
+    return vertices.select("id", "lat", "lon", "depth"), tri.where("area2 > 0").select("a", "b", "c")
+
+
+def mesh_counts(field: DataFrame, var: str, iso: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """Per mesh its vertices, triangles, culled triangles, depth range and thickest depth bracket."""
+    vertices, tri = fans(field, var, iso, by)
+    v = vertices.groupBy(*by).agg(F.count(F.lit(1)).alias("n_vertices"), F.round(F.min("depth"), 4).alias("depth_min"), F.round(F.max("depth"), 4).alias("depth_max"), F.round(F.max("dz"), 4).alias("max_bracket"))
+    t = tri.groupBy(*by).agg(F.count_if(F.col("area2") > 0).alias("n_triangles"), F.count_if(F.col("area2") == 0).alias("n_culled"))
+    return v.join(t, list(by), "left") if by else v.join(F.broadcast(t))  # one row each
 
 
 def boundary_edges(tri: DataFrame) -> DataFrame:
@@ -180,10 +208,11 @@ def mesh_components(tri: DataFrame) -> DataFrame:
     return components(tri.select(F.explode(pairs).alias("e")).select("e.a", "e.b").distinct())
 
 
-def accounting(c: DataFrame) -> DataFrame:
-    """Counts of cells by fate; active, skipped and uncrossed ones add up to all."""
+def accounting(c: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Counts of cells by fate; active, skipped and uncrossed ones add up to all.  Ties count in whole cells only."""
     flag = lambda x: F.count_if(F.col(x))
-    return c.agg(
+    return c.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_cells"), flag("active").alias("n_active"), flag("skipped").alias("n_skipped"), flag("masked_straddle").alias("n_masked_straddle"),
-        F.count_if(F.col("ties") > 0).alias("n_tied"), F.count_if(~F.col("active") & ~F.col("skipped")).alias("n_uncrossed"),
+        F.count_if((F.col("ties") > 0) & ~F.col("skipped")).alias("n_tied"), F.count_if(~F.col("active") & ~F.col("skipped")).alias("n_uncrossed"),
+        F.count_if(F.col("active") & ambiguous()).alias("n_ambiguous"),
     )

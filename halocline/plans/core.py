@@ -13,8 +13,6 @@ from .inputs import ALERTS, GRID, LEVELS, PAIRS, alerts, grid, levels, steps, ta
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 BOX = (0.0, 2.0, 3.0, 12.0)
-#: Steps that the heavier mesh and raster queries look at.
-FIRST = "t_idx < 6"
 
 
 def query(sql: str | None = None):
@@ -101,33 +99,40 @@ def j2_bracket(spark, sf):
     return rows.select("profile_id", "n", "lat", "j0", "j1", F.round("jf", 6).alias("share"))
 
 
-@query(PAIRS + """SELECT DISTINCT profile_id, round(w00*coalesce(a00,0) + w01*coalesce(a01,0) + w10*coalesce(a10,0) + w11*coalesce(a11,0), 4) AS at_level FROM both_ WHERE NOT late AND NOT outside AND depth = 410
-AND NOT ((w00 <> 0 AND a00 IS NULL) OR (w01 <> 0 AND a01 IS NULL) OR (w10 <> 0 AND a10 IS NULL) OR (w11 <> 0 AND a11 IS NULL))""")
+CORNERS_SQL = ", ".join(f"c{x}.temp AS v{x}" for x in ("00", "01", "10", "11")), " ".join(f"LEFT JOIN grid c{x} ON c{x}.t_idx = p.t_idx AND c{x}.j = p.j{x[0]} AND c{x}.i = p.i{x[1]} AND c{x}.k_idx = 9" for x in ("00", "01", "10", "11"))
+
+
+@query(PAIRS + f""", w AS (SELECT p.*, CASE WHEN j1 = 0 THEN 0.0::DOUBLE ELSE p_lat - j0 END AS fy, CASE WHEN i1 = 0 THEN 0.0::DOUBLE ELSE p_lon - i0 END AS fx, {CORNERS_SQL[0]} FROM pos p {CORNERS_SQL[1]} WHERE NOT late AND NOT outside)
+SELECT profile_id, round((1-fy)*(1-fx)*coalesce(v00,0) + (1-fy)*fx*coalesce(v01,0) + fy*(1-fx)*coalesce(v10,0) + fy*fx*coalesce(v11,0), 4) AS at_level FROM w
+WHERE NOT (((1-fy)*(1-fx) <> 0 AND v00 IS NULL) OR ((1-fy)*fx <> 0 AND v01 IS NULL) OR (fy*(1-fx) <> 0 AND v10 IS NULL) OR (fy*fx <> 0 AND v11 IS NULL))""")
 def j3_bilinear(spark, sf):
-    g, lv = grid(spark, sf), levels(spark, sf).where("depth = 410")
-    ax = {d: axes.axis(g, d) for d in ("time", "lat", "lon")}
-    pos = co.placed(co.heads(lv), ax)
+    """Every profile's place at the level of index 9."""
+    g, lv = grid(spark, sf), levels(spark, sf)
+    pos = co.placed(co.heads(lv), axes.axes_of(g, "time", "lat", "lon"))
     st = co.stencils(pos, co.columns_of(g, "temp"))
     return st.select("profile_id", F.round(co.at_level(F.col("corners"), F.lit(9)), 4).alias("at_level")).where("at_level is not null")
 
 
-@query(f"""WITH {GRID}, {LEVELS}, c AS (SELECT k_idx, temp AS v FROM grid WHERE t_idx = 0 AND j = 1 AND i = 1), q AS (SELECT DISTINCT depth FROM levels),
+@query(f"""WITH {GRID}, {LEVELS}, q AS (SELECT DISTINCT depth FROM levels),
 b AS (SELECT depth, CASE WHEN depth < 40 OR depth > 2000 THEN NULL ELSE greatest(CAST(ceil(depth / 40.0::DOUBLE) AS INTEGER) - 2, 0) END AS k0, CASE WHEN depth < 40 OR depth > 2000 THEN NULL ELSE CAST(ceil(depth / 40.0::DOUBLE) AS INTEGER) - 1 END AS k1 FROM q)
-SELECT depth, k0, k1, round(lo.v + CASE WHEN k1 = 0 THEN 0 ELSE (depth - 40.0::DOUBLE*(k0+1)) / 40.0::DOUBLE END * (hi.v - lo.v), 4) AS value
-FROM b LEFT JOIN c lo ON lo.k_idx = k0 LEFT JOIN c hi ON hi.k_idx = k1""")
+SELECT lo.t_idx, lo.j, lo.i, b.depth, round(lo.temp + CASE WHEN k1 = 0 THEN 0 ELSE (b.depth - 40.0::DOUBLE*(k0+1)) / 40.0::DOUBLE END * (hi.temp - lo.temp), 8) AS value
+FROM b JOIN grid lo ON lo.k_idx = k0 JOIN grid hi ON hi.k_idx = k1 AND hi.t_idx = lo.t_idx AND hi.j = lo.j AND hi.i = lo.i""")
 def j4_depth_interp(spark, sf):
-    g = grid(spark, sf, "t_idx = 0").where("j = 1 and i = 1")
-    q = axes.bracketed(levels(spark, sf).select("depth").distinct(), F.col("depth"), axes.axis(g, "depth"), "k")
-    node = g.select("k_idx", F.col("temp").alias("v"))
-    rows = q.join(F.broadcast(node.select(F.col("k_idx").alias("k0"), F.col("v").alias("lo"))), "k0", "left").join(F.broadcast(node.select(F.col("k_idx").alias("k1"), F.col("v").alias("hi"))), "k1", "left")
-    return rows.select("depth", "k0", "k1", F.round(F.col("lo") + F.col("kf") * (F.col("hi") - F.col("lo")), 4).alias("value"))
+    """All model columns at every depth that was measured."""
+    g = grid(spark, sf)
+    cols = co.columns_of(g, "temp")
+    q = axes.bracketed(levels(spark, sf).select("depth").distinct(), F.col("depth"), axes.axis(g, "depth"), "k").where("k1 is not null")
+    depths = q.agg(F.collect_list(F.struct("depth", "k0", "k1", "kf")).alias("q"))
+    rows = cols.join(axes.small(depths)).select("t_idx", "j", "i", "vals", F.explode("q").alias("q"))  # one row of distinct depths
+    lo, hi = F.get("vals", F.col("q.k0")), F.get("vals", F.col("q.k1"))
+    return rows.select("t_idx", "j", "i", F.col("q.depth").alias("depth"), F.round(lo + F.col("q.kf") * (hi - lo), 8).alias("value"))
 
 
-COLUMN_SQL = f"""WITH {GRID}, {LEVELS}, h AS (SELECT DISTINCT profile_id, time, lat, lon FROM levels WHERE profile_id % 50 = 0),
+COLUMN_SQL = f"""WITH {GRID}, {LEVELS}, h AS (SELECT DISTINCT profile_id, time, lat, lon FROM levels),
 n AS (SELECT h.*, s.t_idx, row_number() OVER (PARTITION BY profile_id ORDER BY abs(epoch_us(h.time) - epoch_us(s.time)), s.t_idx) AS r FROM h, steps s),
 a AS (SELECT profile_id, t_idx, least(greatest(CAST(ceil(lat - 0.5::DOUBLE) AS INTEGER), 0), 24) AS j, least(greatest(CAST(ceil(lon - 0.5::DOUBLE) AS INTEGER), 0), 4) AS i FROM n WHERE r = 1),
 m AS (SELECT profile_id, g.k_idx, g.depth, g.temp AS modelled FROM a JOIN grid g USING (t_idx, j, i)),
-o AS (SELECT profile_id, depth, min(temp) AS temp FROM levels WHERE profile_id % 50 = 0 AND temp IS NOT NULL GROUP BY ALL),
+o AS (SELECT profile_id, depth, min(temp) AS temp FROM levels WHERE temp IS NOT NULL GROUP BY ALL),
 s AS (SELECT profile_id, depth AS d0, lead(depth) OVER w AS d1, temp AS v0, lead(temp) OVER w AS v1 FROM o WINDOW w AS (PARTITION BY profile_id ORDER BY depth)),
 x AS (SELECT m.*, s.*EXCLUDE (profile_id), row_number() OVER (PARTITION BY m.profile_id, m.k_idx ORDER BY s.d0) AS r FROM m JOIN s ON s.profile_id = m.profile_id AND m.depth BETWEEN s.d0 AND s.d1),
 y AS (SELECT profile_id, k_idx, v0 + (depth - d0) / (d1 - d0) * (v1 - v0) AS observed FROM x WHERE r = 1)
@@ -146,13 +151,12 @@ def model_columns(spark, sf, lv: DataFrame) -> DataFrame:
 
 @query(COLUMN_SQL + "SELECT profile_id, k_idx, depth, round(modelled, 4) AS modelled FROM m")
 def j6_nearest_column(spark, sf):
-    """A stated set of profiles, those whose id is divisible by 50, as for any search."""
-    return model_columns(spark, sf, levels(spark, sf).where("profile_id % 50 = 0")).withColumn("modelled", F.round("modelled", 4))
+    return model_columns(spark, sf, levels(spark, sf)).withColumn("modelled", F.round("modelled", 4))
 
 
 @query(COLUMN_SQL + "SELECT m.profile_id, m.k_idx, round(modelled, 4) AS modelled, round(observed, 4) AS observed FROM m JOIN y USING (profile_id, k_idx)")
 def j7_observed_on_levels(spark, sf):
-    lv = levels(spark, sf).where("profile_id % 50 = 0")
+    lv = levels(spark, sf)
     m = model_columns(spark, sf, lv)
     nodes = axes.axis(grid(spark, sf, "t_idx = 0"), "depth").select(F.col("idx").alias("k_idx"), "node")
     o = pf.on_levels(lv, nodes)
@@ -171,7 +175,7 @@ def w11_residual_series(spark, sf):
 
 
 def j7_joined(spark, sf):
-    lv = levels(spark, sf).where("profile_id % 50 = 0")
+    lv = levels(spark, sf)
     nodes = axes.axis(grid(spark, sf, "t_idx = 0"), "depth").select(F.col("idx").alias("k_idx"), "node")
     return model_columns(spark, sf, lv).join(pf.on_levels(lv, nodes), ["profile_id", "k_idx"])
 
@@ -275,15 +279,15 @@ def a9_level_mean(spark, sf):
     return grid(spark, sf).groupBy("t_idx", "k_idx").agg(F.round(F.avg("rough"), 6).alias("mean"))
 
 
-@query(f"WITH {GRID} SELECT round(quantile_cont(rough, 0.02), 4) AS lo, round(quantile_cont(rough, 0.98), 4) AS hi FROM grid WHERE t_idx < 6")
+@query(f"WITH {GRID} SELECT round(quantile_cont(rough, 0.02), 4) AS lo, round(quantile_cont(rough, 0.98), 4) AS hi FROM grid")
 def a10_robust_range(spark, sf):
-    return fl.robust_range(grid(spark, sf, FIRST), "rough").select(F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
+    return fl.robust_range(grid(spark, sf), "rough").select(F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
 
 
-@query(f"""WITH {GRID}, v AS (SELECT rough AS v, row_number() OVER (ORDER BY rough) - 1 AS r, count(*) OVER () AS n FROM grid WHERE t_idx < 6 AND rough IS NOT NULL)
+@query(f"""WITH {GRID}, v AS (SELECT rough AS v, row_number() OVER (ORDER BY rough) - 1 AS r, count(*) OVER () AS n FROM grid WHERE rough IS NOT NULL)
 SELECT round(max(v) FILTER (r = floor((n - 1) * 0.02::DOUBLE)), 4) AS lo, round(max(v) FILTER (r = floor((n - 1) * 0.98::DOUBLE)), 4) AS hi FROM v""")
 def a11_floor_range(spark, sf):
-    return fl.floor_range(grid(spark, sf, FIRST), "rough").select(F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
+    return fl.floor_range(grid(spark, sf), "rough").select(F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
 
 
 @query(f"WITH {LEVELS} SELECT source_id, count(DISTINCT profile_id) AS n_profiles, count(DISTINCT wmo) AS n_platforms FROM levels GROUP BY 1")
@@ -398,9 +402,9 @@ wet AS (SELECT DISTINCT t_idx, j, i FROM grid WHERE rough IS NOT NULL)
 """
 
 
-@query(INV_SQL + "SELECT t_idx, j, i, k_idx, round(deficit, 4) AS deficit FROM d WHERE deficit > 0 AND t_idx < 6")
+@query(INV_SQL + "SELECT t_idx, j, i, k_idx, round(deficit, 4) AS deficit FROM d WHERE deficit > 0")
 def w2_inversions(spark, sf):
-    return cc.inversions(grid(spark, sf, FIRST), "rough").where("deficit > 0").select("t_idx", "j", "i", "k_idx", F.round("deficit", 4).alias("deficit"))
+    return cc.inversions(grid(spark, sf), "rough").where("deficit > 0").select("t_idx", "j", "i", "k_idx", F.round("deficit", 4).alias("deficit"))
 
 
 @query(INV_SQL + "SELECT count(*) AS n_wet, sum(u) AS n_unstable, sum(deep) AS n_unstable_deep, round(max(most), 4) AS max_inversion, min(top) AS top, max(bottom) AS bottom FROM wet LEFT JOIN u USING (t_idx, j, i)")
@@ -440,9 +444,9 @@ def a13_block_ledger(spark, sf):
     return ve.block_means(grid(spark, sf), 3).groupBy(F.coalesce("reason", F.lit("served")).alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.sum("cells").alias("cells"))
 
 
-@query(f"WITH {GRID} SELECT t_idx, k_idx, j, i, round(sqrt(uo*uo + vo*vo), 4) AS speed FROM grid WHERE t_idx < 6")
+@query(f"WITH {GRID} SELECT t_idx, k_idx, j, i, round(sqrt(uo*uo + vo*vo), 4) AS speed FROM grid")
 def x6_speed(spark, sf):
-    return grid(spark, sf, FIRST).select("t_idx", "k_idx", "j", "i", ocean.speed(F.col("uo"), F.col("vo")).alias("speed"))
+    return grid(spark, sf).select("t_idx", "k_idx", "j", "i", ocean.speed(F.col("uo"), F.col("vo")).alias("speed"))
 
 
 SAMPLE_SQL = f"""WITH {GRID}, px AS (SELECT r AS row, c AS col, 14.0::DOUBLE - (r + 0.5::DOUBLE) * (16.0::DOUBLE / 64) AS lat, -1.0::DOUBLE + (c + 0.5::DOUBLE) * (6.0::DOUBLE / 48) AS lon FROM range(64) a(r), range(48) b(c)),
@@ -472,42 +476,62 @@ def g6_tile(spark, sf):
     return ra.tile(grid(spark, sf, "t_idx = 2").where("k_idx = 4"), "temp", WINDOW, 48, 64, "grey")
 
 
-@query(f"WITH {GRID} SELECT t_idx, k_idx, j, i, round(greatest(0, least(1, (log10(CASE WHEN rough > 0 THEN rough ELSE 0.5::DOUBLE END) - log10(0.5::DOUBLE)) / (log10(40.0::DOUBLE) - log10(0.5::DOUBLE)))), 4) AS place FROM grid WHERE t_idx < 3 AND rough IS NOT NULL")
+@query(f"WITH {GRID} SELECT t_idx, k_idx, j, i, round(greatest(0, least(1, (log10(CASE WHEN rough > 0 THEN rough ELSE 0.5::DOUBLE END) - log10(0.5::DOUBLE)) / (log10(40.0::DOUBLE) - log10(0.5::DOUBLE)))), 4) AS place FROM grid WHERE rough IS NOT NULL")
 def x10_log_position(spark, sf):
-    g = grid(spark, sf, "t_idx < 3").where("rough is not null")
+    g = grid(spark, sf).where("rough is not null")
     return g.select("t_idx", "k_idx", "j", "i", F.round(ra.position(F.col("rough"), F.lit(0.5), F.lit(40.0), log=True), 4).alias("place"))
 
 
-CELL_SQL = f"""WITH {GRID}, g AS (SELECT k_idx, j, i, rough AS v FROM grid WHERE t_idx = 2),
-n AS (SELECT k_idx - dk AS k_idx, j - dj AS j, i - di AS i, 4*dk + 2*dj + di AS c, v FROM g, range(2) a(dk), range(2) b(dj), range(2) d(di)),
-c AS (SELECT k_idx, j, i, count(v) AS valid, coalesce(sum(CASE WHEN v >= 20 THEN 1 << c ELSE 0 END), 0) AS mask, count(*) FILTER (v >= 20) AS n_in, count(*) FILTER (v < 20) AS n_out, count(*) FILTER (v = 20) AS ties FROM n GROUP BY ALL HAVING count(*) = 8)
+CELL_SQL = f"""WITH {GRID}, g AS (SELECT t_idx, k_idx, j, i, rough AS v FROM grid),
+n AS (SELECT t_idx, k_idx - dk AS k_idx, j - dj AS j, i - di AS i, 4*dk + 2*dj + di AS c, v FROM g, range(2) a(dk), range(2) b(dj), range(2) d(di)),
+c AS (SELECT t_idx, k_idx, j, i, count(v) AS valid, coalesce(sum(CASE WHEN v >= 20 THEN 1 << c ELSE 0 END), 0) AS mask, count(*) FILTER (v >= 20) AS n_in, count(*) FILTER (v < 20) AS n_out, count(*) FILTER (v = 20) AS ties FROM n GROUP BY ALL HAVING count(*) = 8)
 """
 
 
-@query(CELL_SQL + "SELECT k_idx, j, i, valid, CAST(mask AS INTEGER) AS mask, ties, valid = 8 AND n_in > 0 AND n_out > 0 AS active FROM c")
+@query(CELL_SQL + "SELECT t_idx, k_idx, j, i, valid, CAST(mask AS INTEGER) AS mask, ties, valid = 8 AND n_in > 0 AND n_out > 0 AS active FROM c")
 def g1_cells(spark, sf):
-    return ms.cells(grid(spark, sf, "t_idx = 2"), "rough", 20.0).select("k_idx", "j", "i", "valid", "mask", "ties", "active")
+    return ms.cells(grid(spark, sf), "rough", 20.0, ("t_idx",)).select("t_idx", "k_idx", "j", "i", "valid", "mask", "ties", "active")
+
 
+FACES_SQL = ", ".join(f"({n}, {r})" for n, r in enumerate(([0, 1, 3, 2], [4, 5, 7, 6], [0, 1, 5, 4], [2, 3, 7, 6], [0, 2, 6, 4], [1, 3, 7, 5])))
 
-@query(CELL_SQL + """SELECT count(*) AS n_cells, count(*) FILTER (valid = 8 AND n_in > 0 AND n_out > 0) AS n_active, count(*) FILTER (valid < 8) AS n_skipped,
-count(*) FILTER (valid < 8 AND n_in > 0 AND n_out > 0) AS n_masked_straddle, count(*) FILTER (ties > 0) AS n_tied, count(*) FILTER (valid = 8 AND NOT (n_in > 0 AND n_out > 0)) AS n_uncrossed FROM c""")
+
+@query(CELL_SQL + f""", act AS (SELECT t_idx, k_idx, j, i, CAST(mask AS INTEGER) AS mask FROM c WHERE valid = 8 AND n_in > 0 AND n_out > 0), faces(f, r) AS (VALUES {FACES_SQL}),
+amb AS (SELECT t_idx, count(*) AS n FROM (SELECT DISTINCT t_idx, k_idx, j, i FROM act, faces WHERE (mask >> r[1]) & 1 = (mask >> r[3]) & 1 AND (mask >> r[2]) & 1 = (mask >> r[4]) & 1 AND (mask >> r[1]) & 1 <> (mask >> r[2]) & 1) GROUP BY 1)
+SELECT t_idx, count(*) AS n_cells, count(*) FILTER (valid = 8 AND n_in > 0 AND n_out > 0) AS n_active, count(*) FILTER (valid < 8) AS n_skipped,
+count(*) FILTER (valid < 8 AND n_in > 0 AND n_out > 0) AS n_masked_straddle, count(*) FILTER (valid = 8 AND ties > 0) AS n_tied, count(*) FILTER (valid = 8 AND NOT (n_in > 0 AND n_out > 0)) AS n_uncrossed,
+coalesce(any_value(amb.n), 0) AS n_ambiguous FROM c LEFT JOIN amb USING (t_idx) GROUP BY t_idx""")
 def a20_cell_accounting(spark, sf):
-    return ms.accounting(ms.cells(grid(spark, sf, "t_idx = 2"), "rough", 20.0))
+    return ms.accounting(ms.cells(grid(spark, sf), "rough", 20.0, ("t_idx",)), ("t_idx",))
+
 
+@query()
+def a20_mesh_counts(spark, sf):
+    """Per step what the mesh holds beside its cells: vertices, triangles, culled ones, depth range, thickest bracket."""
+    return ms.mesh_counts(grid(spark, sf), "rough", 20.0, ("t_idx",))
 
-@query(f"""WITH {GRID}, g AS (SELECT * FROM grid WHERE t_idx < 6), e AS (
+
+@query(f"""WITH {GRID}, g AS (SELECT * FROM grid), e AS (
 SELECT t_idx, k_idx, j, i, 0 AS axis, rough AS v, lead(rough) OVER (PARTITION BY t_idx, j, i ORDER BY k_idx) AS v2, depth AS base, 40.0::DOUBLE AS step FROM g UNION ALL
 SELECT t_idx, k_idx, j, i, 1, rough, lead(rough) OVER (PARTITION BY t_idx, k_idx, i ORDER BY j), lat, 1.0 FROM g UNION ALL
 SELECT t_idx, k_idx, j, i, 2, rough, lead(rough) OVER (PARTITION BY t_idx, k_idx, j ORDER BY i), lon, 1.0 FROM g)
 SELECT t_idx, k_idx, j, i, axis, round(base + (20 - v) / (v2 - v) * step, 4) AS place FROM e WHERE (v >= 20 AND v2 < 20) OR (v < 20 AND v2 >= 20)""")
 def g2_crossings(spark, sf):
-    out = None
-    for t in range(6):
-        one = ms.crossings(grid(spark, sf, f"t_idx = {t}"), "rough", 20.0)
-        place = F.when(F.col("axis") == 0, F.col("depth")).when(F.col("axis") == 1, F.col("lat")).otherwise(F.col("lon"))
-        one = one.select(F.lit(t).alias("t_idx"), "k_idx", "j", "i", "axis", F.round(place, 4).alias("place"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """All crossed edges; with lat, lon or depth where the surface passes."""
+    one = ms.crossings(grid(spark, sf), "rough", 20.0, by=("t_idx",))
+    place = F.when(F.col("axis") == 0, F.col("depth")).when(F.col("axis") == 1, F.col("lat")).otherwise(F.col("lon"))
+    return one.select("t_idx", "k_idx", "j", "i", "axis", F.round(place, 4).alias("place"))
+
+
+@query(CELL_SQL + """, own AS (SELECT t_idx, k_idx + ok AS k_idx, j + oj AS j, i + oi AS i, axis FROM c, (SELECT a.k AS ok, b.j AS oj, d.i AS oi, axis FROM range(2) a(k), range(2) b(j), range(2) d(i), range(3) x(axis) WHERE (axis = 0 AND a.k = 0) OR (axis = 1 AND b.j = 0) OR (axis = 2 AND d.i = 0)) WHERE valid = 8 AND n_in > 0 AND n_out > 0),
+n2 AS (SELECT t_idx, k_idx, j, i, v, lead(v) OVER (PARTITION BY t_idx, j, i ORDER BY k_idx) AS a0, lead(v) OVER (PARTITION BY t_idx, k_idx, i ORDER BY j) AS a1, lead(v) OVER (PARTITION BY t_idx, k_idx, j ORDER BY i) AS a2 FROM g),
+e AS (SELECT t_idx, k_idx, j, i, axis FROM (SELECT *, CASE axis WHEN 0 THEN a0 WHEN 1 THEN a1 ELSE a2 END AS v2 FROM n2, range(3) x(axis)) WHERE (v >= 20 AND v2 < 20) OR (v < 20 AND v2 >= 20))
+SELECT t_idx, count(*) AS n_vertices FROM (SELECT DISTINCT t_idx, k_idx, j, i, axis FROM own JOIN e USING (t_idx, k_idx, j, i, axis)) GROUP BY 1""")
+def g2_active_vertices(spark, sf):
+    """Crossed edges of at least one active cell, once each however many cells share them."""
+    g = grid(spark, sf)
+    active = ms.cells(g, "rough", 20.0, ("t_idx",)).where("active")
+    return ms.crossings(g, "rough", 20.0, active, ("t_idx",)).groupBy("t_idx").agg(F.count(F.lit(1)).alias("n_vertices"))
 
 
 @query()

@@ -18,42 +18,60 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return months.select((F.row_number().over(W.orderBy("time")) - 1).cast("int").alias("t_idx"), "time")
 
 
+#: Nodes of the analysis grid: levels 40 m apart, rows and columns a degree apart.
+LEVEL_NODES, LAT_NODES, LON_NODES = 50, 25, 5
+
+
+def binned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(month, k, j, i, d, n): all line items, binned to the grid's cells; d is the sum of their discounts in hundredths."""
+    od = table(spark, sf_dir, "orders").select("o_orderkey", F.date_trunc("month", "o_orderdate").alias("month"))
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", F.col("l_quantity").cast("int").alias("k"), (F.col("l_suppkey") % LAT_NODES).cast("int").alias("j"), (F.col("l_partkey") % LON_NODES).cast("int").alias("i"),
+        F.round(F.lit(100.0) * F.col("l_discount")).cast("int").alias("c"),
+    )
+    return li.join(od, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("month", "k", "j", "i").agg(F.sum("c").alias("d"), F.count(F.lit(1)).alias("n"))
+
+
 def grid(spark: SparkSession, sf_dir: str, times: str | None = None) -> DataFrame:
-    """Dense cells (t_idx, time, k_idx, depth, j, lat, i, lon, temp, sal, uo, vo); missing cells hold nulls."""
+    """Cells (t_idx, time, k_idx, depth, j, lat, i, lon, temp, sal, uo, vo, rough) of an analysis by months.
+
+    A cell's values are those of a plain background, moved by the mean discount of the line items that fall into it; cells
+    that no item falls into keep the background, land and missing cells hold nulls.
+    """
     t = steps(spark, sf_dir)
     if times:
         t = t.where(times)
-    k = table(spark, sf_dir, "part").select(F.col("p_size").cast("int").alias("k")).distinct()
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("j")).distinct()
-    r = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("int").alias("i")).distinct()
-    # the product of three short axes is the grid itself
-    cells = n.crossJoin(F.broadcast(r)).crossJoin(F.broadcast(k)).crossJoin(F.broadcast(t))
+    upto = lambda a, b: F.explode(F.sequence(F.lit(a), F.lit(b)))
+    cells = t.repartition(spark.sparkContext.defaultParallelism, "t_idx").withColumn("j", upto(0, LAT_NODES - 1)).withColumn("i", upto(0, LON_NODES - 1)).withColumn("k", upto(1, LEVEL_NODES))
+    cells = cells.join(binned(spark, sf_dir).withColumnRenamed("month", "time"), ["time", "k", "j", "i"], "left")
     lat, lon, depth = F.col("j").cast("double"), F.col("i").cast("double"), F.col("k") * F.lit(40.0)
+    moved = F.when(F.col("n") > 0, (F.col("d").cast("double") / F.col("n") - 5) / F.lit(50.0)).otherwise(F.lit(0.0))
     land = (5 * F.col("j") + 3 * F.col("i")) % 17 == 0
     hole = (7 * F.col("j") + 11 * F.col("i") + 3 * F.col("k")) % 29 == 0
     sea = lambda v: F.when(~land & ~hole, v)
     return cells.select(
         "t_idx", "time", (F.col("k") - 1).alias("k_idx"), depth.alias("depth"), "j", lat.alias("lat"), "i", lon.alias("lon"),
-        sea(F.lit(30.0) + F.lit(0.05) * lat - F.lit(0.1) * lon - F.lit(0.013) * depth).alias("temp"), sea(F.lit(33.0) + F.lit(0.001) * depth).alias("sal"),
-        F.when(~land, ((13 * F.col("i") + 7 * F.col("j") + F.col("k")) % 17 - 8) / F.lit(10.0)).alias("uo"),
-        F.when(~hole, ((3 * F.col("j") + 5 * F.col("i") + 2 * F.col("k")) % 19 - 9) / F.lit(10.0)).alias("vo"),
+        sea(F.lit(30.0) + F.lit(0.05) * lat - F.lit(0.1) * lon - F.lit(0.013) * depth + moved).alias("temp"), sea(F.lit(33.0) + F.lit(0.001) * depth + moved / F.lit(10.0)).alias("sal"),
+        F.when(~land, ((13 * F.col("i") + 7 * F.col("j") + F.col("k")) % 17 - 8) / F.lit(9.7) + moved).alias("uo"),
+        F.when(~hole, ((3 * F.col("j") + 5 * F.col("i") + 2 * F.col("k")) % 19 - 9) / F.lit(9.7) - moved).alias("vo"),
         # a rougher field with inversions and interior extremes, for column diagnostics
-        sea(((F.col("k") * F.col("k") + 3 * F.col("j") + 5 * F.col("i") + F.col("t_idx")) % 23) / F.lit(10.0) + F.lit(0.02) * depth).alias("rough"),
+        sea(((F.col("k") * F.col("k") + 3 * F.col("j") + 5 * F.col("i") + F.col("t_idx")) % 23) / F.lit(10.0) + F.lit(0.02) * depth + moved).alias("rough"),
     )
 
 
-GRID = """
+GRID = f"""
 steps AS (SELECT time, CAST(row_number() OVER (ORDER BY time) - 1 AS INTEGER) AS t_idx
           FROM (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS time FROM orders)),
-cells AS (SELECT t_idx, time, CAST(k AS INTEGER) AS k, CAST(j AS INTEGER) AS j, CAST(i AS INTEGER) AS i,
-                 (5*j + 3*i) % 17 = 0 AS land, (7*j + 11*i + 3*k) % 29 = 0 AS hole
-          FROM steps, (SELECT DISTINCT p_size AS k FROM part), (SELECT DISTINCT n_nationkey AS j FROM nation), (SELECT DISTINCT r_regionkey AS i FROM region)),
+binned AS (SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS time, CAST(l_quantity AS INTEGER) AS k, CAST(l_suppkey % {LAT_NODES} AS INTEGER) AS j, CAST(l_partkey % {LON_NODES} AS INTEGER) AS i,
+                  sum(CAST(round(100.0::DOUBLE*l_discount) AS INTEGER)) AS d, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
+cells AS (SELECT t_idx, time, k, j, i, (5*j + 3*i) % 17 = 0 AS land, (7*j + 11*i + 3*k) % 29 = 0 AS hole, CASE WHEN n > 0 THEN (CAST(d AS DOUBLE) / n - 5) / 50.0::DOUBLE ELSE 0.0::DOUBLE END AS moved
+          FROM (SELECT t_idx, time, CAST(k AS INTEGER) AS k, CAST(j AS INTEGER) AS j, CAST(i AS INTEGER) AS i FROM steps, range(1, {LEVEL_NODES + 1}) a(k), range({LAT_NODES}) b(j), range({LON_NODES}) c(i)) LEFT JOIN binned USING (time, k, j, i)),
 grid AS (SELECT t_idx, time, k - 1 AS k_idx, k * 40.0::DOUBLE AS depth, j, CAST(j AS DOUBLE) AS lat, i, CAST(i AS DOUBLE) AS lon,
-                CASE WHEN NOT land AND NOT hole THEN 30.0::DOUBLE + 0.05::DOUBLE*j - 0.1::DOUBLE*i - 0.013::DOUBLE*(k*40.0::DOUBLE) END AS temp,
-                CASE WHEN NOT land AND NOT hole THEN 33.0::DOUBLE + 0.001::DOUBLE*(k*40.0::DOUBLE) END AS sal,
-                CASE WHEN NOT land THEN ((13*i + 7*j + k) % 17 - 8) / 10.0::DOUBLE END AS uo,
-                CASE WHEN NOT hole THEN ((3*j + 5*i + 2*k) % 19 - 9) / 10.0::DOUBLE END AS vo,
-                CASE WHEN NOT land AND NOT hole THEN ((k*k + 3*j + 5*i + t_idx) % 23) / 10.0::DOUBLE + 0.02::DOUBLE*(k*40.0::DOUBLE) END AS rough
+                CASE WHEN NOT land AND NOT hole THEN 30.0::DOUBLE + 0.05::DOUBLE*j - 0.1::DOUBLE*i - 0.013::DOUBLE*(k*40.0::DOUBLE) + moved END AS temp,
+                CASE WHEN NOT land AND NOT hole THEN 33.0::DOUBLE + 0.001::DOUBLE*(k*40.0::DOUBLE) + moved / 10.0::DOUBLE END AS sal,
+                CASE WHEN NOT land THEN ((13*i + 7*j + k) % 17 - 8) / 9.7::DOUBLE + moved END AS uo,
+                CASE WHEN NOT hole THEN ((3*j + 5*i + 2*k) % 19 - 9) / 9.7::DOUBLE - moved END AS vo,
+                CASE WHEN NOT land AND NOT hole THEN ((k*k + 3*j + 5*i + t_idx) % 23) / 10.0::DOUBLE + 0.02::DOUBLE*(k*40.0::DOUBLE) + moved END AS rough
          FROM cells)
 """
 
@@ -120,9 +138,9 @@ pairs AS (SELECT profile_id, wmo, time, lat, lon, depth, temp, temp_qc, t_idx, t
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sensor readings (station_id, seq, ts, temp_c, tds_ppm, turbidity_ntu, received_at)."""
+    """Sensor readings (station_id, seq, ts, temp_c, tds_ppm, turbidity_ntu, received_at), with some sudden rises and falls."""
     e = table(spark, sf_dir, "events")
-    temp = F.when(F.col("event_id") % 37 == 0, 150.0).when(F.col("event_id") % 41 == 0, -40.0).when(F.col("event_type") == "error", None).otherwise(F.col("value") / F.lit(10.0))
+    temp = F.when(F.col("event_id") % 37 == 0, 150.0).when(F.col("event_id") % 41 == 0, -40.0).when(F.col("event_id") % 997 == 500, 95.0).when(F.col("event_id") % 997 == 250, -4.9).when(F.col("event_type") == "error", None).otherwise(F.col("value") / F.lit(10.0))
     return e.select(
         F.concat(F.lit("st"), (F.col("user_id") % 10).cast("string")).alias("station_id"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 11 != 0, F.col("ts")).alias("ts"),
         temp.alias("temp_c"), (F.col("event_id") % 700 * F.lit(100.0)).alias("tds_ppm"), (F.col("user_id") % 45 * F.lit(100.0)).alias("turbidity_ntu"), F.col("ts").alias("received_at"),
@@ -131,7 +149,7 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 READINGS = """
 readings AS (SELECT 'st' || CAST(user_id % 10 AS VARCHAR) AS station_id, event_id AS seq, CASE WHEN event_id % 11 <> 0 THEN ts END AS ts,
-                    CASE WHEN event_id % 37 = 0 THEN 150.0::DOUBLE WHEN event_id % 41 = 0 THEN -40.0::DOUBLE WHEN event_type = 'error' THEN NULL ELSE value / 10.0::DOUBLE END AS temp_c,
+                    CASE WHEN event_id % 37 = 0 THEN 150.0::DOUBLE WHEN event_id % 41 = 0 THEN -40.0::DOUBLE WHEN event_id % 997 = 500 THEN 95.0::DOUBLE WHEN event_id % 997 = 250 THEN -4.9::DOUBLE WHEN event_type = 'error' THEN NULL ELSE value / 10.0::DOUBLE END AS temp_c,
                     event_id % 700 * 100.0::DOUBLE AS tds_ppm, user_id % 45 * 100.0::DOUBLE AS turbidity_ntu, ts AS received_at FROM events)
 """
 

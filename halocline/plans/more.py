@@ -187,13 +187,13 @@ def w7_trailing_stats(spark, sf):
     return st.history(ok).select("seq", "n_before", F.round("mean_before", 6).alias("mean_before"), F.round("std_before", 6).alias("std_before"))
 
 
-@query(TRIP_SQL + "SELECT seq, station_id, round(temp_c - mean_before, 3) AS delta FROM h WHERE n_before + 1 >= 13 AND abs(temp_c - mean_before) >= 1.5 AND (std_before = 0 OR abs(temp_c - mean_before) >= 3 * std_before)")
+TRIPPED = "n_before + 1 >= 13 AND temp_c - mean_before >= 1.5 AND (std_before = 0 OR temp_c - mean_before >= 6 * std_before)"
+
+
+@query(TRIP_SQL + f"SELECT seq, station_id, round(temp_c - mean_before, 3) AS delta FROM h WHERE {TRIPPED}")
 def r3_threshold_alert(spark, sf):
-    """The batch form at three deviations, so that the given events trip; the library's default is six."""
     ok = readings(spark, sf).withColumn("reason", st.reason()).where("reason is null")
-    h = st.history(ok).withColumn("delta", F.col("temp_c") - F.col("mean_before"))
-    hit = (F.col("n_before") + 1 >= st.MIN_READINGS) & (F.abs("delta") >= st.DEGREES) & ((F.col("std_before") == 0) | (F.abs("delta") >= 3 * F.col("std_before")))
-    return h.where(hit).select("seq", "station_id", F.round("delta", 3).alias("delta"))
+    return st.threshold_alerts(ok).where("tripped").select("seq", "station_id", F.round("delta", 3).alias("delta"))
 
 
 @query(f"WITH {READINGS}, n AS (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY seq DESC) AS p FROM readings) SELECT station_id, seq, temp_c FROM n WHERE p <= 500")
@@ -249,16 +249,16 @@ def x17_numerals(spark, sf):
 UNITS = {"temp": "degC", "sal": "1"}
 
 
-@query(f"""WITH {GRID}, wet AS (SELECT t_idx, j, i, count(temp) AS w FROM grid WHERE t_idx < 3 GROUP BY ALL), p AS (SELECT *, lead(temp) OVER (PARTITION BY t_idx, j, i ORDER BY k_idx) AS v2 FROM grid WHERE t_idx < 3)
+@query(f"""WITH {GRID}, wet AS (SELECT t_idx, j, i, count(temp) AS w FROM grid GROUP BY ALL), p AS (SELECT *, lead(temp) OVER (PARTITION BY t_idx, j, i ORDER BY k_idx) AS v2 FROM grid)
 SELECT (SELECT count(*) FROM wet) AS n_cells, count(DISTINCT (t_idx, j, i)) FILTER (temp >= 26 AND v2 < 26) AS n_valid, 0 AS n_infinite, 0 AS n_on_dry, 0 AS n_surplus, 0 AS n_absent FROM p""")
 def e5_contract_check(spark, sf):
-    g = grid(spark, sf, "t_idx < 3")
+    g = grid(spark, sf)
     return de.violations(g, de.run(g, "d26", UNITS), "d26")
 
 
-@query(f"WITH {GRID} SELECT count(*) AS n_cells, count(temp) AS n_valid FROM grid WHERE t_idx < 3")
+@query(f"WITH {GRID} SELECT count(*) AS n_cells, count(temp) AS n_valid FROM grid")
 def a19_valid_cells(spark, sf):
-    g = grid(spark, sf, "t_idx < 3")
+    g = grid(spark, sf)
     return de.run(g, "sigma0", UNITS).agg(F.count(F.lit(1)).alias("n_cells"), F.count("sigma0").alias("n_valid"))
 
 
@@ -279,15 +279,15 @@ def e3_offered(spark, sf):
     return names.join(F.broadcast(g.agg((F.max("t_idx") * 0).alias("shadowed"))))
 
 
-@query(f"WITH {GRID}, p AS (SELECT *, lead(temp) OVER w AS v2, lead(depth) OVER w AS z2 FROM grid WHERE t_idx < 3 WINDOW w AS (PARTITION BY t_idx, j, i ORDER BY k_idx)) SELECT t_idx, j, i, round(arg_min(depth + (temp - 26) / (temp - v2) * (z2 - depth), k_idx) FILTER (temp >= 26 AND v2 < 26), 4) AS d26 FROM p GROUP BY ALL")
+@query(f"WITH {GRID}, p AS (SELECT *, lead(temp) OVER w AS v2, lead(depth) OVER w AS z2 FROM grid WINDOW w AS (PARTITION BY t_idx, j, i ORDER BY k_idx)) SELECT t_idx, j, i, round(arg_min(depth + (temp - 26) / (temp - v2) * (z2 - depth), k_idx) FILTER (temp >= 26 AND v2 < 26), 4) AS d26 FROM p GROUP BY ALL")
 def e4_run_product(spark, sf):
-    return de.run(grid(spark, sf, "t_idx < 3"), "d26", UNITS).select("t_idx", "j", "i", F.round("d26", 4).alias("d26"))
+    return de.run(grid(spark, sf), "d26", UNITS).select("t_idx", "j", "i", F.round("d26", 4).alias("d26"))
 
 
-@query(f"WITH {GRID} SELECT t_idx, k_idx, j, i, round(temp, 4) AS temp, round(sal, 4) AS sal FROM grid WHERE t_idx < 3")
+@query(f"WITH {GRID} SELECT t_idx, k_idx, j, i, round(temp, 4) AS temp, round(sal, 4) AS sal FROM grid")
 def j13_input_assembly(spark, sf):
     """Stored variables of a product come from separate tables on the same cells."""
-    g = grid(spark, sf, "t_idx < 3")
+    g = grid(spark, sf)
     keys = ["t_idx", "k_idx", "j", "i"]
     return g.select(*keys, F.round("temp", 4).alias("temp")).join(g.select(*keys, F.round("sal", 4).alias("sal")), keys)
 
@@ -496,7 +496,7 @@ def t16_text_refusals(spark, sf):
 @query(f"""WITH {TEXT_SQL}, f AS (SELECT profile_id, any_value(np) AS np FROM tl GROUP BY 1) SELECT CASE profile_id % 4 WHEN 0 THEN 'tab' WHEN 1 THEN 'semicolon' WHEN 2 THEN 'pipe' ELSE 'comma' END AS delimiter, count(*) AS n_files, sum(np) AS n_data, sum(CASE WHEN profile_id % 10 = 5 THEN 1 ELSE 0 END) AS n_footer, sum(np - 1) AS inherited_time
 FROM f WHERE profile_id % 10 NOT IN (3, 7) GROUP BY 1""")
 def t21_text_record(spark, sf):
-    r = tx.parse(text_files(spark, sf), FORMAT)[2].where("cast(split(file, '[.]')[0] as long) % 10 <> 7")
+    r = tx.parse(text_files(spark, sf), FORMAT)[2]
     return r.groupBy("delimiter").agg(F.count(F.lit(1)).alias("n_files"), F.sum("n_data").alias("n_data"), F.sum("n_footer").alias("n_footer"), F.sum("inherited_time").alias("inherited_time"))
 
 
@@ -511,10 +511,10 @@ def scratch(spark, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-@query(f"WITH {GRID} SELECT t_idx, k_idx, count(*) AS n_cells, count(temp) AS n_valid FROM grid WHERE t_idx < 3 GROUP BY 1, 2")
+@query(f"WITH {GRID} SELECT t_idx, k_idx, count(*) AS n_cells, count(temp) AS n_valid FROM grid GROUP BY 1, 2")
 def s20_store_round_trip(spark, sf):
     path = scratch(spark, "store")
-    gr.store(grid(spark, sf, "t_idx < 3").withColumn("source_id", F.lit("analysis")), path)
+    gr.store(grid(spark, sf).withColumn("source_id", F.lit("analysis")), path)
     back = gr.load(spark, path, "analysis", {"analysis"})
     return back.groupBy("t_idx", "k_idx").agg(F.count(F.lit(1)).alias("n_cells"), F.count("temp").alias("n_valid"))
 
@@ -534,7 +534,7 @@ def s21_profile_table(spark, sf):
     return spark.read.schema("source_id string, n_profiles long, n_levels long, n_platforms long, n_temp long, n_psal long").json(f"{path}-provenance")
 
 
-@query(TRIP_SQL + "SELECT station_id, seq, round(temp_c - mean_before, 3) AS delta FROM h WHERE n_before + 1 >= 13 AND abs(temp_c - mean_before) >= 1.5 AND (std_before = 0 OR abs(temp_c - mean_before) >= 6 * std_before)")
+@query(TRIP_SQL + f"SELECT station_id, seq, round(temp_c - mean_before, 3) AS delta FROM h WHERE {TRIPPED}")
 def r3_threshold_stream(spark, sf):
     """The stateful stream over a replay of the accepted readings, state kept per station; results land in a table."""
     path = scratch(spark, "readings")

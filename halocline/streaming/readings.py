@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -16,6 +17,8 @@ MIN_READINGS, SIGMAS, DEGREES, LOOK_BACK = 13, 6.0, 1.5, 500
 LAST_LINES = 500
 #: Readings of a file of a replayed log, about; a batch of the stream is one file.
 REPLAY_ROWS = 500_000
+#: Readings of a station that are numbered, and looked back over, in one task.
+SEQ_CELL = 100_000
 
 
 def reason(limits: dict[str, tuple[float, float]] = LIMITS) -> Column:
@@ -51,17 +54,45 @@ def append_log(stream: DataFrame, path: str, checkpoint: str):
     return stream.writeStream.format("json").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def numbered(readings: DataFrame) -> DataFrame:
+    """readings with rn, their place from 0 within the station, by seq.
+
+    Rows are numbered within a station's SEQ_CELL numbers; only the counts of these cells are added up over a station.
+    """
+    rows = readings.withColumn("cell", F.coalesce(F.floor(F.col("seq") / SEQ_CELL), F.lit(-1)).cast("long"))
+    counts = rows.groupBy("station_id", "cell").agg(F.count(F.lit(1)).alias("n"))
+    start = F.coalesce(F.sum("n").over(W.partitionBy("station_id").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.withColumn("own", F.row_number().over(W.partitionBy("station_id", "cell").orderBy("seq")))
+    both = placed.join(counts.select("station_id", "cell", start.alias("start")), ["station_id", "cell"])
+    return both.withColumn("rn", F.col("start") + F.col("own") - 1).drop("cell", "own", "start")
+
+
 def history(readings: DataFrame, look_back: int = LOOK_BACK) -> DataFrame:
     """n, mean and population deviation of the up to look_back readings of the station before each one, by arrival.
 
-    Sums, not lists, are kept, so a station's window costs the same however long its log is.
+    A station is cut into stretches of SEQ_CELL readings, each with the look_back before it, so its log is no one task's work;
+    and the figures are differences of running sums about the stretch's mean, which cost the same however far one looks back.
     """
-    before = W.partitionBy("station_id").orderBy("seq").rowsBetween(-look_back, -1)
-    return readings.withColumns({"n_before": F.count("temp_c").over(before), "mean_before": F.avg("temp_c").over(before), "std_before": F.stddev_pop("temp_c").over(before)})
+    rows = numbered(readings).withColumn("part", F.floor(F.col("rn") / SEQ_CELL))
+    tail = rows.where(F.col("rn") % SEQ_CELL >= SEQ_CELL - look_back).withColumns({"part": F.col("part") + 1, "own": F.lit(False)})
+    rows = rows.withColumn("own", F.lit(True)).unionByName(tail)
+    stretch = W.partitionBy("station_id", "part")
+    x = F.col("temp_c") - F.col("mid")
+    upto, back = stretch.orderBy("rn").rowsBetween(W.unboundedPreceding, -1), stretch.orderBy("rn")
+    rows = rows.withColumn("mid", F.avg("temp_c").over(stretch))
+    rows = rows.withColumns({"c0": F.count("temp_c").over(upto), "c1": F.coalesce(F.sum(x).over(upto), F.lit(0.0)), "c2": F.coalesce(F.sum(x * x).over(upto), F.lit(0.0))})
+    before = {f"w{k}": F.col(f"c{k}") - F.coalesce(F.lag(f"c{k}", look_back).over(back), F.lit(0)) for k in range(3)}
+    rows = rows.withColumns(before).where("own")
+    mean = F.col("w1") / F.col("w0")
+    spread = F.sqrt(F.greatest(F.col("w2") / F.col("w0") - mean * mean, F.lit(0.0)))
+    some = F.col("w0") > 0
+    rows = rows.withColumns({"n_before": F.col("w0"), "mean_before": F.when(some, F.col("mid") + mean), "std_before": F.when(some, spread)})
+    return rows.drop("rn", "part", "own", "mid", *[f"{a}{k}" for a in "cw" for k in range(3)])
 
 
 def tripped() -> Column:
-    delta = F.abs(F.col("temp_c") - F.col("mean_before"))
+    """A reading trips when it's warmer than what came before it, by degrees and by deviations; a fall doesn't."""
+    delta = F.col("temp_c") - F.col("mean_before")
     return (F.col("n_before") + 1 >= MIN_READINGS) & (delta >= DEGREES) & ((F.col("std_before") == 0) | (delta >= SIGMAS * F.col("std_before")))
 
 
@@ -71,20 +102,22 @@ def threshold_alerts(readings: DataFrame) -> DataFrame:
 
 
 def _trip(key, batches, state: GroupState):
-    values: list[float] = list(state.get[0]) if state.exists else []
-    out = []
+    held = np.array(state.get[0] if state.exists else [], float)
     # splits of a batch meet in no set order
-    for seq, v in sorted(r for pdf in batches for r in zip(pdf["seq"].tolist(), pdf["temp_c"].tolist())):
-        n = len(values)
-        if n + 1 >= MIN_READINGS:
-            mean = sum(values) / n
-            std = (sum((x - mean) ** 2 for x in values) / n) ** 0.5
-            delta = abs(v - mean)
-            if delta >= DEGREES and (std == 0 or delta >= SIGMAS * std):
-                out.append((key[0], int(seq), v - mean))
-        values = [*values[-(LOOK_BACK - 1) :], float(v)]
-    state.update((values,))
-    yield pd.DataFrame(out, columns=["station_id", "seq", "delta"])
+    rows = pd.concat([pdf[["seq", "temp_c"]] for pdf in batches]).sort_values(["seq", "temp_c"])
+    v = np.concatenate([held, rows["temp_c"].to_numpy(float)])
+    at = np.arange(len(held), len(v))
+    first = np.maximum(0, at - LOOK_BACK)
+    x = v - (v.mean() if len(v) else 0.0)
+    s1, s2 = (np.concatenate([[0.0], np.cumsum(y)]) for y in (x, x * x))
+    n = at - first
+    with np.errstate(invalid="ignore", divide="ignore"):
+        mean = (s1[at] - s1[first]) / n
+        std = np.sqrt(np.maximum((s2[at] - s2[first]) / n - mean * mean, 0.0))
+        delta = x[at] - mean
+        hit = (n + 1 >= MIN_READINGS) & (delta >= DEGREES) & ((std == 0) | (delta >= SIGMAS * std))
+    state.update((v[-LOOK_BACK:].tolist(),))
+    yield pd.DataFrame({"station_id": key[0], "seq": rows["seq"].to_numpy(np.int64)[hit], "delta": delta[hit]})
 
 
 def trip_stream(accepted: DataFrame) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-import math
+import datetime
+import decimal
 
 import duckdb
+import numpy as np
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+#: Largest difference of two numbers that agree, relative to the larger of 1 and the number.
+TOLERANCE = 2e-6
 
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
@@ -17,41 +22,49 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def plain(v):
-    if v is None or (isinstance(v, float) and math.isnan(v)):
-        return None
-    if hasattr(v, "to_pydatetime"):
-        return v.to_pydatetime().replace(tzinfo=None)
-    if isinstance(v, bool):
-        return v
-    if hasattr(v, "is_integer") or isinstance(v, float):
-        return round(float(v), 6) + 0.0
-    try:
-        return int(v) if not isinstance(v, str) and float(v) == int(v) else float(v)
-    except (TypeError, ValueError):
-        return v
+def plain(column: pd.Series) -> pd.Series:
+    """Numbers, truth values and instants (in seconds) as floats, all else as text; null is NaN or None."""
+    if pd.api.types.is_datetime64_any_dtype(column):
+        column = column.dt.tz_convert("UTC").dt.tz_localize(None) if column.dt.tz else column
+        return pd.Series(np.where(column.isna(), np.nan, column.astype("datetime64[us]").astype("int64") / 1e6), dtype="float64")
+    known = column.dropna()
+    if pd.api.types.is_numeric_dtype(column) or len(known) and isinstance(known.iloc[0], (bool, np.bool_, int, float, decimal.Decimal)):
+        return column.astype("float64")
+    if len(known) and isinstance(known.iloc[0], (datetime.date, datetime.datetime)):
+        return plain(pd.to_datetime(column))
+    return column.map(lambda x: None if x is None or x is pd.NaT or isinstance(x, float) and np.isnan(x) else str(x)).astype(object)
 
 
-def rows(names: list[str], data) -> list[tuple]:
-    order = sorted(range(len(names)), key=lambda i: names[i])
-    out = []
-    for r in data:
-        vals = [plain(r[i]) for i in order]
-        out.append(tuple(float(v) if isinstance(v, int) and not isinstance(v, bool) else v for v in vals))
-    return sorted(out, key=lambda t: tuple((v is None, str(type(v)), v if v is not None else 0) for v in t))
+def table(data: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({n: plain(data[n].reset_index(drop=True)) for n in sorted(data.columns)})
+
+
+def in_order(df: pd.DataFrame) -> pd.DataFrame:
+    """Rows in an order that a number's last digits don't change."""
+    keys = pd.DataFrame({c: df[c].round(4) if df[c].dtype == float else df[c].fillna("\0") for c in df})
+    keys = keys.assign(**{f"\1{c}": df[c] for c in df if df[c].dtype == float})
+    return df.loc[keys.sort_values(list(keys.columns), kind="stable").index].reset_index(drop=True)
 
 
 def compare(spark, con, query, sql: str, sf_dir: str) -> str:
     """Empty when rows agree; else what differs."""
-    df = query(spark, sf_dir)
-    got = rows(df.columns, [tuple(r) for r in df.collect()])
-    cur = con.execute(sql)
-    names = [d[0] for d in cur.description]
-    want = rows(names, cur.fetchall())
-    if sorted(df.columns) != sorted(names):
-        return f"columns {sorted(df.columns)} against {sorted(names)}"
+    got, want = query(spark, sf_dir).toArrow().to_pandas(date_as_object=False), con.execute(sql).df()
+    if sorted(got.columns) != sorted(want.columns):
+        return f"columns {sorted(got.columns)} against {sorted(want.columns)}"
     if len(got) != len(want):
         return f"{len(got)} rows against {len(want)}"
-    bad = [(a, b) for a, b in zip(got, want) if any((x is None) != (y is None) or (x != y if not isinstance(x, float) or not isinstance(y, float) else abs(x - y) > 2e-4 * max(1, abs(y))) for x, y in zip(a, b))]
-    exact = sum(a != b for a, b in zip(got, want))
-    return f"{len(bad)} rows differ, first {bad[0]}" if bad else f"~{exact} rows differ in the last digit, first {next((a, b) for a, b in zip(got, want) if a != b)}" if exact else ""
+    a, b = in_order(table(got)), in_order(table(want))
+    bad = np.zeros(len(a), bool)
+    for c in a:
+        if a[c].isna().all() and b[c].isna().all():
+            continue
+        if a[c].dtype == float and b[c].dtype == float:
+            x, y = a[c].to_numpy(), b[c].to_numpy()
+            with np.errstate(invalid="ignore"):
+                bad |= (np.isnan(x) != np.isnan(y)) | (np.abs(x - y) > TOLERANCE * np.maximum(1, np.abs(y)))
+        else:
+            bad |= (a[c].fillna("\0") != b[c].fillna("\0")).to_numpy()
+    if not bad.any():
+        return ""
+    k = int(np.flatnonzero(bad)[0])
+    return f"{int(bad.sum())} rows differ, first {a.iloc[k].to_dict()} against {b.iloc[k].to_dict()}"

@@ -6,8 +6,6 @@ import pytest
 from halocline.plans import core, more
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"s6_text_casts", "t16_text_refusals", "t21_text_record"}
-NAMES = sorted((core.SQL | more.SQL).keys() - SLOW)
 
 
 @pytest.fixture(scope="module")
@@ -15,13 +13,7 @@ def con():
     return compare.connect(SF)
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", sorted(core.SQL | more.SQL))
 def test_query_agrees(spark, con, name):
     said = compare.compare(spark, con, (core.QUERIES | more.QUERIES)[name], (core.SQL | more.SQL)[name], SF)
-    assert not said or said.startswith("~"), said
-
-
-def test_text_casts(spark, con):
-    for name in ("t21_text_record",):
-        said = compare.compare(spark, con, more.QUERIES[name], more.SQL[name], SF)
-        assert not said, said
+    assert not said, said
