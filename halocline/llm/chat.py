@@ -1,13 +1,13 @@
 """Chat formatting (operator 1): preference pairs with a shared prompt; DataFrame operations only.
 
-Conversations that open with the same turn are alternatives; in order of (cell of the id, id) the even ones are chosen
-and the odd ones rejected.  The longest common prefix of a pair's turns is rendered once as prompt; what follows
+Conversations that open with the same turn are alternatives.  The table holds no preference, so which of two is chosen is
+a rule: in order of (cell of the id's md5, id) the even ones are chosen and the odd ones rejected.  The longest common prefix of a pair's turns is rendered once as prompt; what follows
 becomes the two completions.  In a completion the texts of assistant turns carry loss; turn markers and the turns
 of others are masked.  Spans [start, end) are code points of the completion.
 
 Defined results: a conversation without partner has no rejected side; its prompt ends before its last turn.  Null role or
 text is rendered as empty; turns are ordered by (turn, role, text), repeated rows stay repeated turns; a null
-conv_id is a conversation; an empty table gives no rows; other columns are ignored.
+conv_id is a conversation; texts of any length are rendered whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -55,7 +55,7 @@ def spans(part: Column) -> Column:
 def preference_pairs(conversations: DataFrame) -> DataFrame:
     """chosen_id, rejected_id, n_prompt_turns, prompt, chosen, rejected, chosen_spans, rejected_spans per pair."""
     convs = turns(conversations)
-    placed = ranked(convs.select("conv_id", "opening"), ["opening"], [], "conv_id", "nth", digits=1)
+    placed = ranked(convs.select("conv_id", "opening"), ["opening"], [], "conv_id", "nth")
     seats = placed.select("conv_id", "opening", F.floor(F.col("nth") / 2).alias("pair"), (F.col("nth") % 2).alias("side"))
     rows = same(convs.drop("opening"), seats, ["conv_id"])
     side = lambda k, c: F.max(F.when(F.col("side") == k, F.col(c)))

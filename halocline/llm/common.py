@@ -19,12 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (tests only) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Only in local mode, as in tests, a folder of our own may stand for it."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(root)
-        root = spark.sparkContext.getCheckpointDir() or root
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
 
 
@@ -36,6 +37,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unwritten(*tables: DataFrame) -> None:
+    """Delete tables that written() made and nothing needs any more."""
+    for df in tables:
+        spark = df.sparkSession
+        root = shared_dir(spark).split(":", 1)[-1].rstrip("/")
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if root in folder:
+                where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def sub_key(id_col: Column, digits: int = 3) -> Column:
     """An even spread of ids over 16**digits cells, by md5 of the id's decimal form (null: cell 'nul')."""
     return F.coalesce(F.substring(F.md5(id_col.cast("string").cast("binary")), 1, digits), F.lit("nul"))
@@ -93,7 +105,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v").select(F.col("m").alias("m"), "u", "v")
         e = small.select(F.col("m").alias("u"), "v").unionByName(small.select(F.col("m").alias("u"), F.col("u").alias("v"))).where("u < v").distinct()
-        e = written(e, "edges")
+        last, e = e, written(e, "edges")
+        unwritten(last)
         state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == seen:
             return e.select(F.col("v").alias("node"), F.col("u").alias("component"))

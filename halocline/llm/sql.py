@@ -17,7 +17,7 @@ PREFERENCE = """
 WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
 c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn, role, text) AS t FROM r GROUP BY conv_id),
 k AS (SELECT *, md5(t[1].role || chr(0) || t[1].text) AS opening FROM c),
-p AS (SELECT *, row_number() OVER (PARTITION BY opening ORDER BY substr(md5(CAST(conv_id AS VARCHAR)), 1, 1), conv_id) - 1 AS nth FROM k),
+p AS (SELECT *, row_number() OVER (PARTITION BY opening ORDER BY coalesce(substr(md5(CAST(conv_id AS VARCHAR)), 1, 3), 'nul'), conv_id) - 1 AS nth FROM k),
 j AS (SELECT a.conv_id AS chosen_id, b.conv_id AS rejected_id, a.t AS a, b.t AS b FROM p a LEFT JOIN p b ON a.opening = b.opening AND b.nth = a.nth + 1 WHERE a.nth % 2 = 0),
 n AS (SELECT *, CASE WHEN b IS NULL THEN len(a) - coalesce(nullif(list_position(list_reverse([x.role for x in a]), 'assistant'), 0), 1)
              ELSE coalesce(list_min([i - 1 for i in range(1, least(len(a), len(b)) + 1) if a[i] <> b[i]]), least(len(a), len(b))) END AS n FROM j),

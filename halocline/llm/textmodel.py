@@ -1,7 +1,7 @@
 """Logistic regression over hashed n-grams of a text, with calibrated probabilities.
 
 Training takes a bounded sample of labelled rows (`sample` rows, those with the least md5 of their id).  Their features
-stay on the executors, in the shared folder; each step of the fit brings back sums of gradients, one a block of documents.
+stay on the executors, in the shared folder; each step of the fit brings back a few vectors of gradient sums.
 Scoring runs in Arrow batches on the executors over all rows and whole texts.
 """
 
@@ -26,8 +26,8 @@ DENSE = 8
 SCALE = 30.0
 #: Words of a block within which distinct ones are counted, so that a text's length doesn't matter.
 STRETCH = 200
-#: Blocks that the sample is dealt to by id; gradients are summed in their order.
-BLOCKS = 24
+#: Blocks that the sample is dealt to by id; gradients that come back in a step, and their parts' unit: a gradient stays below 32.
+BLOCKS, GRADIENTS, UNIT = 24, 6, 1 << 26
 
 
 def spread(h: np.ndarray) -> np.ndarray:
@@ -177,24 +177,30 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
 
 
 def _fit(blocks: DataFrame, good: float, bad: float, size: int, l2: float, rounds: int) -> np.ndarray:
-    """Full-batch Adam: a fixed number of steps, gradients summed in the blocks' order, so that reruns agree."""
+    """Full-batch Adam with a fixed number of steps.
+
+    A document's part of a gradient is rounded to 1 / UNIT, so sums are sums of whole numbers: reruns agree however blocks lie
+    in tasks, and a step brings back no more than GRADIENTS vectors of 32-bit numbers.
+    """
     sc = blocks.sparkSession.sparkContext
+    blocks = blocks.coalesce(GRADIENTS)
     w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
     for k in range(1, rounds + 1):
-        now = sc.broadcast(w)
+        now = sc.broadcast(w.astype(np.float32))
 
         def slopes(batches, now=now):
+            weights, g = now.value.astype(np.float64), np.zeros(size)
             for pdf in batches:
                 for row in pdf.itertuples():
-                    y, lens, idx, val, raw = _margins(row, now.value)
+                    y, lens, idx, val, raw = _margins(row, weights)
                     each = np.where(y > 0, 0.5 / max(1.0, good), 0.5 / max(1.0, bad))
                     p = 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
-                    g = np.bincount(idx, weights=val * np.repeat(each * (p - y), lens), minlength=size)
-                    yield pd.DataFrame({"block": [row.block], "g": [g.tobytes()]})
+                    g += np.bincount(idx, weights=np.rint(UNIT * val * np.repeat(each * (p - y), lens)), minlength=size)
+            yield pd.DataFrame({"g": [g.astype(np.int32).tobytes()]})
 
         g = l2 * w
-        for row in sorted(blocks.mapInPandas(slopes, "block int, g binary").collect(), key=lambda r: r["block"]):
-            g += np.frombuffer(row["g"])
+        for row in blocks.mapInPandas(slopes, "g binary").collect():
+            g += np.frombuffer(row["g"], np.int32) / UNIT
         now.destroy()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w = w - 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-6)

@@ -178,6 +178,28 @@ def test_chat(spark):
     assert len(got) == 3
 
 
+def test_chat_edges(spark):
+    rows = [(None, 0, "user", "hi"), (None, 1, "assistant", "n"), (1, 0, "user", "hi"), (1, 1, "assistant", LONG), (1, 1, "assistant", LONG), (2, 0, "user", "hi"), (2, 1, "assistant", LONG), (2, 1, "assistant", LONG)]
+    c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for clash in ("opening", "turns", "nth", "pair", "side", "a", "b", "n", "t"):
+        c = c.withColumn(clash, F.lit("clash"))
+    got = chat.preference_pairs(c).collect()
+    assert len(got) == 2 and {r["chosen_id"] for r in got} | {r["rejected_id"] for r in got} == {None, 1, 2}
+    whole = [x for r in got for x in (r["prompt"] + r["chosen"], None if r["rejected"] is None else r["prompt"] + r["rejected"]) if x is not None]
+    assert sorted(x.count(LONG) for x in whole) == [0, 2, 2]
+    same = [r for r in got if {r["chosen_id"], r["rejected_id"]} == {1, 2}]
+    assert all(r["n_prompt_turns"] == 3 and r["chosen"] == r["rejected"] == "" for r in same), "turns that all agree are prompt"
+
+
+def test_intermediate_tables_go(spark):
+    one = common.written(spark.range(5), "gone")
+    files = one.inputFiles()
+    common.unwritten(one)
+    import os
+
+    assert files and not any(os.path.exists(f.removeprefix("file://")) for f in files)
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(60) if i % 20 != 19], "a long, b long")
     got = {r["node"]: r["component"] for r in common.components(e).collect()}
