@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..ledger import first_reason, ledger
+from ..session import written
 
 #: Closed vocabularies, in order of rank (fixed values).
 SEVERITY = ("Unknown", "Minor", "Moderate", "Severe", "Extreme")
@@ -106,7 +107,7 @@ def simplified(points: DataFrame, tolerance: float = TOLERANCE, above: int = SIM
     """points(ring, idx, lon, lat) that stay after Douglas and Peucker's rule; rings up to `above` points stay whole.
 
     Each round finds, for all open segments at once, the point farthest from the segment (first on a tie) and splits
-    there if it's beyond the tolerance.  Rounds are bounded by the depth of splitting; every round is cut by a checkpoint.
+    there if it's beyond the tolerance.  Rounds are bounded by the depth of splitting; every round is cut by a written table.
     """
     size = points.groupBy("ring").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("a"), F.max("idx").alias("b"))
     whole = points.join(size.where(F.col("n") <= above).select("ring"), "ring", "left_semi")
@@ -121,9 +122,9 @@ def simplified(points: DataFrame, tolerance: float = TOLERANCE, above: int = SIM
         long2 = dx * dx + dy * dy
         t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("lon") - F.col("ax")) * dx + (F.col("lat") - F.col("ay")) * dy) / long2))
         away = F.when(long2 > 0, F.hypot(F.col("lon") - F.col("ax") - t * dx, F.col("lat") - F.col("ay") - t * dy)).otherwise(F.hypot(F.col("lon") - F.col("ax"), F.col("lat") - F.col("ay")))
-        seg = seg.withColumn("d", away).select("ring", "a", "b", "idx", "lon", "lat", "d").checkpoint()
+        seg = written(seg.withColumn("d", away).select("ring", "a", "b", "idx", "lon", "lat", "d"), "seg")
         far = seg.groupBy("ring", "a", "b").agg(F.min(F.struct((-F.col("d")).alias("m"), "idx")).alias("f")).where(-F.col("f.m") > tolerance)
         cut = seg.join(far.select("ring", "a", "b", F.col("f.idx").alias("c")), ["ring", "a", "b"])
-        done = done.unionByName(cut.where("idx = c").select("ring", "idx", "lon", "lat")).checkpoint()
-        rows = cut.where("idx <> c").select("ring", "idx", "lon", "lat", F.when(F.col("idx") < F.col("c"), F.col("a")).otherwise(F.col("c")).alias("a"), F.when(F.col("idx") < F.col("c"), F.col("c")).otherwise(F.col("b")).alias("b")).checkpoint()
+        done = written(done.unionByName(cut.where("idx = c").select("ring", "idx", "lon", "lat")), "done")
+        rows = written(cut.where("idx <> c").select("ring", "idx", "lon", "lat", F.when(F.col("idx") < F.col("c"), F.col("a")).otherwise(F.col("c")).alias("a"), F.when(F.col("idx") < F.col("c"), F.col("c")).otherwise(F.col("b")).alias("b")), "rows")
     return whole.select("ring", "idx", "lon", "lat").unionByName(done)

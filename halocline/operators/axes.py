@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import written
+
 MAX_BROADCAST = 100_000
 #: Tolerance beyond the first and last node within which a depth still snaps.
 DEPTH_SLACK = 1e-6
@@ -27,7 +29,7 @@ def axis(df: DataFrame, col: str) -> DataFrame:
 
 def axes_of(df: DataFrame, *cols: str) -> dict[str, DataFrame]:
     """axis() of several columns from one pass over the rows; what is kept is one row that holds the axes."""
-    one = df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in cols]).persist()
+    one = written(df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in cols]), "axes")
     return {c: one.select(F.posexplode(c).alias("idx", "node")) for c in cols}
 
 

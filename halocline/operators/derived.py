@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field as default
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import ocean
 from . import columns
+from .fields import snap_depth
 
 KEYS = ("t_idx", "k_idx", "depth", "j", "lat", "i", "lon")
 
@@ -50,6 +51,24 @@ def register_reader(kind: str, read: Callable) -> None:
     READERS[kind] = read
 
 
+def opened(spark: SparkSession, kind: str, spec: dict) -> DataFrame:
+    """What the reader of a kind makes of a source's spec; refused if nobody registered the kind."""
+    if kind not in READERS:
+        raise ValueError(f"no reader is registered for {kind}; there are {sorted(READERS)}")
+    return READERS[kind](spark, spec)
+
+
+def shaped(result: DataFrame, name: str, depth: float | None = None) -> DataFrame:
+    """A product's rows as a stored variable is served: a surface has no depth (null), a column is cut to the level nearest to
+    depth (the shallower on a tie), or whole where none is asked for."""
+    if PRODUCTS[name].output == "surface":
+        return result.withColumn("depth", F.lit(None).cast("double"))
+    if depth is None:
+        return result
+    k, served = snap_depth(result, depth)
+    return result.where(F.col("k_idx") == k).withColumn("depth", F.lit(served))
+
+
 def offered(field: DataFrame, source: str = "") -> list[str]:
     """Products whose inputs exist and whose name no stored variable has."""
     have = set(field.columns)

@@ -9,6 +9,7 @@ from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import written
 from .graph import components
 
 DIMS = ("k_idx", "j", "i")
@@ -164,16 +165,16 @@ def fans(field: DataFrame, var: str, iso: float, by: tuple[str, ...] = ()) -> tu
     Every loop of a cell is a fan about the mean of its ring.  A ring is put together once, with its places, so triangles need
     no joins of their own.
     """
-    active = cells(field, var, iso, by).where("active").select(*by, *DIMS, "mask", "bits").checkpoint()
+    active = written(cells(field, var, iso, by).where("active").select(*by, *DIMS, "mask", "bits"), "active")
     parts = active.join(F.broadcast(case_table(field.sparkSession)), ["mask", "bits"])  # the case table has a fixed size
     edge_v = crossings(field, var, iso, active, by).withColumn("id", vertex_id(*[F.col(d) for d in (*by, *DIMS)], F.col("axis")))
-    edge_v = edge_v.select(*by, "id", "lat", "lon", "depth", F.coalesce("dz", F.lit(0.0)).alias("dz")).checkpoint()
+    edge_v = written(edge_v.select(*by, "id", "lat", "lon", "depth", F.coalesce("dz", F.lit(0.0)).alias("dz")), "edge_v")
     parts = parts.select(*by, *DIMS, "loop", "pos", vertex_id(*[F.col(d) for d in by], *_key("edge")).alias("id"))
     item = F.struct("pos", "id", "lat", "lon", "depth")
     mean = [F.avg(c).alias(c) for c in ("lat", "lon", "depth", "dz")]
     rings = parts.join(edge_v.drop(*by), "id").groupBy(*by, *DIMS, "loop").agg(F.sort_array(F.collect_list(item)).alias("ring"), *mean)
     centre = F.concat_ws(":", F.lit("m"), *[F.col(d).cast("string") for d in (*by, *DIMS)], F.col("loop").cast("string"))
-    rings = rings.withColumn("id", centre).select(*by, "id", "lat", "lon", "depth", "dz", "ring").checkpoint()
+    rings = written(rings.withColumn("id", centre).select(*by, "id", "lat", "lon", "depth", "dz", "ring"), "rings")
     vertices = edge_v.unionByName(rings.drop("ring"))
     tri = rings.select(*by, F.struct("id", "lat", "lon", "depth").alias("pa"), F.col("ring"), F.posexplode("ring").alias("at", "pb"))
     tri = tri.withColumn("pc", F.get("ring", (F.col("at") + 1) % F.size("ring")))

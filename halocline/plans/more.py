@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..functions import ocean
 from ..ledger import ledger
 from ..operators import alerts as al, claims as cl, columns as cc, derived as de, fields as fl
+from ..session import shared_dir
 from ..sources import bulletins as bu, casts as ca, floats as fo, gridded as gr, text_casts as tx
 from ..streaming import readings as st
 from .inputs import ALERTS, GRID, LEVELS, READINGS, alerts, grid, levels, readings, table
@@ -360,11 +362,16 @@ def s3_float_ingest(spark, sf):
     return out.select("pres", F.round("temp", 4).alias("temp"), F.col("temp_qc").cast("int").alias("temp_qc"), F.round("psal", 4).alias("psal"), F.col("psal_qc").cast("int").alias("psal_qc"))
 
 
-@query("SELECT p_partkey AS file, 'temp' AS param, 'degC' AS want, CASE p_partkey % 4 WHEN 0 THEN 'degree_Celsius' WHEN 1 THEN 'DegC' WHEN 2 THEN 'kelvin' ELSE 'K' END AS have FROM part WHERE p_partkey % 4 >= 2")
+@query("""SELECT p_partkey AS file, 'temp' AS param, 'degC' AS want, CASE p_partkey % 4 WHEN 0 THEN 'degree_Celsius' WHEN 2 THEN 'kelvin' ELSE 'K' END AS have FROM part WHERE p_partkey % 4 <> 1
+UNION ALL SELECT p_partkey, 'psal', '1', 'g/kg' FROM part WHERE p_partkey % 4 = 3""")
 def s5_unit_mismatch(spark, sf):
-    k = F.col("p_partkey") % 4
-    found = table(spark, sf, "part").select(F.col("p_partkey").alias("file"), F.lit("temp").alias("param"), F.when(k == 0, "degree_Celsius").when(k == 1, "DegC").when(k == 2, "kelvin").otherwise("K").alias("unit"))
-    return fo.unit_mismatches(spark.createDataFrame([("temp", "degC")], "param string, unit string"), found)
+    """Of the temperatures only another case of the letters agrees; of the salinities all spellings of no unit do."""
+    at = (F.col("p_partkey") % 4 + 1).cast("int")
+    pick = lambda *v: F.element_at(F.array(*[F.lit(x) for x in v]), at)
+    p = table(spark, sf, "part")
+    found = p.select(F.col("p_partkey").alias("file"), F.lit("temp").alias("param"), pick("degree_Celsius", "DegC", "kelvin", "K").alias("unit"))
+    found = found.unionByName(p.select(F.col("p_partkey").alias("file"), F.lit("psal").alias("param"), pick("psu", "Practical Salinity_Units", "", "g/kg").alias("unit")))
+    return fo.unit_mismatches(spark.createDataFrame([("temp", "degC"), ("psal", "1")], "param string, unit string"), found)
 
 
 @query("SELECT s_suppkey AS wmo, CASE s_nationkey % 3 WHEN 0 THEN 'alpha' ELSE 'beta' END AS directory FROM supplier WHERE s_suppkey % 2 = 0 AND s_nationkey % 3 < 2")
@@ -505,10 +512,7 @@ def t21_text_record(spark, sf):
 
 def scratch(spark, name: str) -> str:
     """A fresh folder below the shared checkpoint folder."""
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query(f"WITH {GRID} SELECT t_idx, k_idx, count(*) AS n_cells, count(temp) AS n_valid FROM grid GROUP BY 1, 2")

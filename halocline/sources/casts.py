@@ -13,9 +13,10 @@ MOORING_FILL = 1.0e35
 
 
 def descending(rows: DataFrame) -> DataFrame:
-    """Of each file the descending leg if any row is of one; else all rows."""
-    has = F.max((F.col("direction") == "D").cast("int")).over(W.partitionBy("file"))
-    return rows.withColumn("__has", has).where((F.col("__has") == 0) | (F.col("direction") == "D")).drop("__has")
+    """Of each file the descending leg if any row is of one; else all rows.  Files with such a leg are found by aggregation."""
+    has = rows.where("direction = 'D'").select(F.col("file").alias("__file")).distinct().withColumn("__has", F.lit(True))
+    both = rows.join(has, F.col("file").eqNullSafe(F.col("__file")), "left")
+    return both.where(F.col("__has").isNull() | (F.col("direction") == "D")).drop("__has", "__file")
 
 
 def cast_levels(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -38,6 +39,14 @@ def cast_levels(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return levels.drop("__back", "__nth"), counters
 
 
+def class_mismatches(files: DataFrame, declared: DataFrame) -> DataFrame:
+    """Files(file, source_id, detected) whose own instrument class isn't the one declared(source_id, instrument_class) for their
+    source, with both; a class that either side leaves open disagrees with none.  A source has one declared row."""
+    both = files.join(declared, "source_id")
+    named = lambda c: F.col(c).isNotNull() & (F.col(c) != "")
+    return both.where(named("detected") & named("instrument_class") & (F.col("detected") != F.col("instrument_class"))).select("file", "source_id", F.col("instrument_class").alias("declared"), "detected")
+
+
 def profile_rows(levels: DataFrame, accept: tuple[int, ...] = ACCEPT) -> DataFrame:
     """Rows with a depth and an accepted temperature; salinity is masked by its own flag."""
     good = levels.where(F.col("depth").isNotNull() & F.col("temp").isNotNull() & F.col("temp_qc").isin(*accept))

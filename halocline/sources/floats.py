@@ -8,8 +8,8 @@ from ..functions.ocean import depth_of, profile_name, qc_code
 
 ACCEPT = (1, 2)
 MISSING = 9
-#: Spellings that mean the same unit (fixed values).
-SAME_UNITS = ({"psu", "pss78", "1e3", "1e-3", "1", "psal", ""}, {"degreecelsius", "degc", "celsius", "degreesc", "c"}, {"decibar", "dbar", "decibars"})
+#: Spellings that mean the same: of practical salinity, and of no dimension (fixed values, lower case without blanks, dashes and underscores).
+SAME_UNITS = ({"psu", "1", "pss78", "practicalsalinityunits"}, {"dimensionless", "1", ""})
 
 
 def adjusted(files: DataFrame, params: list[str]) -> DataFrame:
@@ -65,8 +65,7 @@ def unit_mismatches(declared: DataFrame, found: DataFrame) -> DataFrame:
     a, b = squashed(F.col("want")), squashed(F.col("have"))
     same = a == b
     for group in SAME_UNITS:
-        words = [x.replace("-", "") for x in sorted(group)]
-        same = same | (a.isin(*words) & b.isin(*words))
+        same = same | (a.isin(*sorted(group)) & b.isin(*sorted(group)))
     both = found.withColumnRenamed("unit", "have").join(F.broadcast(declared.withColumnRenamed("unit", "want")), "param")
     return both.where(~same).select("file", "param", "want", "have")
 

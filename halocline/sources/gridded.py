@@ -7,13 +7,19 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from ..functions.ocean import unmasked, unpacked
 
 #: Spellings of the canonical unit, and conversions (from, to) -> (factor, offset); fixed values.
-RELABEL = {"degs": "degC", "celsius": "degC", "degrees_c": "degC", "meters": "m", "metres": "m", "psu": "1"}
-CONVERT = {("K", "degC"): (1.0, -273.15), ("cm s-1", "m s-1"): (0.01, 0.0), ("km", "m"): (1000.0, 0.0)}
+RELABEL = {
+    "degs": "degC", "deg_c": "degC", "degree_celsius": "degC", "degrees_celsius": "degC", "celsius": "degC",
+    "psu": "1", "pss-78": "1", "meters": "m", "metres": "m", "decibar": "dbar",
+}
+CONVERT = {
+    ("cm s-1", "m s-1"): (0.01, 0.0), ("cm/s", "m s-1"): (0.01, 0.0), ("cm/sec", "m s-1"): (0.01, 0.0), ("m s-1", "cm s-1"): (100.0, 0.0),
+    ("degK", "degC"): (1.0, -273.15), ("K", "degC"): (1.0, -273.15), ("degC", "degK"): (1.0, 273.15), ("mg m-3", "kg m-3"): (1e-6, 0.0),
+}
 
 
 def in_unit(df: DataFrame, var: str, have: str, want: str) -> DataFrame:
     """The variable in the wanted unit: spelling is relabelled, a known pair converted, any other refused."""
-    have = RELABEL.get(have.lower(), have)
+    have = RELABEL.get(have.strip().lower(), have.strip())
     if have == want:
         return df
     if (have, want) not in CONVERT:
