@@ -154,13 +154,13 @@ def j6_nearest_column(spark, sf):
     return model_columns(spark, sf, levels(spark, sf)).withColumn("modelled", F.round("modelled", 4))
 
 
-@query(COLUMN_SQL + "SELECT m.profile_id, m.k_idx, round(modelled, 4) AS modelled, round(observed, 4) AS observed FROM m JOIN y USING (profile_id, k_idx)")
+@query(COLUMN_SQL + "SELECT m.profile_id, m.k_idx, round(modelled, 4) AS modelled, round(observed, 7) AS observed FROM m JOIN y USING (profile_id, k_idx)")
 def j7_observed_on_levels(spark, sf):
     lv = levels(spark, sf)
     m = model_columns(spark, sf, lv)
     nodes = axes.axis(grid(spark, sf, "t_idx = 0"), "depth").select(F.col("idx").alias("k_idx"), "node")
     o = pf.on_levels(lv, nodes)
-    return m.join(o, ["profile_id", "k_idx"]).select("profile_id", "k_idx", F.round("modelled", 4).alias("modelled"), F.round("observed", 4).alias("observed"))
+    return m.join(o, ["profile_id", "k_idx"]).select("profile_id", "k_idx", F.round("modelled", 4).alias("modelled"), F.round("observed", 7).alias("observed"))
 
 
 @query(COLUMN_SQL + f""", {BANDS_SQL} SELECT profile_id, k_idx, round(observed - modelled, 4) AS residual, band FROM (

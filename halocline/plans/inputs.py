@@ -45,7 +45,7 @@ def grid(spark: SparkSession, sf_dir: str, times: str | None = None) -> DataFram
     cells = t.repartition(spark.sparkContext.defaultParallelism, "t_idx").withColumn("j", upto(0, LAT_NODES - 1)).withColumn("i", upto(0, LON_NODES - 1)).withColumn("k", upto(1, LEVEL_NODES))
     cells = cells.join(binned(spark, sf_dir).withColumnRenamed("month", "time"), ["time", "k", "j", "i"], "left")
     lat, lon, depth = F.col("j").cast("double"), F.col("i").cast("double"), F.col("k") * F.lit(40.0)
-    moved = F.when(F.col("n") > 0, (F.col("d").cast("double") / F.col("n") - 5) / F.lit(50.0)).otherwise(F.lit(0.0))
+    moved = F.when(F.col("n") > 0, (F.col("d").cast("double") / F.col("n") - 5) / F.lit(53.0)).otherwise(F.lit(0.0))
     land = (5 * F.col("j") + 3 * F.col("i")) % 17 == 0
     hole = (7 * F.col("j") + 11 * F.col("i") + 3 * F.col("k")) % 29 == 0
     sea = lambda v: F.when(~land & ~hole, v)
@@ -64,7 +64,7 @@ steps AS (SELECT time, CAST(row_number() OVER (ORDER BY time) - 1 AS INTEGER) AS
           FROM (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS time FROM orders)),
 binned AS (SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS time, CAST(l_quantity AS INTEGER) AS k, CAST(l_suppkey % {LAT_NODES} AS INTEGER) AS j, CAST(l_partkey % {LON_NODES} AS INTEGER) AS i,
                   sum(CAST(round(100.0::DOUBLE*l_discount) AS INTEGER)) AS d, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
-cells AS (SELECT t_idx, time, k, j, i, (5*j + 3*i) % 17 = 0 AS land, (7*j + 11*i + 3*k) % 29 = 0 AS hole, CASE WHEN n > 0 THEN (CAST(d AS DOUBLE) / n - 5) / 50.0::DOUBLE ELSE 0.0::DOUBLE END AS moved
+cells AS (SELECT t_idx, time, k, j, i, (5*j + 3*i) % 17 = 0 AS land, (7*j + 11*i + 3*k) % 29 = 0 AS hole, CASE WHEN n > 0 THEN (CAST(d AS DOUBLE) / n - 5) / 53.0::DOUBLE ELSE 0.0::DOUBLE END AS moved
           FROM (SELECT t_idx, time, CAST(k AS INTEGER) AS k, CAST(j AS INTEGER) AS j, CAST(i AS INTEGER) AS i FROM steps, range(1, {LEVEL_NODES + 1}) a(k), range({LAT_NODES}) b(j), range({LON_NODES}) c(i)) LEFT JOIN binned USING (time, k, j, i)),
 grid AS (SELECT t_idx, time, k - 1 AS k_idx, k * 40.0::DOUBLE AS depth, j, CAST(j AS DOUBLE) AS lat, i, CAST(i AS DOUBLE) AS lon,
                 CASE WHEN NOT land AND NOT hole THEN 30.0::DOUBLE + 0.05::DOUBLE*j - 0.1::DOUBLE*i - 0.013::DOUBLE*(k*40.0::DOUBLE) + moved END AS temp,
