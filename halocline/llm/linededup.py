@@ -91,9 +91,13 @@ def matches(rows: DataFrame, found: DataFrame) -> DataFrame:
     there = rows.select(F.col("doc_id").alias("a_doc"), F.col("th").alias("a_th"), F.col("nth").alias("a_nth"), F.col("key").alias("a_key"))
     at = F.floor(F.col("nth") / STRETCH)
     new = written(found.select(*DIAGONAL, F.explode(F.array(at - 1, at, at + 1)).alias("part")).where("part >= 0").distinct(), "stretches")
+    longest = written(rows.groupBy("doc_id", "th").agg(F.max("part").alias("last")), "longest")
     seen, same, done, step = None, None, None, 1
     while True:
-        both = rows.join(new, ["doc_id", "th", "part"]).withColumn("a_nth", F.col("nth") - F.col("shift")).join(there, ["a_doc", "a_th", "a_nth"]).where("key = a_key")
+        own = rows.join(new, ["doc_id", "th", "part"]).withColumn("a_nth", F.col("nth") - F.col("shift"))
+        if step > 1:  # few lines by now: as a table of known size they are sent to the others', which stay where they are
+            own = written(own, "lines")
+        both = own.join(there, ["a_doc", "a_th", "a_nth"]).where("key = a_key")
         more = written(both.select(*DIAGONAL, "nth"), "matches")
         same = more if same is None else same.unionByName(more)
         seen = new if seen is None else seen.unionByName(new)
@@ -105,7 +109,6 @@ def matches(rows: DataFrame, found: DataFrame) -> DataFrame:
         ends = kept.select(*DIAGONAL, F.explode(F.array(F.struct(low.alias("part"), F.lit(-1).alias("way")), F.struct(high.alias("part"), F.lit(1).alias("way")))).alias("e"))
         ends = ends.select(*DIAGONAL, "e.part", "e.way").join(seen, [*DIAGONAL, "part"], "left_anti")
         ahead = F.explode(F.sequence(F.col("part"), F.col("part") + F.col("way") * (step - 1), F.col("way").cast("long")))
-        longest = rows.groupBy("doc_id", "th").agg(F.max("part").alias("last"))
         new = ends.select(*DIAGONAL, ahead.alias("part")).distinct().join(longest, ["doc_id", "th"]).where("part between 0 and last").drop("last")
         new = written(new.join(seen, [*DIAGONAL, "part"], "left_anti"), "stretches")
         open_ = new.select(*DIAGONAL).distinct()
