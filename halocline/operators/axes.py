@@ -1,8 +1,8 @@
 """Coordinate axes as small tables: steps, nearest node, bracketing nodes.
 
 An axis table has (idx, node), one row per distinct coordinate: a few hundred rows whatever the number of cells, since
-a grid's size is the product of its axes.  Range joins against an axis broadcast it below MAX_BROADCAST nodes; a
-larger axis is left to Spark's own choice of join.
+a grid's size is the product of its axes.  Joins with the spans of an axis go by even cells and broadcast them below
+MAX_BROADCAST nodes; a larger axis is left to Spark's own choice of join.
 """
 
 from __future__ import annotations
@@ -55,11 +55,29 @@ def cells(ax: DataFrame) -> DataFrame:
     return rows.select("idx", "node", "at", ((F.lag("at").over(order) + F.col("at")) / 2).alias("lo"), ((F.lead("at").over(order) + F.col("at")) / 2).alias("hi"))
 
 
+def met(df: DataFrame, value: Column, spans: DataFrame, low: Column, high: Column, inside: Column) -> DataFrame:
+    """df left-joined with the spans for which `inside` holds; a null low or high reaches to the end of the axis.
+
+    The axis is cut into even cells, four a span; a span is listed under the cells it reaches, so a value looks at the few
+    spans of its cell by an equi-join, not at all of them.
+    """
+    ends = spans.agg(F.min(F.coalesce(low, high)).alias("a"), F.max(F.coalesce(high, low)).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    if ends["a"] is None or not ends["b"] > ends["a"]:
+        return df.join(small(spans), inside, "left")
+    m = 4 * ends["n"]
+    cell = lambda v: F.least(F.greatest(F.floor((v - ends["a"]) / ((ends["b"] - ends["a"]) / m)), F.lit(-1)), F.lit(m)).cast("long")
+    reach = F.sequence(F.coalesce(cell(low), F.lit(-1).cast("long")), F.coalesce(cell(high), F.lit(m).cast("long")))
+    listed = spans.withColumn("__at", F.explode(reach))
+    listed = F.broadcast(listed) if ends["n"] <= MAX_BROADCAST else listed
+    return df.withColumn("__cell", cell(value)).join(listed, (F.col("__cell") == F.col("__at")) & inside, "left").drop("__cell", "__at")
+
+
 def nearest(df: DataFrame, value: Column, ax: DataFrame, prefix: str) -> DataFrame:
     """df with {prefix}idx, {prefix}node and {prefix}gap (distance) of the node nearest to value; first node on a tie."""
     c = cells(ax).select(*[F.col(x).alias(f"{prefix}{x}") for x in ("idx", "node", "at", "lo", "hi")])
-    inside = (F.col(f"{prefix}lo").isNull() | (value > F.col(f"{prefix}lo"))) & (F.col(f"{prefix}hi").isNull() | (value <= F.col(f"{prefix}hi")))
-    joined = df.join(small(c), inside & value.isNotNull(), "left")
+    lo, hi = F.col(f"{prefix}lo"), F.col(f"{prefix}hi")
+    inside = (lo.isNull() | (value > lo)) & (hi.isNull() | (value <= hi)) & value.isNotNull()
+    joined = met(df, value, c, lo, hi, inside)
     return joined.withColumn(f"{prefix}gap", F.abs(value - F.col(f"{prefix}at"))).drop(f"{prefix}at", f"{prefix}lo", f"{prefix}hi")
 
 
@@ -76,10 +94,10 @@ def bracketed(df: DataFrame, value: Column, ax: DataFrame, prefix: str) -> DataF
     A value on node m > 0 gives (m - 1, m, 1); on the first node (0, 0, 0).
     """
     b = brackets(ax).select(*[F.col(a).alias(prefix + z) for a, z in (("k0", "0"), ("k1", "1"), ("x0", "x0"), ("x1", "x1"))])
-    first = F.col(f"{prefix}x0").isNull() & (value == F.col(f"{prefix}x1"))
-    inside = first | (value > F.col(f"{prefix}x0")) & (value <= F.col(f"{prefix}x1"))
-    share = F.when(F.col(f"{prefix}x0").isNull(), F.lit(0.0)).otherwise((value - F.col(f"{prefix}x0")) / (F.col(f"{prefix}x1") - F.col(f"{prefix}x0")))
-    joined = df.join(small(b), inside, "left")
+    x0, x1 = F.col(f"{prefix}x0"), F.col(f"{prefix}x1")
+    inside = x0.isNull() & (value == x1) | (value > x0) & (value <= x1)
+    share = F.when(x0.isNull(), F.lit(0.0)).otherwise((value - x0) / (x1 - x0))
+    joined = met(df, value, b, F.coalesce(x0, x1), x1, inside)
     return joined.withColumn(f"{prefix}f", F.when(F.col(f"{prefix}1").isNotNull(), share)).drop(f"{prefix}x0", f"{prefix}x1")
 
 
