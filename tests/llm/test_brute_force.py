@@ -158,7 +158,7 @@ def test_line_dedup(spark, docs):
 
 @pytest.mark.parametrize("period", [1, 7])
 def test_repeating_lines_cost_in_proportion(spark, period, monkeypatch):
-    texts = ["\n".join(f"line {i % period} of a list" for i in range(n)) for n in (700, 1400)]
+    texts = ["\n".join(f"line {i % period} of a list" for i in range(n)) for n in (300, 600)]
     made = []
     real = linededup.written
     monkeypatch.setattr(linededup, "written", lambda df, label: (made.append((label, out := real(df, label))), out)[1])
