@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -38,12 +39,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def unwritten(*tables: DataFrame) -> None:
-    """Delete tables that written() made and nothing needs any more."""
+    """Delete the tables made by written() that these read; to be called when nothing needs them any more."""
     for df in tables:
         spark = df.sparkSession
         root = shared_dir(spark).split(":", 1)[-1].rstrip("/")
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if root in folder:
+            if root in folder and re.search("-[0-9a-f]{32}$", folder):
                 where = spark._jvm.org.apache.hadoop.fs.Path(folder)
                 where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -53,8 +54,8 @@ def sub_key(id_col: Column, digits: int = 3) -> Column:
     return F.coalesce(F.substring(F.md5(id_col.cast("string").cast("binary")), 1, digits), F.lit("nul"))
 
 
-def ranked(df: DataFrame, group: list[str], coarse: list[str], id_col: str, out: str, digits: int = 3) -> DataFrame:
-    """Add `out`: the row's place (from 0) among the rows of its group, ordered by coarse, cell of the id, id.
+def ranked(df: DataFrame, group: list[str], coarse: list[str], id_col: str, out: str, digits: int = 3, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Add `out`: the row's place (from 0) among the rows of its group, ordered by coarse, cell of the id, id, ties.
 
     A group may hold any share of the rows.  Only cell counts are windowed over a whole group; rows are
     numbered within (group, coarse, cell), which md5 keeps small.
@@ -69,7 +70,7 @@ def ranked(df: DataFrame, group: list[str], coarse: list[str], id_col: str, out:
         outer = W.partitionBy(*group).orderBy(*[F.col(c).asc_nulls_first() for c in coarse]).rowsBetween(W.unboundedPreceding, -1)
         level = counts.groupBy(*keys).agg(F.sum("__n").alias("__m")).withColumn("__base", F.coalesce(F.sum("__m").over(outer), F.lit(0)))
         start = same(start, level.drop("__m"), keys).withColumn("__start", F.col("__start") + F.col("__base")).drop("__base")
-    place = F.row_number().over(W.partitionBy(*keys, cell).orderBy(F.col(id_col).asc_nulls_first()))
+    place = F.row_number().over(W.partitionBy(*keys, cell).orderBy(F.col(id_col).asc_nulls_first(), *ties))
     rows = df.withColumn("__row", place - 1)
     joined = same(rows, start.drop("__n"), [*keys, cell])
     return joined.withColumn(out, (F.col("__start") + F.col("__row")).cast("long")).drop("__start", "__row", cell)

@@ -31,7 +31,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import components, written
+from .common import components, unwritten, written
 from .textmodel import spread, word_hashes
 
 BANDS, ROWS = 24, 4
@@ -237,11 +237,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     docs = docs.select("doc_id", "text")
     feats = docs.mapInPandas(_features(words), "doc_id long, n long, same binary, keys array<long>, sketch binary, bits binary")
     feats = written(feats.withColumn("row", F.monotonically_increasing_id()), "features")
+    rows = written(feats.select("row", "doc_id", "n", "same"), "rows")
     # a set's number is that of the first row which has it and its least id
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    sets = written(feats.where("n > 0").groupBy("same").agg(F.min(first).alias("f")).select("same", F.col("f.doc_id").alias("rep"), F.col("f.row").alias("node")), "sets")
+    sets = written(rows.where("n > 0").groupBy("same").agg(F.min(first).alias("f")).select("same", F.col("f.doc_id").alias("rep"), F.col("f.row").alias("node")), "sets")
     shown = feats.select("row", "n", "keys", "sketch", "bits").join(sets.select("node"), F.col("row") == F.col("node"))
     shown = written(shown.select("node", "n", "keys", "sketch", "bits"), "shown")
+    unwritten(feats)
     floor = floor_of(percent)
 
     each = shown.select("node", F.explode("keys").alias("key"))
@@ -255,21 +257,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         both = pairs.join(b, "b").join(a, "a").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         return both.select("a", "b", "sa", "sb", "ba", "bb", "na", "nb").mapInPandas(_alike(floor, percent), "a long, b long")
 
-    first_pairs = written(thinned(members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()), "pairs")
-    links = verified(docs, sets, first_pairs, words, percent)
+    pairs = written(thinned(members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()), "pairs")
+    links = verified(docs, sets, pairs, words, percent)
+    unwritten(pairs)
     joined = components(links)
     for one_each in (True, False):
         labelled = members.select("key", "node").join(joined, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
         split = labelled.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("size")).where("c0 < c1")
-        rows = labelled.join(split.select("key", "size"), "key").join(sketches, "node")
-        more = written(searched(rows, floor, percent, one_each).distinct(), "pairs")
-        found = verified(docs, sets, more, words, percent)
-        links = written(links.unionByName(found), "links")
+        held = labelled.join(split.select("key", "size"), "key").join(sketches, "node")
+        pairs = written(searched(held, floor, percent, one_each).distinct(), "pairs")
+        found = verified(docs, sets, pairs, words, percent)
+        both = links.unionByName(found)
+        links = written(both, "links")
+        unwritten(pairs, both, joined)
         joined = components(links)
-    joined = sets.join(written(joined, "joined"), "node", "left").select("same", "rep", F.coalesce("component", "node").alias("comp"))
-    least = joined.groupBy("comp").agg(F.min("rep").alias("least"))
-    group = written(joined.join(least, "comp").select("same", "least"), "groups")
-    out = feats.select("doc_id", "n", "same").join(group, "same", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")))
+    linked = sets.join(joined, "node", "left").select("same", "rep", F.coalesce("component", "node").alias("comp"))
+    linked = written(linked, "linked")
+    unwritten(joined, links, members, shown, sets)
+    least = linked.groupBy("comp").agg(F.min("rep").alias("least"))
+    group = written(linked.join(least, "comp").select("same", "least"), "groups")
+    unwritten(linked)
+    out = rows.join(group, "same", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
@@ -316,4 +324,5 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, pe
     shared = F.size(F.array_intersect("ia", "ib"))
     out = written(both.withColumn("s", shared).where(100 * F.col("s") >= percent * (F.size("ia") + F.size("ib") - F.col("s"))).select("a", "b"), "links")
     table.destroy()
+    unwritten(needed, wanted)
     return out

@@ -5,7 +5,8 @@ prefix sum of these, plus one random offset of the source, passes an integer bou
 in order of size, so that the words taken come as near the target as the largest documents allow.
 
 Defined results: null text has size 0; a null source is a source, the last; sources without words get target 0 and
-no copies; an empty table gives no rows; repeated rows are sampled as separate documents.
+no copies; an empty table gives no rows; repeated rows are sampled as separate documents.  mixed() puts rows of the same id,
+source and text out as one of them, as often as they are taken together; rows that share an id only are told apart by text.
 """
 
 from __future__ import annotations
@@ -40,12 +41,12 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
 
 
 def mix(rows: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """rows(doc_id, source, size, ...) with source_size, target and copies.
+    """rows(doc_id, source, size, ...) with source_size, target and copies; th, if there, orders rows that share an id.
 
     The offset of a source is the md5 of seed and source, so reruns agree.
     """
     sources = targets(rows.select("source", "size"), weights, cap)
-    placed = ranked(rows, ["source"], ["size"], "doc_id", "__rank")
+    placed = ranked(rows, ["source"], ["size"], "doc_id", "__rank", ties=tuple(c for c in ("th",) if c in rows.columns))
     joined = same(placed, sources, ["source"])
     text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null")))
     offset = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
@@ -66,7 +67,17 @@ def mixture(docs: DataFrame, seed: int = 17) -> DataFrame:
 
 
 def mixed(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it."""
-    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), "doc_id", "source", n_words(F.col("text")).alias("size"))
-    out = mix(kept, seed).where("copies > 0")
+    """The documents themselves, each as often as the mix takes it.
+
+    Ranks are made of narrow rows; the texts meet only the table of copies, once.
+    """
+    keys = ["doc_id", "source", "th"]
+    slim = written(docs.select("doc_id", "source", F.xxhash64("text").alias("th"), n_words(F.col("text")).alias("size")), "sizes")
+    taken = mix(slim, seed).groupBy(*keys).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    taken = written(taken.where("copies > 0"), "taken")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), "doc_id", "source", F.xxhash64("text").alias("th"))
+    out = same(whole, taken.where("rows = 1"), keys)
+    repeated = taken.where("rows > 1")
+    if not repeated.isEmpty():
+        out = out.unionByName(same(whole, repeated, keys).dropDuplicates(keys))
     return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__doc.*")

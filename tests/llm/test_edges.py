@@ -109,6 +109,27 @@ def test_mixing(docs):
     assert mixing.mixed(docs).columns == docs.columns
 
 
+def test_mixed_takes_what_the_mixture_says(spark):
+    text = lambda n, k: " ".join(f"w{k}x{i}" for i in range(n))
+    rows = [(k % 20, text(5 + k % 7, k % 11), "abc"[k % 3] if k % 10 else None) for k in range(90)] + [(3, text(6, 1), "a")] * 9 + [(None, text(4, 2), "b"), (None, None, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("copies", F.lit("clash"))
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns and sorted(map(str, out.collect())) == sorted(map(str, mixing.mixed(docs).collect()))
+    assert {tuple(r) for r in out.select("doc_id", "text", "source").collect()} <= set(rows)
+    total = out.agg(F.sum(mixing.n_words(F.col("text")))).first()[0]
+    assert total == mixing.mixture(docs).agg(F.sum("taken")).first()[0] > 0
+
+
+def test_intermediates_of_near_duplicates_go(spark):
+    import os
+
+    root = common.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(root))
+    out = minhash.near_duplicates(spark.createDataFrame([(k, " ".join(f"w{k // 2}x{i}" for i in range(60 + k % 2))) for k in range(40)], "doc_id long, text string"))
+    assert out.where("kept").count() == 20
+    assert sorted(f.rsplit("-", 1)[0] for f in set(os.listdir(root)) - before) == ["groups", "rows"]
+
+
 def test_line_dedup(docs):
     got = by_id(linededup.deduplicated(docs), "n_lines", "n_removed", "text")
     assert got[1] == [(0, 0, None)] and got[2] == [(1, 0, "")]
