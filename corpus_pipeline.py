@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from halocline.llm import classifier, decontam, minhash, mixing, shards
-from halocline.llm.common import table, written
+from halocline.llm.common import table, unwritten, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,9 +59,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn; what a stage reads in the shared folder goes once its own result is written."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, name)
-    return docs
+        result = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return result
+        docs = written(result, name)
+        unwritten(result)
