@@ -72,6 +72,17 @@ SELECT doc_id, size, source_size, target, CAST(floor((r + 1) * e + u) - floor(r
 """
 
 
+SEARCH = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({WORDS}, []) AS w FROM documents),
+s AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(w)) AS BIGINT) AS words FROM d WHERE len(w) > 0),
+q AS (SELECT item_id, term, count(*) AS c FROM (SELECT item_id, unnest({WORDS}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL)) GROUP BY ALL),
+p AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY 1), s),
+x AS (SELECT item_id, r, doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // words)))) AS BIGINT) AS score FROM p JOIN w USING (term) JOIN q USING (term), s GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM x WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
 def _url_filter() -> str:
     order = sorted(RULES, key=lambda r: (-len(r[1]), r[1]), reverse=False)
     fits = [(what, rule, *rule.partition("/")[::2]) for what, rule in order]
@@ -109,4 +120,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_near_duplicates": NEAR_DUPLICATES,
     "op6_mixture": MIXTURE,
     "op9_url_filter": _url_filter(),
+    "op11_ranked_search": SEARCH,
 }

@@ -236,7 +236,9 @@ def _scan(batches):
 
 def periodic_runs(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, runs (start, length, period; by start, then period), collapsed (text without the repeats of its runs)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_scan, f"doc_id long, n_words long, runs array<{RUN}>, collapsed string")
+    # as text, since a column of whole numbers with nulls would turn to doubles on its way
+    found = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(_scan, f"doc_id string, n_words long, runs array<{RUN}>, collapsed string")
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def echoed(docs: DataFrame) -> DataFrame:

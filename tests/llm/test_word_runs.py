@@ -107,13 +107,13 @@ def test_agreement_equals_comparison():
 
 
 def test_edges(spark):
-    rows = [(1, None, "x"), (2, "", "x"), (3, " \t\n", "x"), (None, "a a a a a a", "x"), (4, "a a a a a", "x"), (4, "a a a a a", "x"), (5, "a a a a\x0ba\x0ca\x1ca", "x"), (6, "b " + "q w e " * 4 + "q", "x")]
+    rows = [(1, None, "x"), (2, "", "x"), (3, " \t\n", "x"), (None, "a a a a a a", "x"), (4, "a a a a a", "x"), (4, "a a a a a", "x"), (5, "a a a a\x0ba\x0ca\x1ca", "x"), (2**60 + 1, "b " + "q w e " * 4 + "q", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, runs string")
     out = wordruns.periodic_runs(docs).collect()
     by = sorted((r["doc_id"] or 0, r["n_words"], [tuple(x) for x in r["runs"]], r["collapsed"]) for r in out)
     assert by == sorted([
         (1, 0, [], ""), (2, 0, [], ""), (3, 0, [], ""), (0, 6, [(0, 6, 1)], "a"), (4, 5, [], "a a a a a"), (4, 5, [], "a a a a a"),
-        (5, 4, [], "a a a a a a\x1ca"), (6, 14, [(1, 13, 3)], "b q w e"),
+        (5, 4, [], "a a a a a a\x1ca"), (2**60 + 1, 14, [(1, 13, 3)], "b q w e"),
     ])
     assert wordruns.digests(wordruns.periodic_runs(wordruns.echoed(docs.where("false")))).count() == 0
     nulls = wordruns.digests(wordruns.periodic_runs(docs.where("text is null"))).first()
