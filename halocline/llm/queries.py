@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, classifier, decontam, lexical, linededup, minhash, mixing, rules, secrets, shards, sql, urls, wordruns
+from . import chat, classifier, decontam, lexical, linededup, maintext, minhash, mixing, rules, secrets, shards, sql, urls, wordruns
 from .common import table
 
 
@@ -53,6 +53,10 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.extracted(table(spark, sf_dir, "pages"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every tenth text ends in repeats (echoed), so that runs are there to find."""
     return wordruns.digests(wordruns.periodic_runs(wordruns.echoed(table(spark, sf_dir, "documents"))))
@@ -66,7 +70,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_preference_format, op2_quality_rules, op3_decontaminate, op4_near_duplicates, op5_shards, op6_mixture, op7_quality_classifier, op8_line_dedup,
-    op9_url_filter, op10_secret_scan, op11_ranked_search, op13_periodic_runs, pipeline,
+    op9_url_filter, op10_secret_scan, op11_ranked_search, op12_main_text, op13_periodic_runs, pipeline,
 )}
 
 ORACLE_SQL = sql.ORACLE_SQL
