@@ -202,8 +202,10 @@ def train(pages: DataFrame, sample: int = SAMPLE) -> Model:
     """The model of the layouts and of at most `sample` pages that may declare their main text."""
     counts = seeded()
     told = pages.where("html is not null").select("html", F.md5(F.concat_ws(" ", F.col("url"), F.col("page_id").cast("string")).cast("binary")).alias("key"))
-    told = told.where("html rlike '(?i)<(article|main)[ >]|role=.?(main|article)|itemprop=.?articlebody'").orderBy("key", F.md5(F.col("html").cast("binary"))).limit(sample)
-    rows = told.select("html").repartition(8).mapInPandas(_declared, "feature int, value int, state int, n double")
+    told = told.where("html rlike '(?i)<(article|main)[ >]|role=.?(main|article)|itemprop=.?articlebody'")
+    least = told.select("key").distinct().orderBy("key").limit(sample)  # keys first, so that no task gathers pages
+    own = told.join(F.broadcast(least), "key").groupBy("key").agg(F.min("html").alias("html"))
+    rows = own.select("html").repartition(8).mapInPandas(_declared, "feature int, value int, state int, n double")
     found = rows.groupBy("feature", "value", "state").agg(F.sum("n").alias("n")).collect()  # as many as the tables have cells, at most
     return Model(mixed(counts, [tuple(r) for r in found]))
 
