@@ -42,17 +42,20 @@ def referenced(alerts: DataFrame, kind: str) -> DataFrame:
     return alerts.where(F.col("msg_type") == kind).select(F.explode("references").alias("identifier")).distinct()
 
 
-def resolved(alerts: DataFrame, at: datetime, exercises: bool = False) -> DataFrame:
-    """alerts with reason: null where in force at the instant.  Cancels count first, then updates, in any order of arrival."""
+def reason_at(at: datetime, exercises: bool = False) -> Column:
+    """Why a message isn't in force at an instant, null if it is; c and u tell that a Cancel or an Update names it.  Cancels count first."""
     now = F.lit(at)
-    marks = referenced(alerts, "Cancel").withColumn("c", F.lit(True)).join(referenced(alerts, "Update").withColumn("u", F.lit(True)), "identifier", "full")
-    rows = alerts.join(marks, "identifier", "left")
     status = ["Actual", "Exercise"] if exercises else ["Actual"]
-    reason = first_reason(
+    return first_reason(
         ("cancelled", F.col("c")), ("superseded", F.col("u")), ("not_a_warning", ~F.col("msg_type").isin("Alert", "Update")), ("not_actual", ~F.col("status").isin(*status)),
         ("not_yet_effective", F.col("effective") > now), ("expired", F.col("expires") <= now),
     )
-    return rows.withColumn("reason", reason).drop("c", "u")
+
+
+def resolved(alerts: DataFrame, at: datetime, exercises: bool = False) -> DataFrame:
+    """alerts with reason: null where in force at the instant.  Cancels count first, then updates, in any order of arrival."""
+    marks = referenced(alerts, "Cancel").withColumn("c", F.lit(True)).join(referenced(alerts, "Update").withColumn("u", F.lit(True)), "identifier", "full")
+    return alerts.join(marks, "identifier", "left").withColumn("reason", reason_at(at, exercises)).drop("c", "u")
 
 
 def refusals(rows: DataFrame) -> DataFrame:

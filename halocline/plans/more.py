@@ -12,7 +12,7 @@ from ..ledger import ledger
 from ..operators import alerts as al, claims as cl, columns as cc, derived as de, fields as fl
 from ..session import shared_dir
 from ..sources import bulletins as bu, casts as ca, floats as fo, gridded as gr, text_casts as tx
-from ..streaming import readings as st
+from ..streaming import alertfeed as af, readings as st, stateful as sm
 from .inputs import ALERTS, GRID, LEVELS, READINGS, alerts, grid, levels, readings, table
 
 QUERIES: dict = {}
@@ -213,9 +213,7 @@ def a24_trend_span(spark, sf):
 
 @query(f"WITH {READINGS} SELECT time_bucket(INTERVAL 1 HOUR, received_at) AS start, station_id, count(*) AS n, round(avg(temp_c), 6) AS mean FROM readings GROUP BY 1, 2")
 def r5_hourly_summary(spark, sf):
-    r = readings(spark, sf).withColumn("ts", F.col("received_at").cast("timestamp"))
-    rows = r.groupBy(F.window("ts", "1 hour").alias("w"), "station_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("temp_c"), 6).alias("mean"))
-    return rows.select(F.col("w.start").alias("start"), "station_id", "n", "mean")
+    return st.tumbling(readings(spark, sf).withColumn("ts", F.col("received_at").cast("timestamp")))
 
 
 @query(RESOLVED.replace("2024-01-16", "2024-01-08") + "SELECT coalesce(reason, 'live') AS reason, count(*) AS n FROM r GROUP BY 1")
@@ -545,9 +543,48 @@ def r3_threshold_stream(spark, sf):
     ok = readings(spark, sf).withColumn("reason", st.reason()).where("reason is null").select("station_id", "seq", "temp_c")
     st.replay_log(ok, f"{path}/in")
     stream = spark.readStream.schema(ok.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    q = st.trip_stream(stream).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    with sm.key_value_store(spark):
+        q = sm.trip_stream(stream).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema("station_id string, seq long, delta double").parquet(f"{path}/out").withColumn("delta", F.round("delta", 3))
+    return spark.read.schema(sm.TRIPS).parquet(f"{path}/out").withColumn("delta", F.round("delta", 3))
+
+
+LATE_SQL = REASON_SQL + """, a AS (SELECT station_id, seq, temp_c, epoch_us(received_at) AS us, epoch_us(received_at) + (seq * 37 % 180) * 60000000 AS arrival FROM r WHERE reason IS NULL),
+s AS (SELECT *, us - us % 3600000000 AS start, max(us) OVER (PARTITION BY station_id ORDER BY arrival, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS told, max(us) OVER (PARTITION BY station_id) AS last FROM a),
+k AS (SELECT *, CASE WHEN start + 4200000000 <= told THEN 'late' WHEN start + 4200000000 <= last THEN 'closed' ELSE 'open' END AS kind FROM s)
+"""
+
+
+@query(LATE_SQL + "SELECT station_id, kind, start, count(*) AS n, round(sum(temp_c), 4) AS total FROM k GROUP BY ALL")
+def r5_late_readings(spark, sf):
+    """Hours by event time of accepted readings that arrive up to three hours late: those closed, late readings, and the hours still open."""
+    path = scratch(spark, "late")
+    us = F.unix_micros(F.col("received_at").cast("timestamp"))
+    ok = readings(spark, sf).withColumn("reason", st.reason()).where("reason is null").select("station_id", "seq", us.alias("us"), (us + F.col("seq") * 37 % 180 * 60_000_000).alias("arrival"), "temp_c")
+    st.replay_log(ok, f"{path}/in", by=("arrival", "seq"))
+    stream = spark.readStream.schema(ok.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    with sm.key_value_store(spark):
+        q = sm.hour_stream(stream).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    rows = spark.read.schema(sm.HOURS).parquet(f"{path}/out").unionByName(sm.open_hours(spark, f"{path}/state"))
+    return rows.groupBy("station_id", "kind", "start").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total"))
+
+
+INSTANTS = (datetime(2024, 1, 4), datetime(2024, 1, 8), datetime(2024, 1, 16))
+
+
+@query(" UNION ALL ".join("(" + RESOLVED.replace("2024-01-16", f"{at:%Y-%m-%d}") + f"SELECT TIMESTAMP '{at:%Y-%m-%d}' AS at, coalesce(reason, 'live') AS reason, count(*) AS n FROM r GROUP BY ALL)" for at in INSTANTS))
+def r4_alert_feed(spark, sf):
+    """The feed as a stream, in files by a hash of the message, so that Cancels and Updates come before and after what they name; asked at three instants."""
+    path = scratch(spark, "feed")
+    rows = alerts(spark, sf).select("identifier", *[F.col(c).cast("timestamp").alias(c) if c in ("sent", "effective", "expires") else c for c in af.FIELDS], "references")
+    rows.repartition(6, F.xxhash64("seq")).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    af.follow(stream, f"{path}/table", f"{path}/state").awaitTermination()
+    table_ = af.latest(spark, f"{path}/table")
+    asked = [af.at_instant(table_, at).select(F.lit(at).alias("at"), F.coalesce("reason", F.lit("live")).alias("reason")) for at in INSTANTS]
+    every = asked[0].unionByName(asked[1]).unionByName(asked[2])
+    return every.groupBy("at", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(REASON_SQL + "SELECT coalesce(reason, 'accepted') AS reason, count(*) AS n FROM r GROUP BY 1")

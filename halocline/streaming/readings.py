@@ -1,11 +1,8 @@
-"""Sensor readings as a stream: validation, receipt stamps, and threshold alerts with state per station."""
+"""Sensor readings: validation, receipt stamps, look-back figures and threshold alerts of a whole log, logs and sinks."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..ledger import first_reason
 
@@ -101,38 +98,11 @@ def threshold_alerts(readings: DataFrame) -> DataFrame:
     return history(readings).withColumns({"delta": F.col("temp_c") - F.col("mean_before"), "tripped": tripped(), "status": F.lit("Exercise")})
 
 
-def _trip(key, batches, state: GroupState):
-    held = np.array(state.get[0] if state.exists else [], float)
-    # splits of a batch meet in no set order
-    rows = pd.concat([pdf[["seq", "temp_c"]] for pdf in batches]).sort_values(["seq", "temp_c"])
-    v = np.concatenate([held, rows["temp_c"].to_numpy(float)])
-    at = np.arange(len(held), len(v))
-    first = np.maximum(0, at - LOOK_BACK)
-    x = v - (v.mean() if len(v) else 0.0)
-    s1, s2 = (np.concatenate([[0.0], np.cumsum(y)]) for y in (x, x * x))
-    n = at - first
-    with np.errstate(invalid="ignore", divide="ignore"):
-        mean = (s1[at] - s1[first]) / n
-        std = np.sqrt(np.maximum((s2[at] - s2[first]) / n - mean * mean, 0.0))
-        delta = x[at] - mean
-        hit = (n + 1 >= MIN_READINGS) & (delta >= DEGREES) & ((std == 0) | (delta >= SIGMAS * std))
-    state.update((v[-LOOK_BACK:].tolist(),))
-    yield pd.DataFrame({"station_id": key[0], "seq": rows["seq"].to_numpy(np.int64)[hit], "delta": delta[hit]})
-
-
-def trip_stream(accepted: DataFrame) -> DataFrame:
-    """The streaming form of threshold_alerts: (station_id, seq, delta) of the readings that trip.
-
-    State is the last LOOK_BACK values of a station, a bounded list; order is arrival, not event time.
-    """
-    return accepted.groupBy("station_id").applyInPandasWithState(_trip, "station_id string, seq long, delta double", "vals array<double>", "append", GroupStateTimeout.NoTimeout)
-
-
-def replay_log(readings: DataFrame, path: str, rows: int = REPLAY_ROWS) -> None:
-    """Write readings as files of ranges of seq, by many tasks, with times in that order: a file stream takes the oldest first."""
+def replay_log(readings: DataFrame, path: str, rows: int = REPLAY_ROWS, by: tuple[str, ...] = ("seq",)) -> None:
+    """Write readings as files of ranges of `by`, by many tasks, with times in that order: a file stream takes the oldest first."""
     spark = readings.sparkSession
     n = max(1, -(-readings.count() // rows))
-    readings.repartitionByRange(n, "seq").sortWithinPartitions("seq").write.parquet(path)
+    readings.repartitionByRange(n, *by).sortWithinPartitions(*by).write.parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
     files = sorted((f.getPath() for f in fs.listStatus(where) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
@@ -156,9 +126,12 @@ def to_sinks(stream: DataFrame, accepted_path: str, refused_path: str, checkpoin
 
 
 def tumbling(readings: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """An addition to the arrival-ordered rules: event-time summaries per station, late readings dropped by watermark when streamed."""
+    """An addition to the arrival-ordered rules: event-time summaries per station; a stream drops what comes behind its watermark.
+
+    `stateful.hour_stream` tells late readings apart instead of dropping them.
+    """
     rows = readings.withWatermark("ts", late) if readings.isStreaming else readings
-    return rows.groupBy(F.window("ts", width).alias("w"), "station_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("temp_c"), 4).alias("mean")).select(F.col("w.start").alias("start"), "station_id", "n", "mean")
+    return rows.groupBy(F.window("ts", width).alias("w"), "station_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("temp_c"), 6).alias("mean")).select(F.col("w.start").alias("start"), "station_id", "n", "mean")
 
 
 def span(readings: DataFrame) -> DataFrame:
