@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..ledger import first_reason, ledger
 from ..session import written
+from .ranks import placed
 
 #: Closed vocabularies, in order of rank (fixed values).
 SEVERITY = ("Unknown", "Minor", "Moderate", "Severe", "Extreme")
@@ -63,12 +64,9 @@ def refusals(rows: DataFrame) -> DataFrame:
 
 
 def ordered(live: DataFrame) -> DataFrame:
-    """live with place: severity falling, urgency, expiry with none last, then arrival.
-
-    The sort is by range over all executors; the place is only asked of the (few) alerts in force at one instant.
-    """
-    order = W.orderBy(F.desc(severity_rank(F.col("severity"))), urgency_index(F.col("urgency")), F.col("expires").asc_nulls_last(), "seq")
-    return live.withColumn("place", F.row_number().over(order))
+    """live with place from 1: severity falling, urgency, expiry with none last, then arrival."""
+    order = [F.desc(severity_rank(F.col("severity"))), urgency_index(F.col("urgency")).asc(), F.col("expires").asc_nulls_last(), F.col("seq").asc()]
+    return placed(live, order, "place").withColumn("place", F.col("place") + 1)
 
 
 def touches(box: tuple[float, float, float, float], ring: Column, c_lon: Column, c_lat: Column, radius_km: Column) -> Column:

@@ -2,14 +2,17 @@
 
 An axis table has (idx, node), one row per distinct coordinate: a few hundred rows whatever the number of cells, since
 a grid's size is the product of its axes.  Joins with the spans of an axis go by even cells and broadcast them below
-MAX_BROADCAST nodes; a larger axis is left to Spark's own choice of join.
+MAX_BROADCAST nodes; nearest nodes of a larger axis are found by an as-of join, its brackets by Spark's own choice of join.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..session import written
+from . import asof
 
 MAX_BROADCAST = 100_000
 #: Tolerance beyond the first and last node within which a depth still snaps.
@@ -55,15 +58,17 @@ def cells(ax: DataFrame) -> DataFrame:
     return rows.select("idx", "node", "at", ((F.lag("at").over(order) + F.col("at")) / 2).alias("lo"), ((F.lead("at").over(order) + F.col("at")) / 2).alias("hi"))
 
 
-def met(df: DataFrame, value: Column, spans: DataFrame, low: Column, high: Column, inside: Column) -> DataFrame:
+def met(df: DataFrame, value: Column, spans: DataFrame, low: Column, high: Column, inside: Column, beyond: Callable[[], DataFrame] | None = None) -> DataFrame:
     """df left-joined with the spans for which `inside` holds; a null low or high reaches to the end of the axis.
 
     The axis is cut into even cells, four a span; a span is listed under the cells it reaches, so a value looks at the few
-    spans of its cell by an equi-join, not at all of them.
+    spans of its cell by an equi-join, not at all of them.  `beyond` serves axes of more nodes than may be broadcast.
     """
     ends = spans.agg(F.min(F.coalesce(low, high)).alias("a"), F.max(F.coalesce(high, low)).alias("b"), F.count(F.lit(1)).alias("n")).first()
     if ends["a"] is None or not ends["b"] > ends["a"]:
         return df.join(small(spans), inside, "left")
+    if beyond and ends["n"] > MAX_BROADCAST:
+        return beyond()
     m = 4 * ends["n"]
     cell = lambda v: F.least(F.greatest(F.floor((v - ends["a"]) / ((ends["b"] - ends["a"]) / m)), F.lit(-1)), F.lit(m)).cast("long")
     reach = F.sequence(F.coalesce(cell(low), F.lit(-1).cast("long")), F.coalesce(cell(high), F.lit(m).cast("long")))
@@ -73,11 +78,19 @@ def met(df: DataFrame, value: Column, spans: DataFrame, low: Column, high: Colum
 
 
 def nearest(df: DataFrame, value: Column, ax: DataFrame, prefix: str) -> DataFrame:
-    """df with {prefix}idx, {prefix}node and {prefix}gap (distance) of the node nearest to value; first node on a tie."""
+    """df with {prefix}idx, {prefix}node and {prefix}gap (distance) of the node nearest to value; first node on a tie.
+
+    A large axis is met by an as-of join, dealt by range.
+    """
     c = cells(ax).select(*[F.col(x).alias(f"{prefix}{x}") for x in ("idx", "node", "at", "lo", "hi")])
     lo, hi = F.col(f"{prefix}lo"), F.col(f"{prefix}hi")
     inside = (lo.isNull() | (value > lo)) & (hi.isNull() | (value <= hi)) & value.isNotNull()
-    joined = met(df, value, c, lo, hi, inside)
+
+    def dealt() -> DataFrame:
+        near = asof.nearest(df, c.select(f"{prefix}idx", f"{prefix}node", f"{prefix}at"), value, F.col(f"{prefix}at"))
+        return near.select(*df.columns, *[F.col(f"near.{prefix}{x}").alias(f"{prefix}{x}") for x in ("idx", "node", "at")])
+
+    joined = met(df, value, c, lo, hi, inside, dealt)
     return joined.withColumn(f"{prefix}gap", F.abs(value - F.col(f"{prefix}at"))).drop(f"{prefix}at", f"{prefix}lo", f"{prefix}hi")
 
 

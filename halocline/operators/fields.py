@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, functions as F
 
 from .axes import axis, edges, median_step, seconds
+from .ranks import order_statistics, percentiles, placed
 
 #: Cap on exported values, seconds of slack for a one-step time axis.
 EXPORT_CAP = 20_000_000
@@ -56,6 +57,11 @@ def slab(field: DataFrame, var: str, box, at: datetime, depth: float | None = No
     return rows.select(F.lit(served).alias("served_time"), "k_idx", "depth", "j", "lat", "i", "lon", F.round(var, 4).alias("value"))
 
 
+def row_major(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with place, from 0, in the order of a flat array over these axes."""
+    return placed(rows, [F.col(c) for c in order], "place")
+
+
 def subset(field: DataFrame, variables: list[str], box, depths: tuple[float, float], times: tuple[datetime, datetime], cap: int = EXPORT_CAP) -> DataFrame:
     """Native cells of a box, depth and time range; refused when an axis is empty or above cap values."""
     rows = in_box(field, box).where(F.col("depth").between(*depths) & F.col("time").between(*times))
@@ -75,19 +81,16 @@ def summary(rows: DataFrame, var: str, *keys: str) -> DataFrame:
 
 def robust_range(rows: DataFrame, var: str, pct: float = 2.0) -> DataFrame:
     """(lo, hi): percentiles pct and 100 - pct; equal ones one apart; (0, 1) without values."""
-    lo, hi = F.percentile(var, pct / 100).alias("lo"), F.percentile(var, 1 - pct / 100).alias("hi")
-    both = rows.agg(lo, hi)
-    return both.select(F.coalesce("lo", F.lit(0.0)).alias("lo"), F.when(F.col("lo").isNull(), F.lit(1.0)).when(F.col("hi") == F.col("lo"), F.col("lo") + 1).otherwise(F.col("hi")).alias("hi"))
+    lo, hi = percentiles(rows, var, [pct / 100, 1 - pct / 100])
+    if lo is None or hi is None:
+        lo, hi = 0.0, 1.0
+    return rows.sparkSession.createDataFrame([(lo, hi if hi != lo else lo + 1)], "lo double, hi double")
 
 
 def floor_range(rows: DataFrame, var: str, lo: float = 0.02, hi: float = 0.98) -> DataFrame:
-    """Range by the values at places floor((n - 1) * p) of the sorted values: counts of distinct values are added up."""
-    from pyspark.sql import Window as W
-
-    values = rows.where(F.col(var).isNotNull()).groupBy(F.col(var).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    upto = values.withColumns({"upto": F.sum("n").over(W.orderBy("v")), "total": F.sum("n").over(W.partitionBy())})
-    at = lambda p: F.min(F.when(F.col("upto") > F.floor((F.col("total") - 1) * p), F.col("v")))
-    return upto.agg(at(lo).alias("lo"), at(hi).alias("hi"))
+    """Range by the values at places floor((n - 1) * p) of the sorted values; null without values."""
+    _, values = order_statistics(rows, var, [(lo, "floor"), (hi, "floor")])
+    return rows.sparkSession.createDataFrame([tuple(values)], "lo double, hi double")
 
 
 def catalog(field: DataFrame, variables: list[str], *keys: str) -> DataFrame:

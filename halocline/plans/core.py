@@ -99,33 +99,37 @@ def j2_bracket(spark, sf):
     return rows.select("profile_id", "n", "lat", "j0", "j1", F.round("jf", 6).alias("share"))
 
 
-CORNERS_SQL = ", ".join(f"c{x}.temp AS v{x}" for x in ("00", "01", "10", "11")), " ".join(f"LEFT JOIN grid c{x} ON c{x}.t_idx = p.t_idx AND c{x}.j = p.j{x[0]} AND c{x}.i = p.i{x[1]} AND c{x}.k_idx = 9" for x in ("00", "01", "10", "11"))
+#: The model's columns as lists, by level.
+LISTS = "cols AS (SELECT t_idx, j, i, list(temp ORDER BY k_idx) AS v FROM grid GROUP BY ALL)"
+CORNERS_SQL = ", ".join(f"c{x}.v AS v{x}" for x in ("00", "01", "10", "11")), " ".join(f"LEFT JOIN cols c{x} ON c{x}.t_idx = p.t_idx AND c{x}.j = p.j{x[0]} AND c{x}.i = p.i{x[1]}" for x in ("00", "01", "10", "11"))
 
 
-@query(PAIRS + f""", w AS (SELECT p.*, CASE WHEN j1 = 0 THEN 0.0::DOUBLE ELSE p_lat - j0 END AS fy, CASE WHEN i1 = 0 THEN 0.0::DOUBLE ELSE p_lon - i0 END AS fx, {CORNERS_SQL[0]} FROM pos p {CORNERS_SQL[1]} WHERE NOT late AND NOT outside)
-SELECT profile_id, round((1-fy)*(1-fx)*coalesce(v00,0) + (1-fy)*fx*coalesce(v01,0) + fy*(1-fx)*coalesce(v10,0) + fy*fx*coalesce(v11,0), 4) AS at_level FROM w
-WHERE NOT (((1-fy)*(1-fx) <> 0 AND v00 IS NULL) OR ((1-fy)*fx <> 0 AND v01 IS NULL) OR (fy*(1-fx) <> 0 AND v10 IS NULL) OR (fy*fx <> 0 AND v11 IS NULL))""")
+@query(PAIRS + f""", {LISTS}, w AS (SELECT p.profile_id, CASE WHEN j1 = 0 THEN 0.0::DOUBLE ELSE p_lat - j0 END AS fy, CASE WHEN i1 = 0 THEN 0.0::DOUBLE ELSE p_lon - i0 END AS fx, {CORNERS_SQL[0]} FROM pos p {CORNERS_SQL[1]} WHERE NOT late AND NOT outside),
+l AS (SELECT profile_id, fy, fx, k - 1 AS k_idx, v00[k] AS a, v01[k] AS b, v10[k] AS c, v11[k] AS d FROM w, range(1, 51) r(k))
+SELECT profile_id, k_idx, round((1-fy)*(1-fx)*coalesce(a,0) + (1-fy)*fx*coalesce(b,0) + fy*(1-fx)*coalesce(c,0) + fy*fx*coalesce(d,0), 4) AS at_level FROM l
+WHERE NOT (((1-fy)*(1-fx) <> 0 AND a IS NULL) OR ((1-fy)*fx <> 0 AND b IS NULL) OR (fy*(1-fx) <> 0 AND c IS NULL) OR (fy*fx <> 0 AND d IS NULL))""")
 def j3_bilinear(spark, sf):
-    """Every profile's place at the level of index 9."""
+    """Every profile's place at every level."""
     g, lv = grid(spark, sf), levels(spark, sf)
     pos = co.placed(co.heads(lv), axes.axes_of(g, "time", "lat", "lon"))
-    st = co.stencils(pos, co.columns_of(g, "temp"))
-    return st.select("profile_id", F.round(co.at_level(F.col("corners"), F.lit(9)), 4).alias("at_level")).where("at_level is not null")
+    st = co.stencils(pos, co.tiles(g, "temp"))
+    levels_ = F.explode(F.sequence(F.lit(0), F.greatest(*[F.size(f"v{n}") for n in range(4)]) - 1))
+    rows = st.where("coalesce(v0, v1, v2, v3) is not null").withColumn("k_idx", levels_)
+    return rows.select("profile_id", F.col("k_idx").cast("long").alias("k_idx"), F.round(co.at_level(F.col("k_idx")), 4).alias("at_level")).where("at_level is not null")
 
 
-@query(f"""WITH {GRID}, {LEVELS}, q AS (SELECT DISTINCT depth FROM levels),
-b AS (SELECT depth, CASE WHEN depth < 40 OR depth > 2000 THEN NULL ELSE greatest(CAST(ceil(depth / 40.0::DOUBLE) AS INTEGER) - 2, 0) END AS k0, CASE WHEN depth < 40 OR depth > 2000 THEN NULL ELSE CAST(ceil(depth / 40.0::DOUBLE) AS INTEGER) - 1 END AS k1 FROM q)
-SELECT lo.t_idx, lo.j, lo.i, b.depth, round(lo.temp + CASE WHEN k1 = 0 THEN 0 ELSE (b.depth - 40.0::DOUBLE*(k0+1)) / 40.0::DOUBLE END * (hi.temp - lo.temp), 8) AS value
-FROM b JOIN grid lo ON lo.k_idx = k0 JOIN grid hi ON hi.k_idx = k1 AND hi.t_idx = lo.t_idx AND hi.j = lo.j AND hi.i = lo.i""")
+@query(f"""WITH {GRID}, {LEVELS}, {LISTS}, q AS (SELECT DISTINCT depth FROM levels WHERE depth >= 40 AND depth <= 2000),
+b AS (SELECT depth, greatest(CAST(ceil(depth / 40.0::DOUBLE) AS INTEGER) - 2, 0) AS k0, CAST(ceil(depth / 40.0::DOUBLE) AS INTEGER) - 1 AS k1 FROM q)
+SELECT t_idx, j, i, depth, round(v[k0 + 1] + CASE WHEN k1 = 0 THEN 0 ELSE (depth - 40.0::DOUBLE*(k0 + 1)) / 40.0::DOUBLE END * (v[k1 + 1] - v[k0 + 1]), 8) AS value FROM cols, b""")
 def j4_depth_interp(spark, sf):
-    """All model columns at every depth that was measured."""
+    """All model columns at every depth that was measured: depths meet the pairs of levels that bracket them."""
     g = grid(spark, sf)
-    cols = co.columns_of(g, "temp")
     q = axes.bracketed(levels(spark, sf).select("depth").distinct(), F.col("depth"), axes.axis(g, "depth"), "k").where("k1 is not null")
-    depths = q.agg(F.collect_list(F.struct("depth", "k0", "k1", "kf")).alias("q"))
-    rows = cols.join(axes.small(depths)).select("t_idx", "j", "i", "vals", F.explode("q").alias("q"))  # one row of distinct depths
-    lo, hi = F.get("vals", F.col("q.k0")), F.get("vals", F.col("q.k1"))
-    return rows.select("t_idx", "j", "i", F.col("q.depth").alias("depth"), F.round(lo + F.col("q.kf") * (hi - lo), 8).alias("value"))
+    cols = co.columns_of(g, "temp")
+    pair = F.transform(F.sequence(F.lit(0), F.size("vals") - 1), lambda k: F.struct(F.greatest(k - 1, F.lit(0)).alias("k0"), k.alias("k1"), F.get("vals", F.greatest(k - 1, F.lit(0))).alias("lo"), F.get("vals", k).alias("hi")))
+    pairs = cols.select("t_idx", "j", "i", F.explode(pair).alias("p")).select("t_idx", "j", "i", "p.*")
+    rows = pairs.join(q.select("depth", F.col("k1").alias("q1"), "kf"), F.col("k1") == F.col("q1"))
+    return rows.select("t_idx", "j", "i", "depth", F.round(F.col("lo") + F.col("kf") * (F.col("hi") - F.col("lo")), 8).alias("value"))
 
 
 COLUMN_SQL = f"""WITH {GRID}, {LEVELS}, h AS (SELECT DISTINCT profile_id, time, lat, lon FROM levels),
@@ -216,10 +220,9 @@ def f5_slab(spark, sf):
     return fl.slab(grid(spark, sf), "temp", BOX, AT, 490.0)
 
 
-@query(SLAB_SQL + f"SELECT row_number() OVER (ORDER BY k_idx, j, i) - 1 AS place, round(temp, 4) AS value FROM g WHERE {BOX_SQL} AND k_idx < 3")
+@query(SLAB_SQL + f"SELECT row_number() OVER (ORDER BY k_idx, j, i) - 1 AS place, round(temp, 4) AS value FROM g WHERE {BOX_SQL}")
 def f6_row_major(spark, sf):
-    rows = fl.slab(grid(spark, sf), "temp", BOX, AT).where("k_idx < 3")
-    return rows.select((F.row_number().over(W.orderBy("k_idx", "j", "i")) - 1).cast("long").alias("place"), "value")
+    return fl.row_major(fl.slab(grid(spark, sf), "temp", BOX, AT), "k_idx", "j", "i").select("place", "value")
 
 
 DAY = date(1996, 1, 2)

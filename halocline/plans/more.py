@@ -200,8 +200,7 @@ def r3_threshold_alert(spark, sf):
 
 @query(f"WITH {READINGS}, n AS (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY seq DESC) AS p FROM readings) SELECT station_id, seq, temp_c FROM n WHERE p <= 500")
 def w8_last_readings(spark, sf):
-    r = readings(spark, sf).withColumn("p", F.row_number().over(W.partitionBy("station_id").orderBy(F.desc("seq"))))
-    return r.where(F.col("p") <= st.LAST_LINES).select("station_id", "seq", "temp_c")
+    return st.last_readings(readings(spark, sf)).select("station_id", "seq", "temp_c")
 
 
 @query(REASON_SQL + """, s AS (SELECT station_id, min(temp_c) AS a, max(temp_c) AS b, min({'seq': seq, 'ts': received_at}) AS f, max({'seq': seq, 'ts': received_at}) AS l FROM r WHERE reason IS NULL GROUP BY 1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -34,3 +35,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def unwritten(*tables: DataFrame) -> None:
+    """Delete the tables made by written() that these read; to be called when nothing needs them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        root = shared_dir(spark).split(":", 1)[-1]
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if root in folder and re.search("-[0-9a-f]{32}$", folder):
+                where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

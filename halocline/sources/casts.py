@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.ocean import depth_of, unmasked
+from ..operators import asof
 
 ACCEPT = (1, 2)
 #: Foreign flag vocabulary of the moorings (fixed values); anything else is missing.
@@ -72,11 +73,13 @@ def mooring_levels(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def nearest_days(rows: DataFrame, step_axis: DataFrame) -> DataFrame:
     """Per station and model step the reported day nearest to it (the earlier on a tie), each day once; pressure stays null.
 
-    Distinct station days meet the few steps of the axis, not the measurements.
+    A day is the nearest for the times from halfway to the station's day before (not included) to halfway to the next, so it stays if the
+    last step up to there lies in between: one as-of join of days with steps, whatever the number of either.
     """
-    days = rows.select("station", "time").distinct()
-    near = days.join(F.broadcast(step_axis.select(F.col("node").alias("step"))))
-    gap = F.abs(F.unix_seconds(F.col("time").cast("timestamp")) - F.unix_seconds(F.col("step").cast("timestamp")))
-    best = near.groupBy("station", "step").agg(F.min(F.struct(gap.alias("gap"), "time")).alias("b"))
-    picked = best.select("station", F.col("b.time").alias("time")).distinct()
+    at = F.unix_seconds(F.col("time").cast("timestamp")).cast("double")
+    order = W.partitionBy("station").orderBy("time")
+    days = rows.select("station", "time").distinct().withColumns({"low": (at + F.lag(at).over(order)) / 2, "high": F.coalesce((at + F.lead(at).over(order)) / 2, F.lit(1e300))})
+    steps = step_axis.select(F.unix_seconds(F.col("node").cast("timestamp")).alias("step"))
+    met = asof.neighbours(days, steps, F.col("high"), F.col("step"))
+    picked = met.where("before is not null and (low is null or before.at > low)").select("station", "time")
     return rows.join(picked, ["station", "time"], "left_semi").withColumn("pres", F.lit(None).cast("double"))

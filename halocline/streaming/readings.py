@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..ledger import first_reason
+from ..operators import ranks
 
 READING = "station_id string, ts timestamp, temp_c double, tds_ppm double, turbidity_ntu double, seq long"
 #: Closed limits of the sensors (fixed values).
@@ -46,6 +47,11 @@ def lines(spark: SparkSession, path: str, last: int = LAST_LINES) -> DataFrame:
     return parsed.where("r is not null and r._corrupt is null").select("pos", "r.*").drop("_corrupt").orderBy("pos").drop("pos")
 
 
+def last_readings(readings: DataFrame, k: int = LAST_LINES) -> DataFrame:
+    """The last k readings of each station, by arrival."""
+    return ranks.last(readings, ["station_id"], "seq", k, SEQ_CELL)
+
+
 def append_log(stream: DataFrame, path: str, checkpoint: str):
     """Start the append of readings to a JSON-lines log, one line a reading."""
     return stream.writeStream.format("json").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
