@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import SPACE, written
+from .common import SPACE, unwritten, written
 
 GRAM, WINDOW = 30, 50
 #: Lines compared at a time on a diagonal.
@@ -122,11 +122,33 @@ def matches(rows: DataFrame, found: DataFrame) -> DataFrame:
         same, seen, step = same.join(open_, DIAGONAL, "left_semi"), seen.join(open_, DIAGONAL, "left_semi"), 2 * step
 
 
+def remaining(rows: DataFrame, marks: DataFrame, gone: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, th, nth of further lines that lie in a span of `window` words or more which stands earlier as well."""
+    often = marks.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    again = written(marks.join(often, "gram", "left_semi").select("doc_id", "th", "nth").distinct(), "again")
+    own = rows.join(again.select("doc_id", "th").distinct(), ["doc_id", "th"], "left_semi").select("doc_id", "th", "nth", "key", "c0", (F.col("c0") + F.col("nw")).alias("c1"))
+    own = own.join(again.withColumn("marked", F.lit(1)), ["doc_id", "th", "nth"], "left").join(gone.distinct().withColumn("gone", F.lit(1)), ["doc_id", "th", "nth"], "left")
+    whole = W.partitionBy("doc_id", "th")
+    # from a line on: the lines that begin within `window` words of its start; up to a line: those that end within so many of its end
+    ways = (whole.orderBy("c0").rangeBetween(0, window - 1), whole.orderBy("c1").rangeBetween(-(window - 1), 0))
+    span = lambda w: F.when((F.max("c1").over(w) - F.min("c0").over(w) >= window) & (F.max("marked").over(w) == 1), F.struct(F.xxhash64(F.collect_list("key").over(w)).alias("span"), F.min("nth").over(w).alias("lo"), F.max("nth").over(w).alias("hi"), (F.count("gone").over(w) < F.count(F.lit(1)).over(w)).alias("open")))
+    spans = own.select("doc_id", "th", span(ways[0]).alias("a"), span(ways[1]).alias("b"))
+    spans = spans.select("doc_id", "th", F.explode(F.array_distinct(F.array_compact(F.array("a", "b")))).alias("s")).select("doc_id", "th", "s.*")
+    spans = written(spans, "spans")
+    asked = spans.where("open")
+    first = spans.join(asked.select(F.col("span").alias("wanted")).distinct(), F.col("span") == F.col("wanted"), "left_semi").groupBy("span").agg(F.min(F.struct("doc_id", "th", "lo")).alias("a"))
+    late = asked.join(first, "span").where("not (doc_id = a.doc_id and th = a.th and lo = a.lo)")
+    out = written(late.select("doc_id", "th", F.explode(F.sequence("lo", "hi")).alias("nth")).distinct(), "remaining")
+    unwritten(spans, again)
+    return out
+
+
 def repeated(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """doc_id, th, removed (sorted line numbers), words (in them) of the documents that lose lines."""
     rows = written(lines(docs), "lines")
     marks = written(fingerprints(rows, gram, window), "marks")
-    gone = matches(rows, written(anchors(marks), "anchors"))
+    gone = written(matches(rows, written(anchors(marks), "anchors")), "gone")
+    gone = gone.unionByName(remaining(rows, marks, gone, window)).distinct()
     lost = gone.join(rows.select("doc_id", "th", "nth", "pos", "nw"), ["doc_id", "th", "nth"])
     return lost.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list("pos")).alias("removed"), F.sum("nw").alias("words"))
 

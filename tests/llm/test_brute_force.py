@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import struct
 import zlib
@@ -144,9 +145,66 @@ def plain_line_dedup(docs, gram=linededup.GRAM, window=linededup.WINDOW):
     return gone
 
 
+def must_go(docs, window=linededup.WINDOW):
+    """(document, line numbers) of every line in a run of `window` words or more that stands earlier; knows nothing of fingerprints."""
+    first, spans = {}, []
+    for i, t in docs:
+        lines = [(p, x, x.strip(" \t\n\x0b\x0c\r")) for p, x in enumerate(t.split("\n")) if x.strip(" \t\n\x0b\x0c\r")]
+        sizes = [b.count(" ") + b.count("\t") + 1 for _, _, b in lines]
+        key = (i, hashed(t))
+        for a in range(len(lines)):
+            for step in (1, -1):  # the shortest run from the line on, and up to it
+                b, n = a, sizes[a]
+                while n < window and 0 <= b + step < len(lines):
+                    b += step
+                    n += sizes[b]
+                if n >= window:
+                    lo, hi = min(a, b), max(a, b)
+                    text = tuple(x for _, x, _ in lines[lo : hi + 1])
+                    first[text] = min(first.get(text, (key, lo)), (key, lo))
+                    spans.append((text, key, lo, [p for p, _, _ in lines[lo : hi + 1]]))
+    out = collections.defaultdict(set)
+    for text, key, lo, at in spans:
+        if first[text] != (key, lo):
+            out[key] |= set(at)
+    return out
+
+
+def test_runs_that_an_earlier_document_holds_whole_go(spark):
+    rnd = random.Random(9)
+    line = lambda: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(10))
+    rows = []
+    for k in range(60):
+        shared, one, two = [line() for _ in range(10)], [line(), line()], [line(), line()]
+        rows += [(3 * k, "\n".join(shared + one)), (3 * k + 1, "\n".join(shared + two)), (3 * k + 2, "\n".join(shared + two))]
+    got = linededup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id")
+    assert all(got.loc[3 * k].n_removed == 0 and got.loc[3 * k + 1].text.count("\n") <= 1 and got.loc[3 * k + 2].text == "" for k in range(60))
+
+
+def test_versions_of_a_text_lose_what_stands_earlier(spark):
+    rnd = random.Random(10)
+    pool = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(rnd.choice([1, 4, 9, 30, 60]))) for _ in range(60)]
+    rows = []
+    for k in range(150):
+        a = rnd.randrange(0, 50)
+        part = pool[a : a + rnd.randrange(3, 20)]
+        for _ in range(rnd.randrange(0, 3)):
+            part.insert(rnd.randrange(0, len(part) + 1), rnd.choice([f"own {k} {rnd.random()}", rnd.choice(pool), ""]))
+        rows.append((k, "\n".join(part)))
+    got = linededup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).toPandas().set_index("doc_id")
+    want, seen = must_go(rows), plain_line_dedup(rows)
+    for i, t in rows:
+        key = (i, hashed(t))
+        lost = want[key] | seen[key]
+        assert got.loc[i].text == "\n".join(x for p, x in enumerate(t.split("\n")) if p not in lost), i
+    assert sum(len(want[k] - seen[k]) for k in want) > 20
+
+
 def test_line_dedup(spark, docs):
     got = queries.op8_line_dedup(spark, SF).toPandas().set_index("doc_id")
     gone = plain_line_dedup(list(zip(docs.doc_id, docs.text)))
+    for key, at in must_go(list(zip(docs.doc_id, docs.text))).items():
+        gone[key] |= at
     total = 0
     for i, t in zip(docs.doc_id, docs.text):
         lost = gone[(i, hashed(t))]
