@@ -1,6 +1,7 @@
 """Secret scans (operator 10): fixed patterns, and tokens that pass a battery of randomness tests.
 
-A token is a run of 20 or more characters of the base-64 alphabets that meets no fixed pattern's span.  Its encoding is
+A token is a run of 20 or more characters of the base-64 alphabets that meets no fixed pattern's span; '=' ends it, so in
+`name=KEY` the key is a token of its own, without padding.  Its encoding is
 inferred as the smallest alphabet that holds it.  Five tests give p-values under randomness: chi-squared uniformity over
 the alphabet, runs about the middle of the alphabet, serial correlation, shares of lower case, upper case, digits and
 signs, and surplus of vowels.  Fisher's sum combines them to one figure, large for a random token.
@@ -34,7 +35,7 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 #: Alphabets by name, smallest first (fixed values).
 ALPHABETS = {
     "hex": "0123456789abcdef",
@@ -73,59 +74,70 @@ def joined(spans) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def _chi2_tail(x: float, df: float) -> float:
-    """Upper tail of chi-squared by Wilson and Hilferty's cube root."""
-    z = ((max(x, 0.0) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
-    return 0.5 * math.erfc(z / math.sqrt(2))
+#: Of each byte the alphabets that hold it, a bit each, and its kind: lower case, upper case, digit, sign; the alphabets' shares of kinds.
+_HELD = np.zeros(256, np.int64)
+for _k, _abc in enumerate(ALPHABETS.values()):
+    _HELD[list(_abc.encode())] |= 1 << _k
+_KIND = np.full(256, 3)
+for _k, _chars in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789")):
+    _KIND[list(_chars.encode())] = _k
+_VOWEL = np.isin(np.arange(256), list(b"aeiouAEIOU"))
 
 
-def _kinds(s: str) -> tuple[int, int, int, int]:
-    low, up, num = sum("a" <= c <= "z" for c in s), sum("A" <= c <= "Z" for c in s), sum("0" <= c <= "9" for c in s)
-    return low, up, num, len(s) - low - up - num
+def _erfc(x: np.ndarray) -> np.ndarray:
+    return np.array([math.erfc(v) for v in x.tolist()])
 
 
-def structure(token: str, alphabet: str) -> list[float]:
-    """p-values of the shares of kinds of characters, and of more vowels among letters than chance gives: words, paths, names and numbers stand out."""
-    n, size = len(token), len(alphabet)
-    have, of = _kinds(token), _kinds(alphabet)
-    chi = sum((h - n * k / size) ** 2 / (n * k / size) for h, k in zip(have, of) if k)
-    ps = [_chi2_tail(chi, sum(k > 0 for k in of) - 1)]
-    letters = have[0] + have[1]
-    share = sum(c in "aeiouAEIOU" for c in alphabet) / (of[0] + of[1])
-    if letters:
-        off = (sum(c in "aeiouAEIOU" for c in token) - letters * share) / math.sqrt(letters * share * (1 - share))
-        ps.append(0.5 * math.erfc(off / math.sqrt(2)))
-    return ps
+def _chi2_tail(x: np.ndarray, df: float) -> np.ndarray:
+    """Upper tail of chi-squared by Wilson and Hilferty's cube root."""
+    z = ((np.maximum(x, 0.0) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    return 0.5 * _erfc(z / math.sqrt(2))
 
 
-def battery(token: str, alphabet: str) -> float:
-    """Combined p-value of the token under uniform random choice from the alphabet."""
-    n, size = len(token), len(alphabet)
-    at = {c: i for i, c in enumerate(alphabet)}
-    x = [at[c] for c in token]
-    counts: dict[int, int] = {}
-    for v in x:
-        counts[v] = counts.get(v, 0) + 1
-    chi = sum(c * c for c in counts.values()) * size / n - n
-    ps = [_chi2_tail(chi, size - 1)]
-    high = [v >= size / 2 for v in x]
-    a = sum(high)
+def combined(raw: np.ndarray, n: np.ndarray, alphabet: str) -> np.ndarray:
+    """Combined p-values of tokens, one after another in raw and n bytes long, under uniform random choice from the alphabet.
+
+    The last two of the five tests, of the shares of kinds of characters and of more vowels among letters than chance gives, are those by
+    which words, paths, names and numbers stand out.
+    """
+    size, abc = len(alphabet), np.frombuffer(alphabet.encode(), np.uint8)
+    at = np.zeros(256, np.int64)
+    at[abc] = np.arange(size)
+    x, token, start = at[raw], np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+    total = lambda v: np.add.reduceat(v, start)
+    within = token[1:] == token[:-1]
+    counts = np.bincount(token * size + x, minlength=len(n) * size).reshape(-1, size)
+    ps = [_chi2_tail((counts * counts).sum(axis=1) * size / n - n, size - 1)]
+    high = x >= size / 2
+    a = total(high.astype(np.int64))
     b = n - a
-    if a and b:
-        runs = 1 + sum(u != v for u, v in zip(high, high[1:]))
+    runs = 1 + np.bincount(token[1:][within & (high[1:] != high[:-1])], minlength=len(n))
+    with np.errstate(divide="ignore", invalid="ignore"):
         mean = 2 * a * b / n + 1
         var = (mean - 1) * (mean - 2) / (n - 1)
-        ps.append(math.erfc(abs(runs - mean) / math.sqrt(2 * var)) if var > 0 else 1.0)
-    else:
-        ps.append(2.0 ** (1 - n))
-    mid = sum(x) / n
-    var = sum((v - mid) ** 2 for v in x)
-    r = sum((u - mid) * (v - mid) for u, v in zip(x, x[1:])) / var if var else 1.0
-    ps.append(math.erfc(abs(r * math.sqrt(n)) / math.sqrt(2)))
-    ps += structure(token, alphabet)
-    fisher = -2 * sum(math.log(max(p, 1e-300)) for p in ps)
-    half = fisher / 2
-    return min(1.0, math.exp(-half) * sum(half**k / math.factorial(k) for k in range(len(ps))))  # chi-squared, two degrees of freedom a test
+        off = np.where(var > 0, np.abs(runs - mean) / np.sqrt(2 * np.maximum(var, 1e-300)), 0.0)
+        ps.append(np.where((a > 0) & (b > 0), _erfc(off), 2.0 ** (1.0 - n)))
+        dev = x - (total(x) / n)[token]
+        var = total(dev * dev)
+        both = np.bincount(token[1:][within], weights=(dev[1:] * dev[:-1])[within], minlength=len(n))
+        r = np.where(var > 0, both / var, 1.0)
+    ps.append(_erfc(np.abs(r * np.sqrt(n)) / math.sqrt(2)))
+    kinds = np.bincount(token * 4 + _KIND[raw], minlength=4 * len(n)).reshape(-1, 4)
+    of = np.bincount(_KIND[abc], minlength=4)
+    want = n[:, None] * of[None, :] / size
+    ps.append(_chi2_tail((((kinds - want) ** 2)[:, of > 0] / want[:, of > 0]).sum(axis=1), int((of > 0).sum()) - 1))
+    letters, share = kinds[:, 0] + kinds[:, 1], _VOWEL[abc].sum() / (of[0] + of[1])
+    off = (total(_VOWEL[raw].astype(np.int64)) - letters * share) / np.sqrt(np.maximum(letters, 1) * share * (1 - share))
+    ps.append(np.where(letters > 0, 0.5 * _erfc(off / math.sqrt(2)), 1.0))
+    # chi-squared, two degrees of freedom a test; without letters there are four
+    half = -sum(np.log(np.maximum(p, 1e-300)) for p in ps)
+    terms = [half**k / math.factorial(k) for k in range(5)]
+    return np.minimum(1.0, np.exp(-half) * (terms[0] + terms[1] + terms[2] + terms[3] + np.where(letters > 0, terms[4], 0.0)))
+
+
+def battery(token: str, alphabet: str) -> float:
+    """Combined p-value of one token."""
+    return float(combined(np.frombuffer(token.encode(), np.uint8), np.array([len(token)]), alphabet)[0])
 
 
 def encoding(token: str) -> str | None:
@@ -133,30 +145,43 @@ def encoding(token: str) -> str | None:
     return next((name for name, abc in ALPHABETS.items() if have <= set(abc)), None)
 
 
-def figure(token: str) -> tuple[str, int] | None:
-    """Class (encoding and length) of a token and the bin of its combined p-value."""
-    name = encoding(token)
-    if name is None or len(token) < LENGTHS[0]:
-        return None
-    p = battery(token, ALPHABETS[name])
-    return f"{name}:{max(x for x in LENGTHS if x <= len(token))}", min(BINS - 1, int(p**0.25 * BINS))
+def figures(found: list[str]) -> list[tuple[str, int] | None]:
+    """Class (encoding and length) of each token and the bin of its combined p-value; None for those too short or of no alphabet."""
+    out: list[tuple[str, int] | None] = [None] * len(found)
+    tried = [k for k, t in enumerate(found) if len(t) >= LENGTHS[0] and t.isascii()]
+    if not tried:
+        return out
+    raw, n = np.frombuffer("".join(found[k] for k in tried).encode(), np.uint8), np.array([len(found[k]) for k in tried])
+    held = np.bitwise_and.reduceat(_HELD[raw], np.cumsum(n) - n)
+    token = np.repeat(np.arange(len(n)), n)
+    for k, (name, abc) in enumerate(ALPHABETS.items()):
+        mine = (held >> k & 1 == 1) & (held & ((1 << k) - 1) == 0)
+        if mine.any():
+            p = combined(raw[mine[token]], n[mine], abc)
+            length = np.array(LENGTHS)[np.searchsorted(LENGTHS, n[mine], "right") - 1]
+            for j, w, size in zip(np.flatnonzero(mine).tolist(), np.minimum(BINS - 1, (p**0.25 * BINS).astype(int)).tolist(), length.tolist()):
+                out[tried[j]] = (f"{name}:{size}", w)
+    return out
 
 
-def tokens(text: str, base: list[tuple[int, int, int]] = ()) -> list[tuple[int, int, str, int]]:
-    """(start, end, class, bin) of the tokens that meet no base span."""
+def token_spans(text: str, base: list[tuple[int, int, int]] = ()) -> list[tuple[int, int]]:
+    """Where tokens stand that meet no base span."""
     out, at = [], 0
     for m in TOKEN.finditer(text):
-        token = m.group().rstrip("=")
-        start, end = m.start(), m.start() + len(token)
+        start, end = m.span()
         while at < len(base) and base[at][2] <= start:
             at += 1
-        if any(s < end and start < e for s, _, e in base[max(0, at - len(KINDS)) : at + 1]):
-            continue
-        if got := figure(token):
-            out.append((start, end, *got))
+        if not any(s < end and start < e for s, _, e in base[max(0, at - len(KINDS)) : at + 1]):
+            out.append((start, end))
     return out
 
 
+def tokens(text: str, base: list[tuple[int, int, int]] = ()) -> list[tuple[int, int, str, int]]:
+    """(start, end, class, bin) of the tokens that meet no base span."""
+    spans = token_spans(text, base)
+    return [(*at, *got) for at, got in zip(spans, figures([text[s:e] for s, e in spans])) if got]
+
+
 def ordinary(words: list[str], seed: int) -> str:
     """A name, path or number as people write them, of the given words, its style and length chosen by seed."""
     style, length = seed % 9, 20 + (seed >> 8) % 24 * (1 + (seed >> 16) % 3)
@@ -173,30 +198,42 @@ def ordinary(words: list[str], seed: int) -> str:
     return "".join(parts)[:length].rstrip("-_/")
 
 
-def names(text: str) -> list[tuple[str, int]]:
-    """Class and bin of the ordinary names that the text's stretches give, one each."""
+def names(text: str) -> list[str]:
+    """The ordinary names that the text's stretches give, one each."""
     out = []
     for k in range(max(1, len(text) // STRETCH)):
         part = text[k * STRETCH : (k + 1) * STRETCH]
-        seed = xxhash.xxh3_64_intdigest(part.encode("utf-8", "surrogatepass"))
-        if got := figure(ordinary(NAME_PART.findall(part), seed)):
-            out.append(got)
+        out.append(ordinary(NAME_PART.findall(part), xxhash.xxh3_64_intdigest(part.encode("utf-8", "surrogatepass"))))
     return out
 
 
 def _scan(batches):
-    empty = hashlib.sha256(b"").hexdigest()
     for pdf in batches:
-        rows = []
-        for text in pdf["text"]:
-            text = text or ""
-            base = base_spans(text)
-            n = [sum(k == i for _, k, _ in base) for i in range(3)]
-            sha = hashlib.sha256(joined(base).encode()).hexdigest() if base else empty
-            rows.append((*n, sha, [{"s": s, "k": k, "e": e} for s, k, e in base], [dict(zip("secp", t)) for t in tokens(text, base)], [dict(zip("cp", t)) for t in names(text)]))
-        out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "base", "found", "names"])
-        out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
-        yield out
+        for at in range(0, len(pdf), 200):  # tokens and names of so many texts are tested at once
+            yield _scanned(pdf.iloc[at : at + 200])
+
+
+def _scanned(pdf: pd.DataFrame) -> pd.DataFrame:
+    empty = hashlib.sha256(b"").hexdigest()
+    rows, spans, found, made, every = [], [], [], [], []
+    for text in pdf["text"]:
+        text = text or ""
+        base = base_spans(text)
+        n = [sum(k == i for _, k, _ in base) for i in range(3)]
+        sha = hashlib.sha256(joined(base).encode()).hexdigest() if base else empty
+        rows.append((*n, sha, [{"s": s, "k": k, "e": e} for s, k, e in base]))
+        spans.append(token_spans(text, base))
+        own = names(text)
+        found.append(len(every))
+        every += [text[s:e] for s, e in spans[-1]]
+        made.append((len(every), len(every) + len(own)))
+        every += own
+    got = figures(every)
+    out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "base"])
+    out["found"] = [[{"s": s, "e": e, "c": f[0], "p": f[1]} for (s, e), f in zip(own, got[k : k + len(own)]) if f] for own, k in zip(spans, found)]
+    out["names"] = [[{"c": f[0], "p": f[1]} for f in got[a:b] if f] for a, b in made]
+    out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
+    return out
 
 
 def binned(rows: DataFrame, of: str) -> dict[str, np.ndarray]:

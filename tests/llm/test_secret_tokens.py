@@ -79,9 +79,9 @@ def test_few_ordinary_tokens_reported_few_keys_missed(spark):
         truth[i], out = [], t.replace("\n", " ")
         for make, share in ((plain, 0.3), (key, 0.1)):
             if rnd.random() < share:
-                token = make()
-                truth[i].append((len(out) + 1, len(out) + 1 + len(token), make is key))
-                out += " " + token
+                token, before = make(), " " + rnd.choice(["", "", "", "sig=", "client_id=", "https://h.org/p?a=1&sig="])
+                truth[i].append((len(out) + len(before), len(out) + len(before) + len(token), make is key))
+                out += before + token
         rows.append((i, out))
     got = secrets.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     caught = missed = false = 0
@@ -94,3 +94,23 @@ def test_few_ordinary_tokens_reported_few_keys_missed(spark):
         missed += sum(not hit(a, b) for a, b in keys)
         false += sum(not any(s < b and a < e for a, b in keys) for s, e in spans)
     assert caught > 500 and caught >= 0.9 * (caught + missed) and caught >= 0.9 * (caught + false), (caught, missed, false)
+
+
+def test_a_key_behind_an_equals_sign_is_a_token():
+    rnd = random.Random(5)
+    key = "".join(rnd.choice(secrets.ALPHABETS["base62"]) for _ in range(32))
+    for before, after in (("sig=", ""), ("client_id=", "=="), ("https://h.org/p?a=1&sig=", "&b=2"), ("a=", "="), ("", "")):
+        got = secrets.tokens(before + key + after)
+        assert [(s, e) for s, e, *_ in got if e - s == 32] == [(len(before), len(before) + 32)], before
+        assert [g[2:] for g in got if g[1] - g[0] == 32] == [g[2:] for g in secrets.tokens(key)]
+    assert [t[:2] for t in secrets.tokens(f"x={key}&y={key}")] == [(2, 34), (37, 69)]
+
+
+def test_figures_of_many_tokens_are_those_of_each():
+    rnd = random.Random(6)
+    some = ["".join(rnd.choice(abc) for _ in range(rnd.randrange(20, 70))) for abc in secrets.ALPHABETS.values() for _ in range(20)] + ["short", "", "A" * 30, "12345678901234567890", "\u00e9" * 25, "x.y" * 10]
+    rnd.shuffle(some)
+    assert secrets.figures(some) == [secrets.figures([t])[0] for t in some]
+    for t, got in zip(some, secrets.figures(some)):
+        assert (got is None) == (len(t) < 20 or secrets.encoding(t) is None)
+        assert got is None or got[0].split(":")[0] == secrets.encoding(t)
