@@ -504,6 +504,46 @@ def t21_text_record(spark, sf):
     return r.groupBy("delimiter").agg(F.count(F.lit(1)).alias("n_files"), F.sum("n_data").alias("n_data"), F.sum("n_footer").alias("n_footer"), F.sum("inherited_time").alias("inherited_time"))
 
 
+CRUISE = tx.Format({"platform": ("station",), "cast": (), "time": ("date time",), "lat": ("latitude",), "lon": ("longitude",), "depth": (), "temp": ("t90",), "flag": ("qf",), "qc": ("quality",)})
+CRUISE_SQL = f"""WITH {TEXT_SQL}, st AS (SELECT profile_id, row_number() OVER (PARTITION BY profile_id ORDER BY depth, n, temp_qc, temp, source_id, psal) AS p, n FROM levels),
+f AS (SELECT profile_id // 8 AS f, count(DISTINCT profile_id) AS ns FROM levels GROUP BY 1)
+"""
+
+
+def cruise_files(spark, sf) -> DataFrame:
+    """Texts of up to eight stations, by number: continuation rows that repeat the station but not the cast (1), a last station without
+    latitude (2), a first one without name (3) or time (4), a sign-off with a number (5).  Every fifth level's depth is flagged bad."""
+    lv = levels(spark, sf)
+    f = F.floor(F.col("profile_id") / 8).cast("long")
+    order = W.partitionBy("profile_id").orderBy("depth", "n", F.col("temp_qc").asc_nulls_last(), F.col("temp").asc_nulls_last(), "source_id", F.col("psal").asc_nulls_last())
+    ends = lv.groupBy(f.alias("f")).agg(F.min("profile_id").alias("a"), F.max("profile_id").alias("b"))
+    lv = lv.withColumns({"f": f, "p": F.row_number().over(order)}).join(ends, "f")
+    first, kind, k = F.col("p") == 1, F.col("f") % 6, F.col("profile_id")
+    num = lambda c, d: F.format_string(f"%.{d}f", c)
+    line = F.concat_ws(
+        ";", F.when(F.when(kind == 3, first & (k != F.col("a"))).otherwise(first | (kind == 1)), F.concat(F.lit("ST"), k.cast("string"))).otherwise(""), F.when(first, (k % 3 + 1).cast("string")).otherwise(""),
+        F.when(first & ~((kind == 4) & (k == F.col("a"))), F.date_format(F.col("time").cast("timestamp"), "yyyy-MM-dd HH:mm:ss")).otherwise(""),
+        F.when(first & ~((kind == 2) & (k == F.col("b"))), num(F.col("lat"), 4)).otherwise(""), F.when(first, num(F.col("lon"), 4)).otherwise(""),
+        num(F.col("depth"), 1), F.when(F.col("n") % 5 == 0, "4").otherwise("1"), F.when(F.col("temp").isNull(), "-999").otherwise(num(F.col("temp"), 4)), F.coalesce(F.col("temp_qc").cast("string"), F.lit("")),
+    )
+    per = lv.groupBy("f").agg(F.sort_array(F.collect_list(F.struct("profile_id", "p", line.alias("l")))).alias("z"))
+    body = F.concat(F.lit("# ship = none\nStation;Cast;Date Time;Latitude;Longitude;Depth [m];QF;T90;Quality\n"), F.array_join(F.transform("z", lambda s: s["l"]), "\n"), F.when(F.col("f") % 6 == 5, "\nlogger 3 off").otherwise(""))
+    return per.select(F.concat(F.col("f").cast("string"), F.lit(".txt")).alias("file"), body.alias("text"))
+
+
+@query(CRUISE_SQL + """SELECT CAST(f AS VARCHAR) || '.txt' AS file, CASE WHEN f % 6 = 3 THEN CAST(f AS VARCHAR) ELSE 'ST' || CAST(profile_id AS VARCHAR) END AS wmo, round(depth, 1) AS depth, round(temp, 3) AS temp, q AS temp_qc
+FROM tl JOIN st USING (profile_id, p) JOIN f ON profile_id // 8 = f WHERE f % 6 NOT IN (2, 4) AND (f % 6 <> 3 OR ns = 1) AND n % 5 <> 0 AND temp IS NOT NULL AND q IN (1, 2)""")
+def t20_cruise_levels(spark, sf):
+    """Levels of files with several stations: each placed by its own station, with an accepted flag of depth and of the level."""
+    lv, _, _ = tx.parse(cruise_files(spark, sf), CRUISE)
+    return lv.select("file", "wmo", F.round("depth", 1).alias("depth"), F.round("temp", 3).alias("temp"), F.col("temp_qc").cast("int").alias("temp_qc"))
+
+
+@query(CRUISE_SQL + "SELECT CASE f % 6 WHEN 2 THEN 'station_without_position' WHEN 3 THEN 'station_without_platform' ELSE 'station_without_time' END AS reason, count(*) AS n FROM f WHERE f % 6 IN (2, 4) OR (f % 6 = 3 AND ns > 1) GROUP BY 1")
+def t16_cruise_refusals(spark, sf):
+    return tx.parse(cruise_files(spark, sf), CRUISE)[1].groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---- stores and streams ----------------------------------------------------------------------------------------------
 
 

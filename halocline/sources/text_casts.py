@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.ocean import depth_of, pressure_of
@@ -18,6 +19,7 @@ DELIMITERS = (("tab", "\t"), ("semicolon", ";"), ("pipe", r"\|"), ("comma", ",")
 SENTINELS = (-999.0, -9.99, -1.0e34)
 TEXT_SENTINELS = ("nan", "n/a", "---", "")
 HEADER_ROWS, LOOK_AHEAD, NAMED_LINES = 200, 5, 10
+FLAGGED = ("temp", "psal", "pres", "depth")
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 COMMA_NUMBER = r"^[+-]?\d+,\d+$"
 
@@ -26,6 +28,8 @@ COMMA_NUMBER = r"^[+-]?\d+,\d+$"
 class Format:
     """Aliases of each canonical column, comment prefixes, header keys, time patterns, flag map and accepted flags.
 
+    A `flag` column belongs to the column before it; a `qc` column to every variable, and to the vertical axis, that has none of its own.
+
     units_row tells that the record below the names holds their units; vertical_unit ('dbar' or 'm') overrides what a file
     says of its vertical column, positive ('up', 'down' or None) the direction of its depths.
     """
@@ -41,6 +45,8 @@ class Format:
     units_row: bool = False
     vertical_unit: str | None = None
     positive: str | None = None
+    #: Whether blank cells of identity, place and time take the value above them within a station.
+    carry: bool = True
 
     def named(self) -> tuple[dict[str, str], dict[str, str]]:
         """Canonical columns by folded and by squeezed alias; the first that declares one has it."""
@@ -180,17 +186,18 @@ def header_value(canon: str, fmt: Format) -> Column:
 def verdicts(records: DataFrame, layout: DataFrame, units_row: bool = False) -> DataFrame:
     """Per file: reason (null if readable), footer and truncated lines, the first ragged ones by number.
 
-    Ragged lines are data lines of another width.  A trailing block of ragged lines without numbers is a footer; one ragged last
-    data line is a truncation; more refuse.
+    Ragged lines are data lines of another width.  A trailing block of ragged lines, each with numbers in less than half of its words, is a
+    footer; one ragged last data line is a truncation; more refuse.
     """
     r = records.join(layout.select("file", "delimiter", "header_line", "columns"), "file").where("line > header_line")
     if units_row:
         r = r.withColumn("nth", F.row_number().over(W.partitionBy("file").orderBy("line"))).where("nth > 1").drop("nth")
     r = r.withColumn("tok", tokens(F.col("text"), F.col("delimiter")))
-    numeric = F.size(F.filter("tok", lambda t: t.rlike(NUMBER) | t.rlike(COMMA_NUMBER)))
-    r = r.withColumns({"ragged": F.size("tok") != F.size("columns"), "numeric": numeric})
+    words = F.filter(F.split("text", r"[\s,;]+"), lambda t: t != "")
+    signed_off = 2 * F.size(F.filter(words, lambda t: t.rlike(NUMBER))) < F.size(words)
+    r = r.withColumns({"ragged": F.size("tok") != F.size("columns"), "signed_off": signed_off | (F.size(words) == 0)})
     after = W.partitionBy("file").orderBy(F.desc("line")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    r = r.withColumn("footer", F.min((F.col("ragged") & (F.col("numeric") == 0)).cast("int")).over(after) == 1)
+    r = r.withColumn("footer", F.min((F.col("ragged") & F.col("signed_off")).cast("int")).over(after) == 1)
     body = ~F.col("footer")
     last = F.max(F.when(body, F.col("line"))).over(W.partitionBy("file"))
     r = r.withColumn("cut", body & F.col("ragged") & (F.col("line") == last))
@@ -237,6 +244,29 @@ def instant(token: Column, patterns: tuple[str, ...]) -> Column:
     return F.coalesce(*[F.try_to_timestamp(t, F.lit(p)) for p in patterns], F.when(t.rlike(r"^\d{4}-\d{2}"), F.try_to_timestamp(t)))
 
 
+def boundaries(rows: DataFrame) -> DataFrame:
+    """(file, line): where a platform or cast differs from the one in force, of rows(file, line, platform, cast) that name either.
+
+    A blank cell claims nothing: it neither starts a station nor rules one out.  With a new station only what its own row names is in
+    force.  What is in force depends on each boundary before, so a file's claims, which are few, are gone through in order.
+    """
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        force, out = [None, None], []
+        pdf = pdf.sort_values("line")
+        for line, *own in zip(pdf["line"], pdf["platform"], pdf["cast"]):
+            own = [None if pd.isna(x) else x for x in own]
+            if any(x is not None and y is not None and x != y for x, y in zip(own, force)):
+                out.append(line)
+                force = own
+            else:
+                force = [y if x is None else x for x, y in zip(own, force)]
+        return pd.DataFrame({"file": pd.Series([pdf["file"].iloc[0]] * len(out), dtype=object), "line": pd.Series(out, dtype="int32")})
+
+    claims = rows.where(F.coalesce("platform", "cast").isNotNull()).select("file", "line", "platform", "cast")
+    return claims.groupBy("file").applyInPandas(walk, "file string, line int")
+
+
 def parse(files: DataFrame, fmt: Format) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(levels, refused files with reason, record per file) of files(file, text)."""
     lines = split_lines(files, fmt.comments)
@@ -262,8 +292,8 @@ def parse(files: DataFrame, fmt: Format) -> tuple[DataFrame, DataFrame, DataFram
     unit = F.lit(fmt.vertical_unit) if fmt.vertical_unit else F.coalesce(F.element_at("units", main), F.when(at("pres") > 0, "dbar").otherwise("m"))
     rows = rows.select(
         "file", "line", text("platform").alias("platform"), text("cast").alias("cast"), coordinate(field_("lat")).alias("lat"), coordinate(field_("lon")).alias("lon"), instant(stamp, fmt.times).alias("time"),
-        *[number(field_(c), F.col("comma")).alias(c) for c in ("pres", "depth", "temp", "psal")], *[field_(f"{c}_qc").alias(f"{c}_f") for c in ("temp", "psal")], *[(at(f"{c}_qc") > 0).alias(f"{c}_has") for c in ("temp", "psal")],
-        (at("pres") > 0).alias("by_pres"), unit.alias("unit"),
+        *[number(field_(c), F.col("comma")).alias(c) for c in ("pres", "depth", "temp", "psal")], *[field_(f"{c}_qc").alias(f"{c}_f") for c in FLAGGED], *[(at(f"{c}_qc") > 0).alias(f"{c}_has") for c in FLAGGED],
+        field_("qc").alias("level_f"), (at("qc") > 0).alias("level_has"), (at("pres") > 0).alias("by_pres"), F.when(at("pres") > 0, "pres").otherwise("depth").alias("down_by"), unit.alias("unit"),
     )
     # header values serve a whole file that has no such column
     meta = metadata(lines, layout, fmt.comments).withColumns({f"m_{c}": header_value(c, fmt) for c in ("platform", "cast", "lat", "lon", "time", "date", "time_of_day")}).drop("meta")
@@ -271,22 +301,29 @@ def parse(files: DataFrame, fmt: Format) -> tuple[DataFrame, DataFrame, DataFram
     rows = rows.join(meta, "file", "left")
     # a new identity starts a station; values are carried on within one only
     order = W.partitionBy("file").orderBy("line")
-    ident = F.concat_ws("|", "platform", "cast")
-    rows = rows.withColumn("ident", F.when(ident != "", ident))
-    held = F.last("ident", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
-    rows = rows.withColumn("start", (F.col("ident").isNotNull() & (held.isNull() | (F.col("ident") != held))).cast("int"))
+    news = boundaries(rows).withColumn("news", F.lit(True))
+    rows = rows.join(news, ["file", "line"], "left").withColumn("start", (F.col("news").isNotNull() | (F.col("line") == F.min("line").over(W.partitionBy("file")))).cast("int")).drop("news")
     rows = rows.withColumn("station", F.sum("start").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
     inside = W.partitionBy("file", "station").orderBy("line").rowsBetween(W.unboundedPreceding, W.currentRow)
     own = {c: F.col(c) for c in ("lat", "lon", "time")}
-    carried = {f"c_{c}": F.last(c, ignorenulls=True).over(inside) for c in ("platform", "cast", *own)}
+    rows = rows.withColumns({"nameless": F.coalesce("platform", "cast").isNull(), "unnamed": F.col("platform").isNull(), "names": F.max(F.col("platform").isNotNull()).over(W.partitionBy("file"))})
+    carried = {f"c_{c}": F.last(c, ignorenulls=True).over(inside) if fmt.carry else F.col(c) for c in ("platform", "cast", *own)}
     opening = {f"o_{c}": F.first(c).over(inside) for c in own}
     rows = rows.withColumns(carried | opening)
-    clash = F.col("ident").isNull() & ((F.abs(F.col("lat") - F.col("o_lat")) > 1e-9) | (F.abs(F.col("lon") - F.col("o_lon")) > 1e-9) | (F.col("time") != F.col("o_time")))
+    clash = F.col("nameless") & ((F.abs(F.col("lat") - F.col("o_lat")) > 1e-9) | (F.abs(F.col("lon") - F.col("o_lon")) > 1e-9) | (F.col("time") != F.col("o_time")))
     value = {c: F.coalesce(F.col(f"c_{c}"), coordinate(F.col(f"m_{c}")) if c in ("lat", "lon") else instant(F.col("m_time"), fmt.times) if c == "time" else F.col(f"m_{c}")) for c in ("platform", "cast", "lat", "lon", "time")}
     inherited = {f"i_{c}": F.col(c).isNull() & F.col(f"c_{c}").isNotNull() for c in own}
     rows = rows.withColumns({"clash": F.coalesce(clash, F.lit(False))} | inherited).withColumns(value)
-    broken = rows.groupBy("file").agg(F.max("clash").alias("clash"), F.max((F.col("start") == 1) & (F.col("lat").isNull() | F.col("lon").isNull())).alias("no_pos"), F.max((F.col("start") == 1) & F.col("time").isNull()).alias("no_time"))
-    why = F.when(F.col("clash"), "station_contradicted").when(F.col("no_pos"), "station_without_position").when(F.col("no_time"), "station_without_time")
+    # every station opens with its own platform (if the file names any), place and time; a file has a place and a time at least
+    first, placeless = F.col("start") == 1, F.col("lat").isNull() | F.col("lon").isNull()
+    broken = rows.groupBy("file").agg(
+        F.max("clash").alias("clash"), F.max(first & F.col("unnamed") & F.col("names")).alias("no_name"), F.max(first & placeless).alias("no_pos"), F.max(first & F.col("time").isNull()).alias("no_time"),
+        ((F.count("lat") == 0) | (F.count("lon") == 0)).alias("nowhere"), (F.count("time") == 0).alias("never"),
+    )
+    if fmt.carry:
+        why = F.when(F.col("clash"), "station_contradicted").when(F.col("no_name"), "station_without_platform").when(F.col("no_pos"), "station_without_position").when(F.col("no_time"), "station_without_time")
+    else:
+        why = F.when(F.col("nowhere"), "no_position").when(F.col("never"), "no_time")
     stations = broken.select("file", why.alias("reason")).where("reason is not null")
     rows = rows.join(stations.select("file"), "file", "left_anti")
     # vertical axis: the pressure column if there is one, in its unit; depth of the file beats one from pressure
@@ -306,19 +343,34 @@ def parse(files: DataFrame, fmt: Format) -> tuple[DataFrame, DataFrame, DataFram
     rows = rows.withColumn("pres", F.coalesce("pres", pressure_of(F.col("depth"), F.col("lat")))).drop("given", "as_pres", "unit", "by_pres")
     flag_map = F.create_map(*[F.lit(x) for kv in ({"": fmt.when_blank} | fmt.flags).items() for x in kv])
     flags, masked = {}, {}
+
+    def flag_of(*names: str) -> Column:
+        """The flag in the first of these columns that the file has."""
+        out = F.lit(fmt.when_absent)
+        for c in reversed(names):
+            t = F.trim(F.coalesce(f"{c}_f", F.lit("")))
+            out = F.when(F.col(f"{c}_has"), F.coalesce(F.try_element_at(flag_map, t), t.try_cast("int"), F.lit(fmt.when_blank))).otherwise(out)
+        return out
+
     for c in ("temp", "psal"):
-        t = F.trim(F.coalesce(f"{c}_f", F.lit("")))
-        flag = F.when(~F.col(f"{c}_has"), F.lit(fmt.when_absent)).otherwise(F.coalesce(F.try_element_at(flag_map, t), t.try_cast("int"), F.lit(fmt.when_blank)))
+        flag = flag_of(c, "level")
         ok = flag.isin(*fmt.accept)
         flags[f"{c}_qc"] = F.when(F.col(c).isNull() & ok, 9).otherwise(flag).cast("short")
         masked[c] = F.when(ok, F.col(c))
-    rows = rows.withColumns(flags | masked)
+    vertical_flag = F.when(F.col("down_by") == "pres", flag_of("pres", "depth", "level")).otherwise(flag_of("depth", "pres", "level"))
+    rows = rows.withColumns(flags | masked | {"v_ok": vertical_flag.isin(*fmt.accept)})
     stem = F.regexp_extract("file", r"([^/]+?)(\.[^./]*)?$", 1)
-    name = F.concat_ws("_", F.coalesce("platform", stem), "cast", F.date_format("time", "yyyyMMdd'T'HHmmss"))
+    name = F.concat_ws("_", "platform", "cast", F.date_format("time", "yyyyMMdd'T'HHmmss"))
     name = F.concat_ws("-", F.lit(fmt.prefix) if fmt.prefix else F.lit(None).cast("string"), name)
-    kept = rows.where(F.col("depth").isNotNull() & F.coalesce("temp", "psal").isNotNull())
-    levels = kept.select("file", "line", name.alias("profile_id"), F.coalesce("platform", stem).alias("wmo"), "time", "lat", "lon", "pres", "depth", "temp", "temp_qc", "psal", "psal_qc")
-    counts = rows.groupBy("file").agg(F.max("station").alias("n_stations"), F.count(F.lit(1)).alias("n_parsed"), F.count_if(F.col("depth").isNotNull() & F.coalesce("temp", "psal").isNotNull()).alias("n_levels"), *[F.count_if(f"i_{c}").alias(f"inherited_{c}") for c in own])
+    # a level stays if it's placed, its vertical flag is accepted and it has a measurement
+    stays = F.col("v_ok") & F.col("time").isNotNull() & F.coalesce("temp", "psal").isNotNull()
+    for c in ("depth", "lat", "lon"):
+        stays = stays & F.col(c).isNotNull() & (F.abs(F.col(c)) < float("inf"))
+    # the file's own name serves where it names no platform at all
+    rows = rows.withColumns({"stays": stays, "platform": F.coalesce("platform", F.when(~F.max(F.col("platform").isNotNull()).over(W.partitionBy("file")), stem))})
+    kept = rows.where(F.col("stays") & F.col("platform").isNotNull())
+    levels = kept.select("file", "line", name.alias("profile_id"), F.col("platform").alias("wmo"), "time", "lat", "lon", "pres", "depth", "temp", "temp_qc", "psal", "psal_qc")
+    counts = rows.groupBy("file").agg(F.max("station").alias("n_stations"), F.count(F.lit(1)).alias("n_parsed"), F.count_if(F.col("stays") & F.col("platform").isNotNull()).alias("n_levels"), *[F.count_if(f"i_{c}").alias(f"inherited_{c}") for c in own])
     record = good.select("file", "delimiter", "found_by", "header_line", "n_data", "n_cut", "n_footer").join(counts, "file")
     refused = verdict.where("reason is not null").select("file", "reason", "ragged_lines").unionByName(unread.unionByName(stations), allowMissingColumns=True)
     return levels, refused, record
