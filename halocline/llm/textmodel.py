@@ -135,7 +135,7 @@ def _third(x) -> int:
 
 def _packed(key, pdf: pd.DataFrame) -> pd.DataFrame:
     """One row of a block of documents: labels, lengths, bucket numbers and values one after another, in order of the ids."""
-    pdf = pdf.sort_values("id", kind="stable").drop_duplicates("id")
+    pdf = pdf.sort_values("id", kind="stable")
     lens = np.array([len(x) // 4 for x in pdf["idx"]], np.int64)
     return pd.DataFrame({
         "held": [bool(key[0])], "block": [int(key[1])], "labels": [pdf["label"].to_numpy(np.float64).tobytes()], "lens": [lens.tobytes()],
@@ -158,9 +158,13 @@ def labelled(labels: DataFrame, label: str, id_col: str, sample: int) -> DataFra
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = 4000, id_col: str = "doc_id", l2: float = 1e-3, rounds: int = 60) -> Model:
-    """Fit on two thirds of the sample and calibrate (Platt) on the rest; without both labels, a constant that keeps."""
+    """Fit on two thirds of the sample and calibrate (Platt) on the rest; without both labels, a constant that keeps.
+
+    Of an id with several texts the least stands for it, whatever the order of rows; it's chosen before features are made.
+    """
     own = docs.select(F.col(id_col).alias("id"), F.col("text"))
-    rows = own.join(F.broadcast(labelled(labels, label, id_col, sample)), "id").mapInPandas(_features, "id long, label int, held boolean, idx binary, val binary")
+    one = own.join(F.broadcast(labelled(labels, label, id_col, sample)), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    rows = one.mapInPandas(_features, "id long, label int, held boolean, idx binary, val binary")
     block = F.pmod(F.xxhash64("id"), F.lit(BLOCKS)).cast("int")
     packed = rows.groupBy("held", block.alias("block")).applyInPandas(_packed, "held boolean, block int, labels binary, lens binary, idx binary, val binary")
     blocks = written(packed, "sample")

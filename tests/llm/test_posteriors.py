@@ -61,3 +61,14 @@ def test_verdict_follows_from_evidence_and_site(spark):
     rate = np.array([want[k][1] for k in zip(out.h, out.p)])
     z = logit(out.p_text.clip(1e-9, 1 - 1e-9)) + classifier.TEMPER * (logit(rate) - logit(top))
     assert np.allclose(out.p_good, 1 / (1 + np.exp(-z)), atol=1e-9) and (out.kept == (out.p_good >= classifier.KEEP_AT)).all()
+
+
+def test_fit_does_not_depend_on_the_order_of_rows(spark):
+    from halocline.llm import textmodel
+
+    texts = [(k, " ".join(f"w{(k * 7 + i * (1 + k % 2)) % 50}" for i in range(60)), k % 2) for k in range(60)]
+    rows = [(k, t) for k, t, _ in texts] + [(7, f"other text {n} of the same id") for n in range(300)]
+    labels = spark.createDataFrame([(k, y) for k, _, y in texts], "doc_id long, quality int")
+    fits = [textmodel.train(spark.createDataFrame(order, "doc_id long, text string").repartition(n), labels, rounds=6) for order, n in ((rows, 3), (rows[::-1], 5))]
+    assert np.array_equal(fits[0].weights, fits[1].weights) and fits[0].plain()[1:] == fits[1].plain()[1:]
+    assert np.abs(fits[0].weights).max() > 0
