@@ -560,6 +560,15 @@ def s20_store_round_trip(spark, sf):
     return back.groupBy("t_idx", "k_idx").agg(F.count(F.lit(1)).alias("n_cells"), F.count("temp").alias("n_valid"))
 
 
+@query(f"WITH {GRID} SELECT t_idx, k_idx, j, i, round(temp, 4) AS temp FROM grid WHERE t_idx BETWEEN 10 AND 30 AND k_idx BETWEEN 5 AND 20 AND j BETWEEN 2 AND 12 AND i BETWEEN 0 AND 3")
+def s20_tiled_box(spark, sf):
+    """A box of steps, levels, rows and columns, read from a field laid out along a space-filling curve."""
+    path = scratch(spark, "tiles")
+    gr.store_tiled(grid(spark, sf).select("t_idx", "k_idx", "j", "i", "temp").withColumn("source_id", F.lit("analysis")), path)
+    box = gr.load_box(spark, path, "analysis", {"analysis"}, {"t_idx": (10, 30), "k_idx": (5, 20), "j": (2, 12), "i": (0, 3)})
+    return box.select("t_idx", "k_idx", "j", "i", F.round("temp", 4).alias("temp"))
+
+
 PROFILE_SQL = f"{LEVELS}, box AS (SELECT *, CASE WHEN source_id = 'core' THEN temp END AS t, CASE WHEN source_id = 'bgc' THEN psal END AS s FROM levels WHERE lat BETWEEN 2 AND 12 AND lon BETWEEN 0 AND 3 AND (source_id = 'bgc' OR time BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1999-01-01'))"
 
 

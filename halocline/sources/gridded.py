@@ -84,6 +84,50 @@ def load(spark: SparkSession, path: str, source: str, enabled: set[str]) -> Data
     return df
 
 
+#: Axes of the curve's key in order, and bits of an index that count; cells of a folder are 2**FOLD wide along each axis.
+CURVE, CURVE_BITS, FOLD = ("t_idx", "k_idx", "j", "i"), 15, 3
+
+
+def spread_bits(x: Column) -> Column:
+    """The low 15 bits of a whole number, three zero bits between each."""
+    for shift, mask in ((0, 0x7FFF), (24, 0x0000007F000000FF), (12, 0x0007000F000F000F), (6, 0x0303030303030303), (3, 0x1111111111111111)):
+        x = (x.bitwiseOR(F.shiftleft(x, shift)) if shift else x).bitwiseAND(F.lit(mask))
+    return x
+
+
+def curve_key(fold: int = 0) -> Column:
+    """Place on a Z-order curve over step, level, row and column, so that neighbours along every axis lie close; fold: of cells 2**fold wide."""
+    out = F.lit(0).cast("long")
+    for n, c in enumerate(CURVE):
+        out = out.bitwiseOR(F.shiftleft(spread_bits(F.shiftright(F.col(c).cast("long"), fold)), n))
+    return out
+
+
+def store_tiled(df: DataFrame, path: str, fold: int = FOLD) -> None:
+    """A field laid out along the curve: one folder per source and cell of 2**fold steps, levels, rows and columns, in the curve's order within.
+
+    A box reads the folders of the cells it touches, and of their files the row groups whose bounds it meets.
+    """
+    rows = df.withColumns({"cell": curve_key(fold), "__key": curve_key()})
+    rows = rows.repartitionByRange(F.col("source_id"), F.col("cell")).sortWithinPartitions("source_id", "cell", "__key").drop("__key")
+    rows.write.mode("overwrite").partitionBy("source_id", "cell").parquet(path)
+
+
+def load_box(spark: SparkSession, path: str, source: str, enabled: set[str], box: dict[str, tuple[int, int]], fold: int = FOLD) -> DataFrame:
+    """Cells of a source stored by store_tiled() within closed ranges of indexes, {axis: (first, last)}; axes left out are read whole."""
+    rows = load(spark, path, source, enabled)
+    bits = {c: (CURVE.index(c), lo >> fold, hi >> fold) for c, (lo, hi) in box.items()}
+    for n, lo, hi in bits.values():
+        # an axis's index of the folder, of every fourth bit of its number: a filter on folders alone
+        index = F.lit(0).cast("long")
+        for b in range(CURVE_BITS - fold):
+            index = index.bitwiseOR(F.shiftleft(F.shiftright(F.col("cell").cast("long"), 4 * b + n).bitwiseAND(F.lit(1).cast("long")), b))
+        rows = rows.where(index.between(lo, hi))
+    for c, (lo, hi) in box.items():
+        rows = rows.where(F.col(c).between(lo, hi))
+    return rows.drop("cell")
+
+
 PROFILE_LEVEL = "profile_id string, wmo string, time timestamp, lat double, lon double, pres double, depth double, temp double, temp_qc smallint, psal double, psal_qc smallint, source_id string"
 
 

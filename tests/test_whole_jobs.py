@@ -22,3 +22,25 @@ def test_meshes_cover_every_step(spark, monkeypatch):
     assert {r["t"]: r["count"] for r in got.groupBy(step.alias("t")).count().collect()} == {t: n for t, n in alone.items() if n}
     labels = core.QUERIES["g4_mesh_components"](spark, SF)
     assert labels.select(F.regexp_extract("label", r"^m?:?(\d+):", 1)).distinct().count() == 4
+
+
+def test_a_box_reads_the_folders_it_touches(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from halocline.sources import gridded as gr
+
+    cells = [(t, k, j, i) for t in range(12) for k in range(9) for j in range(10) for i in range(6)]
+    df = spark.createDataFrame(cells, "t_idx int, k_idx int, j int, i int").withColumns({"temp": F.col("t_idx") + F.col("k_idx") / 10, "source_id": F.lit("a")})
+    keys = [r["z"] for r in df.select(gr.curve_key().alias("z")).collect()]
+    assert keys == [sum(((v >> b) & 1) << (4 * b + n) for n, v in enumerate(c) for b in range(15)) for c in cells]
+    top = spark.createDataFrame([(32767, 32767, 32767, 32767)], "t_idx int, k_idx int, j int, i int")
+    assert top.select(gr.curve_key().alias("z")).first()["z"] == 2**60 - 1
+    gr.store_tiled(df, f"{tmp_path}/f", fold=2)
+    files = df.sparkSession.read.parquet(f"{tmp_path}/f").inputFiles()
+    box = {"t_idx": (4, 7), "k_idx": (0, 3), "j": (8, 9)}
+    got = gr.load_box(spark, f"{tmp_path}/f", "a", {"a"}, box, fold=2)
+    assert sorted((r["t_idx"], r["k_idx"], r["j"], r["i"]) for r in got.collect()) == [c for c in cells if all(lo <= c[gr.CURVE.index(a)] <= hi for a, (lo, hi) in box.items())]
+    read = {r["f"] for r in got.select(F.input_file_name().alias("f")).distinct().collect()}
+    assert len(files) == 3 * 3 * 3 * 2 and len(read) == 2
+    scan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(source_id" in scan and "cell" in scan.split("PartitionFilters")[1].split("]")[0]
