@@ -250,13 +250,13 @@ def _chunks(sources: list[str | None]):
 
 def extracted(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """Per page: page_id, url, text (its main text), n_chars (code points)."""
-    shared = pages.sparkSession.sparkContext.broadcast(model or train(pages))
+    model = model or train(pages)  # a few hundred numbers, which go with the function
 
     def extract(batches):
         for pdf in batches:
             sources = pdf["html"].tolist()
             for at, to in _chunks(sources):
-                yield pd.DataFrame({"page_id": pdf["page_id"].iloc[at:to].array, "url": pdf["url"].iloc[at:to].array, "text": texts(sources[at:to], shared.value)})
+                yield pd.DataFrame({"page_id": pdf["page_id"].iloc[at:to].array, "url": pdf["url"].iloc[at:to].array, "text": texts(sources[at:to], model)})
 
     # ids as text, since a column of whole numbers with nulls would turn to doubles on its way
     rows = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html").mapInPandas(extract, "page_id string, url string, text string")

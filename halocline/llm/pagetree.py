@@ -10,7 +10,6 @@ from __future__ import annotations
 import html as entities
 import re
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 
@@ -53,14 +52,16 @@ CATEGORIES = {
     "related": "related recommended recommendations popular trending latest teaser teasers",
     "form": "search form",
 }
+_KNOWN: dict[str, tuple[tuple[int, ...], bool]] = {}
 _CATEGORY = {w: k for k, words in enumerate(CATEGORIES.values(), 1) for w in words.split()}
 #: Kinds and categories that mark text which isn't the page's own in pages that declare their main text.
 _OTHER_KINDS, _OTHER = frozenset((3, 5, 6, 7)), frozenset(range(2, len(CATEGORIES) + 1))
 
 
-@lru_cache(8192)
 def _told(attributes: str) -> tuple[tuple[int, ...], bool]:
     """Categories that class, id and role name, and whether they declare the main text."""
+    if attributes in _KNOWN:
+        return _KNOWN[attributes]
     found, declared = set(), False
     for name, *values in _ATTRIBUTE.findall(attributes):
         value = "".join(values).lower()
@@ -68,7 +69,10 @@ def _told(attributes: str) -> tuple[tuple[int, ...], bool]:
         declared |= name == "itemprop" and "articlebody" in value or name == "role" and value in ("main", "article")
         if name != "itemprop":
             found |= {_CATEGORY[w] for w in _LETTERS.findall(value) if w in _CATEGORY}
-    return tuple(sorted(found)), declared
+    if len(_KNOWN) > 8192:
+        _KNOWN.clear()
+    _KNOWN[attributes] = tuple(sorted(found)), declared
+    return _KNOWN[attributes]
 
 
 @dataclass
