@@ -8,10 +8,10 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import ocean
-from ..ledger import ledger
+from ..ledger import ledger, stored
 from ..operators import alerts as al, claims as cl, columns as cc, derived as de, fields as fl
 from ..session import shared_dir
-from ..sources import bulletins as bu, casts as ca, floats as fo, gridded as gr, text_casts as tx
+from ..sources import bulletins as bu, casts as ca, floats as fo, gridded as gr, readers, text_casts as tx
 from ..streaming import alertfeed as af, readings as st, stateful as sm
 from .inputs import ALERTS, GRID, LEVELS, READINGS, alerts, grid, levels, readings, table
 
@@ -560,6 +560,27 @@ def s20_store_round_trip(spark, sf):
     return back.groupBy("t_idx", "k_idx").agg(F.count(F.lit(1)).alias("n_cells"), F.count("temp").alias("n_valid"))
 
 
+@query(f"WITH {GRID} SELECT source_id, k_idx, count(*) AS n_cells, round(avg(temp), 6) AS mean FROM (SELECT *, CASE WHEN t_idx % 2 = 0 THEN 'even' ELSE 'odd' END AS source_id FROM grid) WHERE source_id = 'odd' GROUP BY 1, 2")
+def e2_registered_reader(spark, sf):
+    """One of two stored sources, opened through the reader that its kind has."""
+    assert readers.field is de.READERS["field"]
+    path = scratch(spark, "sources")
+    gr.store(grid(spark, sf).withColumn("source_id", F.when(F.col("t_idx") % 2 == 0, "even").otherwise("odd")), path)
+    odd = de.opened(spark, "field", {"path": path, "source": "odd"})
+    return odd.groupBy("source_id", "k_idx").agg(F.count(F.lit(1)).alias("n_cells"), F.round(F.avg("temp"), 6).alias("mean"))
+
+
+@query(REASON_SQL + """, n AS (SELECT unnest(['accepted', 'no_temp_c', 'temp_c_out_of_range', 'tds_ppm_out_of_range', 'turbidity_ntu_out_of_range']) AS reason), w AS (SELECT station_id, count(*) AS k FROM r WHERE reason IS NULL GROUP BY 1)
+SELECT n.reason, count(r.seq) AS n, (SELECT sum(k) FROM w) AS n_stored FROM n LEFT JOIN r ON coalesce(r.reason, 'accepted') = n.reason GROUP BY 1""")
+def r1_stored_ledger(spark, sf):
+    """Accepted readings stored by station; the ledger of all readings is counted in the same pass, and stands beside what the table holds."""
+    path = scratch(spark, "accepted")
+    rows = readings(spark, sf).withColumn("reason", st.reason())
+    counts = stored(rows, path, ["no_temp_c", "temp_c_out_of_range", "tds_ppm_out_of_range", "turbidity_ntu_out_of_range"], by=("station_id",))
+    held = spark.read.schema("seq long, station_id string").parquet(path).agg(F.count(F.lit(1)).alias("n_stored"))
+    return counts.join(F.broadcast(held))  # one row
+
+
 @query(f"WITH {GRID} SELECT t_idx, k_idx, j, i, round(temp, 4) AS temp FROM grid WHERE t_idx BETWEEN 10 AND 30 AND k_idx BETWEEN 5 AND 20 AND j BETWEEN 2 AND 12 AND i BETWEEN 0 AND 3")
 def s20_tiled_box(spark, sf):
     """A box of steps, levels, rows and columns, read from a field laid out along a space-filling curve."""

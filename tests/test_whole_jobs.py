@@ -25,8 +25,6 @@ def test_meshes_cover_every_step(spark, monkeypatch):
 
 
 def test_a_box_reads_the_folders_it_touches(spark, tmp_path):
-    from pyspark.sql import functions as F
-
     from halocline.sources import gridded as gr
 
     cells = [(t, k, j, i) for t in range(12) for k in range(9) for j in range(10) for i in range(6)]
@@ -44,3 +42,28 @@ def test_a_box_reads_the_folders_it_touches(spark, tmp_path):
     assert len(files) == 3 * 3 * 3 * 2 and len(read) == 2
     scan = got._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(source_id" in scan and "cell" in scan.split("PartitionFilters")[1].split("]")[0]
+
+
+def test_a_ledger_is_counted_as_rows_are_stored(spark, tmp_path):
+    from halocline import ledger
+
+    rows = spark.range(100).withColumn("reason", F.when(F.col("id") % 3 == 0, "third").when(F.col("id") % 5 == 0, "fifth"))
+    got = {r["reason"]: r["n"] for r in ledger.stored(rows, f"{tmp_path}/a", ["third", "fifth", "never"]).collect()}
+    assert got == {r["reason"]: r["n"] for r in ledger.ledger(rows, ["third", "fifth", "never"]).collect()} == {"accepted": 53, "third": 34, "fifth": 13, "never": 0}
+    back = spark.read.parquet(f"{tmp_path}/a")
+    assert back.count() == 53 and back.columns == ["id"]
+    with pytest.raises(ValueError, match="declared reason"):
+        ledger.stored(rows, f"{tmp_path}/b", ["third"])
+
+
+def test_a_kind_has_one_reader_and_the_library_has_its_own(spark, tmp_path):
+    from halocline.operators import derived as de
+    from halocline.sources import readers, text_casts as tx
+
+    assert {"field", "profiles", "text_casts", "alerts"} <= set(de.READERS)
+    with pytest.raises(ValueError, match="of its own"):
+        de.register_reader("alerts", readers.alerts)
+    (tmp_path / "a.csv").write_text("# latitude = 10\n# longitude = 86\n# time = 2024-01-02\nDepth;Temperature\n5;20\n")
+    fmt = tx.Format({"lat": ("latitude",), "lon": ("longitude",), "time": (), "depth": (), "temp": ("temperature",)})
+    assert [(r["wmo"], r["depth"], r["temp"]) for r in de.opened(spark, "text_casts", {"path": str(tmp_path), "format": fmt}).collect()] == [("a", 5.0, 20.0)]
+    assert de.opened(spark, "profiles", {"path": f"{tmp_path}/none"}).count() == 0
