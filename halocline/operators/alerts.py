@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..ledger import first_reason, ledger
-from ..session import written
+from ..session import unwritten, written
 from .ranks import placed
 
 #: Closed vocabularies, in order of rank (fixed values).
@@ -108,7 +108,8 @@ def simplified(points: DataFrame, tolerance: float = TOLERANCE, above: int = SIM
     """points(ring, idx, lon, lat) that stay after Douglas and Peucker's rule; rings up to `above` points stay whole.
 
     Each round finds, for all open segments at once, the point farthest from the segment (first on a tie) and splits
-    there if it's beyond the tolerance.  Rounds are bounded by the depth of splitting; every round is cut by a written table.
+    there if it's beyond the tolerance.  Rounds are bounded by the depth of splitting; every round is cut by written tables, which the next
+    replaces.
     """
     size = points.groupBy("ring").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("a"), F.max("idx").alias("b"))
     whole = points.join(size.where(F.col("n") <= above).select("ring"), "ring", "left_semi")
@@ -116,6 +117,7 @@ def simplified(points: DataFrame, tolerance: float = TOLERANCE, above: int = SIM
     done = rows.where("idx = a or idx = b").select("ring", "idx", "lon", "lat")
     rows = rows.where("idx > a and idx < b")
     ends = points.select("ring", F.col("idx").alias("e"), F.col("lon").alias("ex"), F.col("lat").alias("ey"))
+    last: list[DataFrame] = []
     while rows.limit(1).count():
         seg = rows.join(ends.select("ring", F.col("e").alias("a"), F.col("ex").alias("ax"), F.col("ey").alias("ay")), ["ring", "a"])
         seg = seg.join(ends.select("ring", F.col("e").alias("b"), F.col("ex").alias("bx"), F.col("ey").alias("by")), ["ring", "b"])
@@ -128,4 +130,6 @@ def simplified(points: DataFrame, tolerance: float = TOLERANCE, above: int = SIM
         cut = seg.join(far.select("ring", "a", "b", F.col("f.idx").alias("c")), ["ring", "a", "b"])
         done = written(done.unionByName(cut.where("idx = c").select("ring", "idx", "lon", "lat")), "done")
         rows = written(cut.where("idx <> c").select("ring", "idx", "lon", "lat", F.when(F.col("idx") < F.col("c"), F.col("a")).otherwise(F.col("c")).alias("a"), F.when(F.col("idx") < F.col("c"), F.col("c")).otherwise(F.col("b")).alias("b")), "rows")
+        unwritten(seg, *last)
+        last = [done, rows]
     return whole.select("ring", "idx", "lon", "lat").unionByName(done)

@@ -6,7 +6,7 @@ from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .axes import seconds
+from .axes import seconds, small
 
 #: Days between the wanted day and the nearest observed one beyond which a day filter is refused.
 DAY_SLACK = 10
@@ -87,7 +87,7 @@ def on_levels(observed: DataFrame, nodes: DataFrame, keys: tuple[str, ...] = ("p
     order = W.partitionBy(*keys).orderBy("depth")
     seg = observed.where("temp is not null").groupBy(*keys, "depth").agg(F.min("temp").alias("temp"))
     seg = seg.select(*keys, F.col("depth").alias("d0"), F.lead("depth").over(order).alias("d1"), F.col("temp").alias("v0"), F.lead("temp").over(order).alias("v1")).where("d1 is not null")
-    hit = seg.join(F.broadcast(nodes), (F.col("node") >= F.col("d0")) & (F.col("node") <= F.col("d1")))
+    hit = seg.join(small(nodes), (F.col("node") >= F.col("d0")) & (F.col("node") <= F.col("d1")))
     value = F.col("v0") + (F.col("node") - F.col("d0")) / (F.col("d1") - F.col("d0")) * (F.col("v1") - F.col("v0"))
     best = hit.groupBy(*keys, "k_idx", "node").agg(F.min(F.struct("d0", value.alias("v"))).alias("m"))
     return best.select(*keys, "k_idx", "node", F.col("m.v").alias("observed"))

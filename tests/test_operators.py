@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from halocline.functions import ocean
 from halocline.operators import alerts, colocate, columns, derived, fields, mesh, vectors
 from halocline.sources import casts, gridded
-from halocline.streaming import readings
+from halocline.streaming import readings, stateful
 
 
 def plane(lat, lon, z):
@@ -246,7 +246,8 @@ def test_stream_trips_as_batch_does(spark, tmp_path):
     for part in range(2):
         df.where(f"seq >= {part * 23} and seq < {(part + 1) * 23}").coalesce(1).write.parquet(str(tmp_path / "in" / str(part)))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in" / "*"))
-    q = readings.trip_stream(stream).writeStream.format("memory").queryName("trips").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    with stateful.key_value_store(spark):
+        q = stateful.trip_stream(stream).writeStream.format("memory").queryName("trips").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination()
     got = {(r["station_id"], r["seq"]) for r in spark.sql("select * from trips").collect()}
     assert got == batch and batch
