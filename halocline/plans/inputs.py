@@ -76,9 +76,19 @@ grid AS (SELECT t_idx, time, k - 1 AS k_idx, k * 40.0::DOUBLE AS depth, j, CAST(
 """
 
 
+#: Most levels that a task sorts on average.
+TASK_LEVELS = 500_000
+
+
 def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Measured levels (profile_id, wmo, time, lat, lon, depth, temp, temp_qc, psal, psal_qc, source_id)."""
+    """Measured levels (profile_id, wmo, time, lat, lon, depth, temp, temp_qc, psal, psal_qc, source_id).
+
+    They're dealt by profile over as many tasks as their number asks for, if that's more than the session's, so a task's memory doesn't grow.
+    """
     li, od = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    n = -(-li.count() // TASK_LEVELS)
+    if n > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        li, od = li.repartition(n, "l_orderkey"), od.repartition(n, "o_orderkey")
     both = li.join(od, F.col("l_orderkey") == F.col("o_orderkey"))
     lat = (37 * F.col("l_orderkey") % 260) / F.lit(10.0) - F.lit(0.5)
     lon = (53 * F.col("l_orderkey") % 45) / F.lit(10.0) - F.lit(0.2)
