@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.ocean import depth_of, unmasked
 from ..operators import asof
+from ..session import written
 
 ACCEPT = (1, 2)
 #: Foreign flag vocabulary of the moorings (fixed values); anything else is missing.
@@ -14,8 +15,12 @@ MOORING_FILL = 1.0e35
 
 
 def descending(rows: DataFrame) -> DataFrame:
-    """Of each file the descending leg if any row is of one; else all rows.  Files with such a leg are found by aggregation."""
-    has = rows.where("direction = 'D'").select(F.col("file").alias("__file")).distinct().withColumn("__has", F.lit(True))
+    """Of each file the descending leg if any row is of one; else all rows.  Files with such a leg are found by aggregation.
+
+    Their list is written, so its size is known before rows meet it: a short one is sent to the rows, which stay dealt by cast and aren't
+    gathered by file.
+    """
+    has = written(rows.where("direction = 'D'").select(F.col("file").alias("__file")).distinct().withColumn("__has", F.lit(True)), "descending")
     both = rows.join(has, F.col("file").eqNullSafe(F.col("__file")), "left")
     return both.where(F.col("__has").isNull() | (F.col("direction") == "D")).drop("__has", "__file")
 

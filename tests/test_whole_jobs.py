@@ -67,3 +67,16 @@ def test_a_kind_has_one_reader_and_the_library_has_its_own(spark, tmp_path):
     fmt = tx.Format({"lat": ("latitude",), "lon": ("longitude",), "time": (), "depth": (), "temp": ("temperature",)})
     assert [(r["wmo"], r["depth"], r["temp"]) for r in de.opened(spark, "text_casts", {"path": str(tmp_path), "format": fmt}).collect()] == [("a", 5.0, 20.0)]
     assert de.opened(spark, "profiles", {"path": f"{tmp_path}/none"}).count() == 0
+
+
+@pytest.mark.parametrize("name", ["o2_profile_order", "s9_cast_levels", "s9_cast_counters", "s12_cast_profiles", "u2_pooled_counters"])
+def test_tasks_that_sort_levels_grow_in_number_with_them(spark, monkeypatch, name):
+    """Every exchange of levels by profile has as many parts as they ask for, and no levels are dealt by file."""
+    monkeypatch.setattr(inputs, "TASK_LEVELS", 500)
+    n = -(-inputs.table(spark, SF, "lineitem").count() // 500)
+    q = (core.QUERIES | more.QUERIES)[name](spark, SF)
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    sorts = [x for x in plan.split("\n") if "Exchange hashpartitioning(l_orderkey" in x]
+    assert sorts and all(f", {n})" in x or f", {n}, " in x or f", {n})," in x for x in sorts)
+    assert "SortMergeJoin [file" not in plan
+    assert "Exchange hashpartitioning(profile_id" not in plan and "Exchange hashpartitioning(file#" not in plan.split("Window")[-1]
