@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def session(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -46,3 +46,15 @@ def unwritten(*tables: DataFrame) -> None:
             if root in folder and re.search("-[0-9a-f]{32}$", folder):
                 where = spark._jvm.org.apache.hadoop.fs.Path(folder)
                 where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def per_file(rows: DataFrame, facts: DataFrame, key: str = "file") -> DataFrame:
+    """rows with the facts, one row a key, of their key (nulls meet); no task gathers the rows of a key.
+
+    The key's rows are dealt over as many parts as there are shuffle partitions, by all their columns, and the facts stand in each part.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    plain = [c for c, kind in rows.dtypes if "map<" not in kind]
+    dealt = rows.withColumn("__part", F.pmod(F.xxhash64(*plain), F.lit(n)).cast("int"))
+    spread = facts.withColumnRenamed(key, "__key").withColumn("__at", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return dealt.join(spread, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__part") == F.col("__at"))).drop("__key", "__part", "__at")

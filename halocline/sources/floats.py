@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ocean import depth_of, profile_name, qc_code
+from ..session import per_file
 
 ACCEPT = (1, 2)
 MISSING = 9
@@ -22,7 +23,7 @@ def adjusted(files: DataFrame, params: list[str]) -> DataFrame:
     files = files.withColumns({f"{p}_adjusted{x}": F.lit(None).cast(k) for p in raw for x, k in (("", "array<double>"), ("_qc", "array<string>"))})
     any_adjusted = [F.max(F.exists(F.coalesce(f"{p}_adjusted", F.array().cast("array<double>")), lambda v: v.isNotNull()).cast("int")).alias(f"use_{p}") for p in params]
     use = files.groupBy("file").agg(*any_adjusted)
-    rows = files.join(use, "file")
+    rows = per_file(files, use)
     for p in params:
         better = F.col(f"use_{p}") == 1
         vals = F.when(better, F.col(f"{p}_adjusted")).otherwise(F.col(p))

@@ -80,3 +80,19 @@ def test_tasks_that_sort_levels_grow_in_number_with_them(spark, monkeypatch, nam
     assert sorts and all(f", {n})" in x or f", {n}, " in x or f", {n})," in x for x in sorts)
     assert "SortMergeJoin [file" not in plan
     assert "Exchange hashpartitioning(profile_id" not in plan and "Exchange hashpartitioning(file#" not in plan.split("Window")[-1]
+
+
+def test_rows_of_a_file_are_spread_where_they_meet_its_facts(spark):
+    from halocline.session import per_file
+
+    rows = spark.range(1000).select(F.when(F.col("id") < 900, "a").when(F.col("id") < 990, "b").alias("file"), "id")
+    facts = rows.groupBy("file").agg(F.count("*").alias("n"))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = per_file(rows, facts)
+        assert {(r["file"], r["n"], r["c"]) for r in out.groupBy("file", "n").agg(F.count("*").alias("c")).collect()} == {("a", 900, 900), ("b", 90, 90), (None, 10, 10)}
+        dealt = [x for x in out._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning(" in x]
+        assert any("__part" in x for x in dealt)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
