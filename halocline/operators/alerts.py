@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..ledger import first_reason, ledger
@@ -17,6 +20,8 @@ KM_PER_DEGREE = 111.0
 REASONS = ["cancelled", "superseded", "not_a_warning", "not_actual", "not_yet_effective", "expired"]
 #: Rings above so many points are simplified, within so many degrees.
 SIMPLIFY_ABOVE, TOLERANCE = 200, 0.01
+#: Points of a block of a ring; degrees, far above rounding, by which a point must lie within a hull to be out of question.
+BLOCK, DEEP = 50_000, 1e-8
 
 
 def folded(value: Column, words: tuple[str, ...]) -> Column:
@@ -104,32 +109,103 @@ def circle_of(text: Column) -> Column:
     return F.when(part(3) > 0, F.struct(part(2).alias("lon"), part(1).alias("lat"), part(3).alias("radius_km")))
 
 
+def _outer(block: pd.DataFrame) -> pd.DataFrame:
+    """The points of a block that may be farthest from a segment, whichever segment that is.
+
+    The distance from a segment is convex, so it's greatest on the hull; a point goes only if the hull reaches DEEP beyond it to all
+    four sides, so that none of equal distance goes.
+    """
+    x, y = block["lon"].to_numpy("float64"), block["lat"].to_numpy("float64")
+    finite = np.isfinite(x) & np.isfinite(y)
+    keep = ~finite
+    for u, v in ((x, y), (y, x)):
+        order = np.lexsort((v, u))
+        order = order[finite[order]]
+        for side in (v, -v):
+            keep[_chain(u, side, order)] = True
+    return block[keep]
+
+
+def _chain(u: np.ndarray, v: np.ndarray, order: np.ndarray) -> list[int]:
+    """The points, in rising u, above which no line between two others passes at DEEP or more; some others may stay."""
+    for size in (32, 1024):
+        # lines between the highest points of stretches take most of the others away
+        m = len(order) // size
+        if m < 2:
+            break
+        top = order[: m * size].reshape(m, size)
+        top = np.concatenate([order[:1], top[np.arange(m), v[top].argmax(axis=1)], order[-1:]])
+        order = order[v[order] >= np.interp(u[order], u[top], v[top]) - DEEP]
+    us, vs, stack = u[order].tolist(), v[order].tolist(), []
+    for i in range(len(us)):
+        while len(stack) > 1:
+            o, a = stack[-2], stack[-1]
+            dx = us[i] - us[o]
+            if not (vs[o] - vs[a]) * dx + (us[a] - us[o]) * (vs[i] - vs[o]) > DEEP * dx:
+                break
+            stack.pop()
+        stack.append(i)
+    return order[stack]
+
+
+def _cuts(tolerance: float):
+    def cuts(part: pd.DataFrame) -> pd.DataFrame:
+        """Points at which a segment is cut (b is -1), and the segments (a, b) for which blocks must be read whole that weren't."""
+        part = part.sort_values("at")
+        x, y, at, full = part["lon"].to_numpy("float64"), part["lat"].to_numpy("float64"), part["at"].to_numpy(), part["full"].to_numpy()
+        own, to, asked = [], [], [(0, len(at) - 1)]
+        while asked:
+            p, q = asked.pop()
+            if q - p < 2:
+                continue
+            px, py, dx, dy = x[p + 1 : q] - x[p], y[p + 1 : q] - y[p], x[q] - x[p], y[q] - y[p]
+            long2 = dx * dx + dy * dy
+            t = np.clip((px * dx + py * dy) / long2, 0.0, 1.0) if long2 > 0 else 0.0
+            d = np.hypot(px - t * dx, py - t * dy)
+            d[np.isnan(d)] = -1.0
+            c = int(d.argmax())
+            if d[c] > tolerance:
+                c += p + 1
+                own.append(c)
+                to.append(-1)
+                if full[c]:
+                    asked += [(p, c), (c, q)]
+                else:
+                    own += [p, c]
+                    to += [at[c], at[q]]
+        out = part.iloc[own]
+        return out[["ring", "idx", "lon", "lat"]].assign(a=out["at"], b=np.array(to, dtype="int64"))
+
+    return cuts
+
+
 def simplified(points: DataFrame, tolerance: float = TOLERANCE, above: int = SIMPLIFY_ABOVE) -> DataFrame:
     """points(ring, idx, lon, lat) that stay after Douglas and Peucker's rule; rings up to `above` points stay whole.
 
-    Each round finds, for all open segments at once, the point farthest from the segment (first on a tie) and splits
-    there if it's beyond the tolerance.  Rounds are bounded by the depth of splitting; every round is cut by written tables, which the next
-    replaces.
+    A segment is split at its farthest point (first on a tie) if that's beyond the tolerance.  Points are dealt to blocks of BLOCK.  A round
+    splits every open segment as long as the cuts fall into the blocks of its two ends, of which it has all points; of the blocks between
+    it has those that can be farthest from anything.  A cut between opens a block, each one once, so rounds are bounded by a ring's blocks and
+    not by its depth of splitting, and no task reads a ring.
     """
-    size = points.groupBy("ring").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("a"), F.max("idx").alias("b"))
+    shape = ["ring", "idx", "lon", "lat"]
+    size = points.groupBy("ring").agg(F.count(F.lit(1)).alias("n"))
     whole = points.join(size.where(F.col("n") <= above).select("ring"), "ring", "left_semi")
-    rows = points.join(size.where(F.col("n") > above), "ring").select("ring", "idx", "lon", "lat", "a", "b")
-    done = rows.where("idx = a or idx = b").select("ring", "idx", "lon", "lat")
-    rows = rows.where("idx > a and idx < b")
-    ends = points.select("ring", F.col("idx").alias("e"), F.col("lon").alias("ex"), F.col("lat").alias("ey"))
-    last: list[DataFrame] = []
-    while rows.limit(1).count():
-        seg = rows.join(ends.select("ring", F.col("e").alias("a"), F.col("ex").alias("ax"), F.col("ey").alias("ay")), ["ring", "a"])
-        seg = seg.join(ends.select("ring", F.col("e").alias("b"), F.col("ex").alias("bx"), F.col("ey").alias("by")), ["ring", "b"])
-        dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
-        long2 = dx * dx + dy * dy
-        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("lon") - F.col("ax")) * dx + (F.col("lat") - F.col("ay")) * dy) / long2))
-        away = F.when(long2 > 0, F.hypot(F.col("lon") - F.col("ax") - t * dx, F.col("lat") - F.col("ay") - t * dy)).otherwise(F.hypot(F.col("lon") - F.col("ax"), F.col("lat") - F.col("ay")))
-        seg = written(seg.withColumn("d", away).select("ring", "a", "b", "idx", "lon", "lat", "d"), "seg")
-        far = seg.groupBy("ring", "a", "b").agg(F.min(F.struct((-F.col("d")).alias("m"), "idx")).alias("f")).where(-F.col("f.m") > tolerance)
-        cut = seg.join(far.select("ring", "a", "b", F.col("f.idx").alias("c")), ["ring", "a", "b"])
-        done = written(done.unionByName(cut.where("idx = c").select("ring", "idx", "lon", "lat")), "done")
-        rows = written(cut.where("idx <> c").select("ring", "idx", "lon", "lat", F.when(F.col("idx") < F.col("c"), F.col("a")).otherwise(F.col("c")).alias("a"), F.when(F.col("idx") < F.col("c"), F.col("c")).otherwise(F.col("b")).alias("b")), "rows")
-        unwritten(seg, *last)
-        last = [done, rows]
-    return whole.select("ring", "idx", "lon", "lat").unionByName(done)
+    dealt = placed(points.join(size.where(F.col("n") > above).select("ring"), "ring", "left_semi").select(*shape), [F.col("ring"), F.col("idx")], "at")
+    rows = written(dealt.withColumn("block", F.floor(F.col("at") / BLOCK)), "points")
+    unwritten(dealt)
+    blocks = written(rows.groupBy("ring", "block").agg(F.min("at").alias("first"), F.max("at").alias("last")), "blocks")
+    spans = blocks.groupBy("ring").agg(F.min("first").alias("a"), F.max("last").alias("b"), F.count(F.lit(1)).alias("n"))
+    done = [written(rows.join(spans, "ring").where("at = a or at = b").select(*shape), "ends")]
+    long = rows.join(spans.where("n > 2").select("ring"), "ring", "left_semi")
+    outer = written(long.groupBy("ring", "block").applyInPandas(_outer, rows.schema), "outer")
+    kinds = ", ".join(f"`{c}` {kind}" for c, kind in points.select(*shape).dtypes)
+    asked = spans.where("b > a + 1").select("ring", "a", "b")
+    while asked.limit(1).count():
+        reach = asked.join(blocks, "ring").where("first <= b and last >= a").withColumn("full", F.expr("first <= a or last >= b")).drop("first", "last")
+        near = rows.join(reach.where("full"), ["ring", "block"]).where("at between a and b")
+        far = outer.join(reach.where("not full"), ["ring", "block"])
+        got = written(near.unionByName(far).groupBy("ring", "a", "b").applyInPandas(_cuts(tolerance), f"{kinds}, a long, b long"), "cuts")
+        done.append(got.where("b < 0").select(*shape))
+        asked = got.where("b >= 0").select("ring", "a", "b")
+    unwritten(rows, blocks, outer)
+    return reduce(DataFrame.unionByName, done, whole.select(*shape))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..functions import ocean
 from ..ledger import ledger, stored
 from ..operators import alerts as al, claims as cl, columns as cc, derived as de, fields as fl
+from ..operators.ranks import placed
 from ..session import shared_dir
 from ..sources import bulletins as bu, casts as ca, floats as fo, gridded as gr, readers, text_casts as tx
 from ..streaming import alertfeed as af, readings as st, stateful as sm
@@ -156,8 +157,9 @@ def g5_simplify_rings(spark, sf):
     """Rings of the orders of each customer's nation, one vertex per order day: some are longer than the threshold."""
     o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     p = o.select(F.col("c_nationkey").alias("ring"), F.col("o_orderdate").alias("d"), "o_orderkey")
-    nth = F.row_number().over(W.partitionBy("ring").orderBy("d", "o_orderkey"))
-    p = p.withColumn("idx", nth).withColumns({"lon": F.col("idx") * 0.002, "lat": F.sin(F.col("idx") / 90.0) * 0.1})
+    p = placed(p, [F.col("ring"), F.col("d"), F.col("o_orderkey")], "place")
+    first = p.groupBy("ring").agg(F.min("place").alias("first"))
+    p = p.join(first, "ring").withColumn("idx", F.col("place") - F.col("first") + 1).withColumns({"lon": F.col("idx") * 0.002, "lat": F.sin(F.col("idx") / 90.0) * 0.1})
     p = p.select("ring", "idx", "lon", "lat")
     before = p.groupBy("ring").agg(F.count(F.lit(1)).alias("n_before"))
     return before.join(al.simplified(p).groupBy("ring").agg(F.count(F.lit(1)).alias("n_after")), "ring")
