@@ -82,12 +82,27 @@ def latest(levels: DataFrame) -> DataFrame:
     return levels.groupBy("wmo").agg(F.max("profile_id").alias("profile_id"))
 
 
-def on_levels(observed: DataFrame, nodes: DataFrame, keys: tuple[str, ...] = ("profile_id",)) -> DataFrame:
-    """Observations interpolated onto model levels nodes(k_idx, node): the first segment that holds the level, no extrapolation."""
+def segments(observed: DataFrame, keys: tuple[str, ...] = ("profile_id",)) -> DataFrame:
+    """(keys, d0, d1, v0, v1, first): neighbouring depths with a value each, and whether none of the profile lies above."""
     order = W.partitionBy(*keys).orderBy("depth")
     seg = observed.where("temp is not null").groupBy(*keys, "depth").agg(F.min("temp").alias("temp"))
-    seg = seg.select(*keys, F.col("depth").alias("d0"), F.lead("depth").over(order).alias("d1"), F.col("temp").alias("v0"), F.lead("temp").over(order).alias("v1")).where("d1 is not null")
-    hit = seg.join(small(nodes), (F.col("node") >= F.col("d0")) & (F.col("node") <= F.col("d1")))
-    value = F.col("v0") + (F.col("node") - F.col("d0")) / (F.col("d1") - F.col("d0")) * (F.col("v1") - F.col("v0"))
-    best = hit.groupBy(*keys, "k_idx", "node").agg(F.min(F.struct("d0", value.alias("v"))).alias("m"))
-    return best.select(*keys, "k_idx", "node", F.col("m.v").alias("observed"))
+    return seg.select(
+        *keys, F.col("depth").alias("d0"), F.lead("depth").over(order).alias("d1"), F.col("temp").alias("v0"), F.lead("temp").over(order).alias("v1"),
+        F.lag("depth").over(order).isNull().alias("first"),
+    ).where("d0 is not null and d1 is not null")
+
+
+def at_nodes(seg: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of segments() with the model levels nodes(k_idx, node) they hold, and `observed` there; no extrapolation.
+
+    A level on a shared end is of the segment above, so each stands once a profile without any being compared.
+    """
+    d0, d1, node = F.col("d0"), F.col("d1"), F.col("node")
+    hit = seg.join(small(nodes), (node >= d0) & (node <= d1) & (F.col("first") | (node > d0)))
+    value = F.col("v0") + (node - d0) / (d1 - d0) * (F.col("v1") - F.col("v0"))
+    return hit.withColumn("observed", value).drop("d0", "d1", "v0", "v1", "first")
+
+
+def on_levels(observed: DataFrame, nodes: DataFrame, keys: tuple[str, ...] = ("profile_id",)) -> DataFrame:
+    """Observations interpolated onto model levels nodes(k_idx, node): the first segment that holds the level, no extrapolation."""
+    return at_nodes(segments(observed, keys), nodes).select(*keys, "k_idx", "node", "observed")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import ocean
 from ..operators import alerts as al, axes, claims as cl, colocate as co, columns as cc, fields as fl, mesh as ms, profiles as pf, raster as ra, vectors as ve
+from ..session import written
 from .inputs import ALERTS, GRID, LEVELS, PAIRS, alerts, grid, levels, steps, table
 
 QUERIES: dict = {}
@@ -143,14 +144,25 @@ y AS (SELECT profile_id, k_idx, v0 + (depth - d0) / (d1 - d0) * (v1 - v0) AS obs
 """
 
 
+def nearest_cells(g: DataFrame, lv: DataFrame) -> DataFrame:
+    """(profile_id, t_idx, j, i): every profile's nearest step and column."""
+    h = co.heads(lv)
+    ax = axes.axes_of(g, "time", "lat", "lon")
+    for name, value, dim in (("t", axes.seconds(F.col("p_time")), "time"), ("jn", F.col("p_lat"), "lat"), ("in", F.col("p_lon"), "lon")):
+        h = axes.nearest(h, value, ax[dim], f"{name}_")
+    return h.select("profile_id", "t_idx", F.col("jn_idx").alias("j"), F.col("in_idx").alias("i"))
+
+
+def with_columns(rows: DataFrame, g: DataFrame) -> DataFrame:
+    """rows(t_idx, j, i) with `cells`, the column's (k_idx, depth, modelled) by level, which is written, so that Spark knows whether it's small."""
+    cells = F.sort_array(F.collect_list(F.struct("k_idx", "depth", F.col("temp").alias("modelled"))))
+    return rows.join(written(g.groupBy("t_idx", "j", "i").agg(cells.alias("cells")), "columns"), ["t_idx", "j", "i"])
+
+
 def model_columns(spark, sf, lv: DataFrame) -> DataFrame:
     """Nearest-cell model column of every profile, for display: (profile_id, k_idx, depth, modelled)."""
     g = grid(spark, sf)
-    h = co.heads(lv)
-    for name, value, dim in (("t", axes.seconds(F.col("p_time")), "time"), ("jn", F.col("p_lat"), "lat"), ("in", F.col("p_lon"), "lon")):
-        h = axes.nearest(h, value, axes.axis(g, dim), f"{name}_")
-    h = h.select("profile_id", F.col("t_idx"), F.col("jn_idx").alias("j"), F.col("in_idx").alias("i"))
-    return h.join(g.select("t_idx", "j", "i", "k_idx", "depth", F.col("temp").alias("modelled")), ["t_idx", "j", "i"]).select("profile_id", "k_idx", "depth", "modelled")
+    return with_columns(nearest_cells(g, lv), g).select("profile_id", F.inline("cells"))
 
 
 @query(COLUMN_SQL + "SELECT profile_id, k_idx, depth, round(modelled, 4) AS modelled FROM m")
@@ -160,11 +172,7 @@ def j6_nearest_column(spark, sf):
 
 @query(COLUMN_SQL + "SELECT m.profile_id, m.k_idx, round(modelled, 4) AS modelled, round(observed, 7) AS observed FROM m JOIN y USING (profile_id, k_idx)")
 def j7_observed_on_levels(spark, sf):
-    lv = levels(spark, sf)
-    m = model_columns(spark, sf, lv)
-    nodes = axes.axis(grid(spark, sf, "t_idx = 0"), "depth").select(F.col("idx").alias("k_idx"), "node")
-    o = pf.on_levels(lv, nodes)
-    return m.join(o, ["profile_id", "k_idx"]).select("profile_id", "k_idx", F.round("modelled", 4).alias("modelled"), F.round("observed", 7).alias("observed"))
+    return j7_joined(spark, sf).select("profile_id", "k_idx", F.round("modelled", 4).alias("modelled"), F.round("observed", 7).alias("observed"))
 
 
 @query(COLUMN_SQL + f""", {BANDS_SQL} SELECT profile_id, k_idx, round(observed - modelled, 4) AS residual, band FROM (
@@ -179,9 +187,11 @@ def w11_residual_series(spark, sf):
 
 
 def j7_joined(spark, sf):
-    lv = levels(spark, sf)
+    """(profile_id, k_idx, depth, modelled, observed).  A profile's segments get their model column, and only then their levels: no row a level is dealt."""
+    g, lv = grid(spark, sf), levels(spark, sf)
     nodes = axes.axis(grid(spark, sf, "t_idx = 0"), "depth").select(F.col("idx").alias("k_idx"), "node")
-    return model_columns(spark, sf, lv).join(pf.on_levels(lv, nodes), ["profile_id", "k_idx"])
+    rows = pf.at_nodes(with_columns(pf.segments(lv).join(nearest_cells(g, lv), "profile_id"), g), nodes)
+    return rows.withColumn("cell", F.get("cells", F.col("k_idx"))).select("profile_id", "k_idx", "cell.depth", "cell.modelled", "observed")
 
 
 # ---- subsetting and summaries ----------------------------------------------------------------------------------------
