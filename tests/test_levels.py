@@ -31,7 +31,7 @@ def test_levels_are_of_the_first_segment_that_holds_them(spark):
     assert len(got) == len(want) and {(r["profile_id"], r["k_idx"]): r["observed"] for r in got} == want
 
 
-@pytest.mark.parametrize("name", ["j6_nearest_column", "j7_observed_on_levels"])
+@pytest.mark.parametrize("name", ["j6_nearest_column", "j7_observed_on_levels", "w11_residual_series"])
 def test_no_row_a_level_is_dealt(spark, name):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
